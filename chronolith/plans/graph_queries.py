@@ -358,7 +358,7 @@ amods AS (SELECT m.repo, m.rev, m.layer_no, m.name, m.n, nn, m.n / nn::DOUBLE *
   JOIN lown l ON l.repo = m.repo AND l.rev = m.rev AND l.name = m.name LEFT JOIN downn x ON x.repo = m.repo AND x.rev = m.rev AND x.name = m.name),
 approx AS (SELECT repo, rev, nn, sum(sf * (1 - clddp) * (1 - imcp)) AS raw, sum(sf) AS total_sf, avg(1 - clddp) AS avg_clddf, avg(1 - imcp) AS avg_imcf, count(*) AS module_count,
     sum(sf * (1 - clddp) * (1 - imcp)) * 100 * CASE WHEN nn < 1000 THEN 0.6258 WHEN nn < 5000 THEN 0.6258 + (nn - 1000) / 4000.0::DOUBLE * (0.8446 - 0.6258) ELSE 0.8446 END AS mscore
-  FROM amods GROUP BY ALL)"""
+  FROM amods GROUP BY repo, rev, nn)"""
 
 
 @query("approximate_modules_j13", sql("""
