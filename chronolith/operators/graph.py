@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from chronolith.operators.common import PAIR, by_pair, pair_column, top_rows, when_side
-from chronolith.session import cut_lineage
+from chronolith.session import cut_and_count, cut_lineage, one_task_if_small
 
 GRAPH = ["repo", "rev"]
 
@@ -129,21 +129,29 @@ def _on(a: str, b: str, *same: tuple[str, str]) -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{p}") == F.col(f"{b}.{q}") for p, q in pairs])
 
 
-def _trim(links: DataFrame) -> DataFrame:
-    """Peel edges that cannot lie on a cycle: their source is nobody's target or the reverse."""
-    size = links.count()
+def _peeled(links: DataFrame) -> DataFrame:
+    """Edges between nodes that are some edge's source and some edge's target."""
+    ends = links.select(*GRAPH, F.explode(F.array(
+        F.struct(F.col("src").alias("node"), F.lit(True).alias("out")), F.struct(F.col("dest").alias("node"), F.lit(False).alias("out"))
+    )).alias("e"))
+    inner = ends.groupBy(*GRAPH, F.col("e.node").alias("node")).agg(
+        F.bool_or("e.out").alias("o"), F.bool_and("e.out").alias("only_out")
+    ).filter(F.col("o") & ~F.col("only_out"))
+    at = lambda end: inner.select(*GRAPH, F.col("node").alias(end))
+    return links.join(at("src"), [*GRAPH, "src"], "left_semi").join(at("dest"), [*GRAPH, "dest"], "left_semi")
+
+
+def _trim(links: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Peel edges that cannot lie on a cycle until nothing changes."""
     while size:
-        targets = links.select(*GRAPH, F.col("dest").alias("src")).distinct()
-        sources = links.select(*GRAPH, F.col("src").alias("dest")).distinct()
-        links = cut_lineage(links.join(targets, [*GRAPH, "src"], "left_semi").join(sources, [*GRAPH, "dest"], "left_semi"))
-        left = links.count()
+        links, left = cut_and_count(_peeled(links))
         if left == size:
             break
         size = left
-    return links
+    return links, size
 
 
-def _spread_labels(links: DataFrame) -> DataFrame:
+def _spread_labels(links: DataFrame, size: int) -> DataFrame:
     """Per node the smallest node that reaches it (``up``) and the smallest node it reaches (``down``)."""
     node = lambda end: links.select(*GRAPH, F.col(end).alias("node"))
     labels = node("src").unionByName(node("dest")).distinct().select(
@@ -161,12 +169,12 @@ def _spread_labels(links: DataFrame) -> DataFrame:
             F.min("up").alias("offer_up"), F.min("down").alias("offer_down")
         )
         up, down = F.least("up", "offer_up"), F.least("down", "offer_down")
-        labels = cut_lineage(
-            labels.drop("moved").join(offers, [*GRAPH, "node"], "left").select(
-                *GRAPH, "node", up.alias("up"), down.alias("down"), ((up < F.col("up")) | (down < F.col("down"))).alias("moved")
-            )
+        labels = labels.drop("moved").join(offers, [*GRAPH, "node"], "left").select(
+            *GRAPH, "node", up.alias("up"), down.alias("down"), ((up < F.col("up")) | (down < F.col("down"))).alias("moved")
         )
-        if labels.filter("moved").isEmpty():
+        moving = Observation()
+        labels = one_task_if_small(cut_lineage(labels.observe(moving, F.count_if("moved").alias("n"))), size)
+        if not moving.get["n"]:
             return labels.drop("moved")
 
 
@@ -177,17 +185,17 @@ def scc_members(edges: DataFrame) -> DataFrame:
     nodes whose two labels agree form the component of that label, the remaining edges with equal labels at both
     ends go on to the next round. Work per step is linear in the edges left; no pairs of nodes are formed.
     """
-    links = cut_lineage(edges.filter(F.col("src") != F.col("dest")).select(*GRAPH, "src", "dest").distinct())
+    links, size = cut_and_count(edges.filter(F.col("src") != F.col("dest")).select(*GRAPH, "src", "dest").distinct())
     found: list[DataFrame] = []
     while True:
-        links = _trim(links)
-        if links.isEmpty():
+        links, size = _trim(links, size)
+        if not size:
             break
-        labels = _spread_labels(links)
+        labels = _spread_labels(links, size)
         done = F.col("up") == F.col("down")
         found.append(labels.filter(done).select(*GRAPH, F.col("up").alias("component"), "node"))
         rest = labels.filter(~done)
-        links = cut_lineage(
+        links, size = cut_and_count(
             links.alias("e").join(rest.alias("s"), _on("e", "s", ("src", "node")))
             .join(rest.alias("d"), _on("e", "d", ("dest", "node")))
             .filter((F.col("s.up") == F.col("d.up")) & (F.col("s.down") == F.col("d.down")))
@@ -218,16 +226,18 @@ def scc_counts(members: DataFrame, pairs: DataFrame, count_mode: str = "pair") -
 
 def _closure(links: DataFrame) -> DataFrame:
     """Transitive closure by doubling: paths found last round are extended by everything known."""
-    parts = [cut_lineage(links.distinct())]
+    first, total = cut_and_count(links.distinct())
+    parts = [first]
     while True:
-        known = reduce(DataFrame.unionByName, parts)
+        known = one_task_if_small(reduce(DataFrame.unionByName, parts), total)
         longer = parts[-1].alias("a").join(known.alias("b"), _on("a", "b", ("dest", "src"))).select(
             "a.repo", "a.rev", "a.src", "b.dest"
         ).distinct()
-        fresh = cut_lineage(longer.join(known, [*GRAPH, "src", "dest"], "left_anti"))
-        if fresh.isEmpty():
+        fresh, size = cut_and_count(longer.join(known, [*GRAPH, "src", "dest"], "left_anti"))
+        if not size:
             return known
         parts.append(fresh)
+        total += size
 
 
 def condensed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from chronolith.functions.text import basename, normalise_path
 from chronolith.operators import graph, history
 from chronolith.operators.cochange import cochange_partners
 from chronolith.operators.common import adjacent_pairs, numbered, top_rows
+from chronolith.session import cut_lineage
 
 # Weights of the normalised signals.
 WEIGHTS = {"bug_churn": 0.30, "anti_pattern": 0.25, "hotspot_fanin": 0.20, "scc_membership": 0.15, "co_change": 0.10}
@@ -135,16 +136,14 @@ def types_seen(patterns: DataFrame) -> DataFrame:
     return patterns.groupBy("repo", "file").agg(F.array_sort(F.collect_set("type")).alias("anti_patterns_seen"))
 
 
-def churn_by_revision(commits, changes, windows, top_n: int | None = 10) -> DataFrame:
-    """Churn of the files of every window, under the window's newer revision."""
-    placed = history.assign_windows(commits, windows).select("repo", "hash", F.col("new_rev").alias("rev"))
-    rows = changes.join(placed, ["repo", "hash"])
+def churn_by_revision(placed: DataFrame, changes: DataFrame, top_n: int | None = 10) -> DataFrame:
+    """Churn of the files of every window under its newer revision; ``placed`` are window-assigned commits."""
+    rows = changes.join(placed.select("repo", "hash", F.col("new_rev").alias("rev")), ["repo", "hash"])
     return history.file_churn(rows, ["repo", "rev"], top_n)
 
 
-def typed_churn_by_revision(commits, changes, issues, windows, top_n: int | None = 20) -> DataFrame:
-    placed = history.assign_windows(commits, windows).withColumnRenamed("new_rev", "rev")
-    rows = history.typed_files(placed, changes, issues, ["repo", "rev"], top_n)
+def typed_churn_by_revision(placed: DataFrame, changes: DataFrame, issues: DataFrame, top_n: int | None = 20) -> DataFrame:
+    rows = history.typed_files(placed.withColumnRenamed("new_rev", "rev"), changes, issues, ["repo", "rev"], top_n)
     if top_n is None:
         return rows
     return rows.filter(F.col("measure") == "churn").withColumnRenamed("n", "churn")
@@ -160,13 +159,15 @@ def risk_signals(
     ``dangerous`` defaults to the hotspot rows of a revision.
     """
     pairs, windows = adjacent_pairs(revisions), history.revision_windows(revisions)
-    hot = graph.hotspots(nodes, edges, hotspot_top_n)
+    # hotspots and churn are short top lists with several readers
+    hot = cut_lineage(graph.hotspots(nodes, edges, hotspot_top_n))
     patterns = anti_pattern_rows(membership, hot.withColumn("file", F.col("node")) if dangerous is None else dangerous)
-    churn = churn_by_revision(commits, changes, windows, churn_top_n)
-    typed = bug_rows(typed_churn_by_revision(commits, changes, issues, windows, typed_top_n)).groupBy(
+    # read by four signals, so written once
+    inside = cut_lineage(history.assign_windows(commits, windows))
+    churn = cut_lineage(churn_by_revision(inside, changes, churn_top_n))
+    typed = bug_rows(typed_churn_by_revision(inside, changes, issues, typed_top_n)).groupBy(
         "repo", normalise_path(F.col("path")).alias("file")
     ).agg(F.sum("churn").alias("bug_churn"))
-    inside = history.assign_windows(commits, windows)
     bugs = choose_bug_churn(typed, history.keyword_bug_churn(inside, changes))
     touched = changes.join(inside.select("repo", "hash").distinct(), ["repo", "hash"], "left_semi").select(
         "repo", "hash", normalise_path(F.col("path")).alias("file")
@@ -183,7 +184,7 @@ def risk_signals(
         _signal(cycles, "scc_membership_count", F.col("scc_count"), "node"),
         _signal(partners, "co_change_without_dep", F.col("partners")),
     ])
-    return signal_table(rows), types_seen(patterns)
+    return cut_lineage(signal_table(rows)), types_seen(patterns)
 
 
 def risk_ranking(table: DataFrame, seen: DataFrame, weights: dict[str, float] | None = None, top_n: int | None = None) -> DataFrame:

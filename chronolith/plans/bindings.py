@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from chronolith.functions.text import normalise_path
 from chronolith.operators.common import adjacent_pairs
-from chronolith.operators.history import revision_windows
+from chronolith.operators.history import assign_windows, revision_windows
 from chronolith.operators.retrieval import chunked
+from chronolith.session import cut_lineage
 
 COMMIT_HEAD = {"1": "Fix crash", "2": "Add feature", "3": "Refactor module", "4": "Update docs", "5": "Misc"}
 REGION_TYPES = {"AFRICA": "bug", "AMERICA": "feature", "ASIA": "refactoring", "EUROPE": "documentation"}
@@ -36,6 +37,16 @@ class History:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def stored(self, *names: str) -> History:
+        """Writes canonical tables once, as a history read from storage would have them; for queries with many readers."""
+        for name in names:
+            self.__dict__[name] = cut_lineage(getattr(self, name))
+        return self
+
+    @property
+    def placed(self) -> DataFrame:
+        return assign_windows(self.commits, self.windows)
+
     @cached_property
     def commits(self) -> DataFrame:
         o, c = self.table("orders"), self.table("customer")

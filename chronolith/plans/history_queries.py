@@ -196,7 +196,7 @@ def _(h):
 def _(h):
     from chronolith.operators.risk import churn_by_revision
 
-    return churn_by_revision(h.commits, h.file_changes, h.windows).withColumn("rev", F.col("rev").cast("bigint"))
+    return churn_by_revision(h.placed, h.file_changes).withColumn("rev", F.col("rev").cast("bigint"))
 
 
 @query("commit_types_j7", sql("SELECT repo, type, count(*) AS n FROM typed GROUP BY 1, 2", KEYROWS, TYPED))

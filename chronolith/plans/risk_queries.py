@@ -70,6 +70,7 @@ def _known(h):
 
 
 def _signals(h):
+    h = h.stored("commits", "file_changes", "nodes", "edges", "revisions")
     return K.risk_signals(h.commits, h.file_changes, _known(h), h.revisions, h.nodes.select("repo", "rev", "node"), h.edges, h.anti_patterns, threshold=THRESHOLD)
 
 
@@ -102,7 +103,7 @@ def _(h):
 def _(h):
     hot = G.hotspots(h.nodes.select("repo", "rev", "node"), h.edges)
     patterns = K.anti_pattern_rows(h.anti_patterns, hot.withColumn("file", F.col("node")))
-    rows = K.structural_signals(hot, patterns, K.churn_by_revision(h.commits, h.file_changes, h.windows))
+    rows = K.structural_signals(hot, patterns, K.churn_by_revision(h.placed, h.file_changes))
     return rows.groupBy("repo", "file", "signal").agg(F.sum("value").alias("value"))
 
 
@@ -116,8 +117,8 @@ def _(h):
 def _(h):
     from chronolith.functions.text import normalise_path
 
-    typed = K.bug_rows(K.typed_churn_by_revision(h.commits, h.file_changes, _known(h), h.windows)).groupBy("repo", normalise_path(F.col("path")).alias("file")).agg(F.sum("churn").alias("bug_churn"))
-    return K.choose_bug_churn(typed, H.keyword_bug_churn(H.assign_windows(h.commits, h.windows), h.file_changes))
+    typed = K.bug_rows(K.typed_churn_by_revision(h.placed, h.file_changes, _known(h))).groupBy("repo", normalise_path(F.col("path")).alias("file")).agg(F.sum("churn").alias("bug_churn"))
+    return K.choose_bug_churn(typed, H.keyword_bug_churn(h.placed, h.file_changes))
 
 
 @query("risk_rank_w1", sql("""
@@ -129,7 +130,7 @@ def _(h):
 
 
 @query("risk_lines_c9", sql("""
-    SELECT repo, rank, concat('#', lpad(CAST(rank AS VARCHAR), 2, ' '), ' | ', rpad(split_part(file, '/', -1), greatest(40, length(split_part(file, '/', -1))), ' '), ' | ', format('{:.3f}', risk_score),
+    SELECT repo, rank, concat('#', lpad(CAST(rank AS VARCHAR), 2, ' '), ' | ', rpad(split_part(file, '/', -1), CAST(greatest(40, length(split_part(file, '/', -1))) AS INTEGER), ' '), ' | ', format('{:.3f}', risk_score),
       ' | bug=', lpad(CAST(CAST(bug_churn_total AS BIGINT) AS VARCHAR), 5, ' '), ' | ap=', lpad(CAST(CAST(anti_pattern_count AS BIGINT) AS VARCHAR), 3, ' '), ' revisions | scc=',
       lpad(CAST(CAST(scc_membership_count AS BIGINT) AS VARCHAR), 2, ' '), ' revisions | co=', lpad(CAST(CAST(co_change_without_dep AS BIGINT) AS VARCHAR), 2, ' '), ' | [',
       array_to_string(list_filter(string_split(types, '|'), lambda t: t <> '')[1:3], ', '), ']') AS line FROM ranking WHERE rank <= 25""", *RISK))
@@ -266,6 +267,6 @@ def _(h):
     from chronolith.functions.text import normalise_path
     from chronolith.operators.reports import top_dangerous
 
-    churn = K.churn_by_revision(h.commits, h.file_changes, h.windows).select("repo", "rev", normalise_path(F.col("path")).alias("node"), "churn")
+    churn = K.churn_by_revision(h.placed, h.file_changes).select("repo", "rev", normalise_path(F.col("path")).alias("node"), "churn")
     rows = G.hotspots(h.nodes.select("repo", "rev", "node"), h.edges).withColumnRenamed("rank", "ord").join(churn, ["repo", "rev", "node"], "left")
     return _big(top_dangerous(rows.withColumnRenamed("node", "file")).select("repo", "rev", "file", "score", "rank"), "rev")

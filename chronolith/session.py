@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
 
@@ -52,6 +53,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ROWS_PER_TASK = 200_000
+
+
+def one_task_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """One partition for a counted table that fits a task easily, so small rounds of a loop need no shuffles."""
+    return df.coalesce(1) if rows <= ROWS_PER_TASK else df
+
+
+def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut_lineage`` together with the number of rows, counted while writing."""
+    seen = Observation()
+    table = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    rows = seen.get["rows"]
+    return one_task_if_small(table, rows), rows
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/chronolith-{label}-{uuid.uuid4().hex}"
