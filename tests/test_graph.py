@@ -87,7 +87,7 @@ def test_toy_refactoring_diff(spark):
     assert (d.weight_new, d.weight_old) == (6.0, 48.0)
     assert (d.scc_count_new, d.scc_count_old, d.largest_scc_old) == (0, 1, 5)
     assert [(e.src, e.dest) for e in d.edges_added] == [("a", "b"), ("b", "c")] and len(d.edges_removed) == 7
-    assert (d.fan_in_top[0].node, d.fan_in_top[0].delta) == ("c", -4.0)
+    assert (d.fan_in_top[0].node, d.fan_in_top[0].delta) == ("a", -4.0)
     changed = {(r.status, r.src, r.dest, r.weight) for r in G.heaviest_changes(edges, pairs).collect()}
     assert changed == set()
     assert {r.status for r in G.heaviest_changes(edges, pairs, 1, 1).collect()} == {"added", "removed"}
