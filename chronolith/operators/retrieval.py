@@ -34,18 +34,10 @@ def tokens(text: Column) -> Column:
 
 
 def term_counts(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, term, n, total): counted inside each bounded text, without a shuffle."""
-    step = rows.select(*keys, F.array_sort(tokens(F.col(text))).alias("_all"))
-    step = step.select(*keys, "_all", F.array_distinct("_all").alias("_terms"))
-    step = step.withColumn("_at", F.transform("_terms", lambda t: F.array_position("_all", t)))
-    runs = F.transform(
-        F.col("_terms"),
-        lambda t, i: F.struct(
-            t.alias("term"),
-            (F.coalesce(F.get(F.col("_at"), i + 1), F.size("_all").cast("bigint") + 1) - F.get(F.col("_at"), i)).alias("n"),
-        ),
-    )
-    return step.select(*keys, F.size("_all").alias("total"), F.explode(runs).alias("x")).select(*keys, "x.term", "x.n", "total")
+    """(keys, term, n, total): every text is one row, so the map-side aggregation already counts each term once."""
+    split = rows.select(*keys, tokens(F.col(text)).alias("_all"))
+    terms = split.select(*keys, F.size("_all").alias("total"), F.explode("_all").alias("term"))
+    return terms.groupBy(*keys, "total", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def inverse_frequency(counts: DataFrame, chunks: DataFrame) -> DataFrame:

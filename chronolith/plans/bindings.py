@@ -15,7 +15,7 @@ from chronolith.functions.text import normalise_path
 from chronolith.operators.common import adjacent_pairs
 from chronolith.operators.history import assign_windows, revision_windows
 from chronolith.operators.retrieval import chunked
-from chronolith.session import cut_lineage
+from chronolith.session import cut_lineage, spread
 
 COMMIT_HEAD = {"1": "Fix crash", "2": "Add feature", "3": "Refactor module", "4": "Update docs", "5": "Misc"}
 REGION_TYPES = {"AFRICA": "bug", "AMERICA": "feature", "ASIA": "refactoring", "EUROPE": "documentation"}
@@ -200,7 +200,8 @@ class History:
     @cached_property
     def documents(self) -> DataFrame:
         """Documents as knowledge files: the language gives the layer, the length the kind of report."""
-        d = self.table("documents")
+        # texts are costly per row, a short scan would leave cores idle
+        d = spread(self.table("documents"))
         layer = _choose(F.col("lang"), {"en": "L1", "fr": "L2", "de": "L3"})
         kind = F.when(F.col("n_chars") > 3000, "drh_diff").when(F.col("n_chars") > 1000, "temporal_report").otherwise("payload")
         layer = F.coalesce(layer, F.lit("L4"))

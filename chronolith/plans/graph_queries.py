@@ -106,6 +106,7 @@ def _(h):
 
 @query("reachability_g1", sql("SELECT repo, CAST(rev AS BIGINT) AS rev, src, count(*) AS reached, max(dest) AS last FROM reach GROUP BY ALL", LINKS, REACH))
 def _(h):
+    h = h.stored("lines", "nodes", "edges")
     rows = G.reachability(h.nodes, h.edges).groupBy("repo", "rev", "src").agg(F.count(F.lit(1)).alias("reached"), F.max("dest").alias("last"))
     return _big(rows, "rev")
 
@@ -117,6 +118,7 @@ PC = """pcost AS (SELECT n.repo, n.rev, round(coalesce(k, 0) / (n.n * n.n), 9) A
 
 @query("propagation_cost_g2_g3", sql("SELECT repo, CAST(rev AS BIGINT) AS rev, pc_matrix, pc_reach FROM pcost", LINKS, REACH, PC))
 def _(h):
+    h = h.stored("lines", "nodes", "edges")
     rows = G.propagation_cost(h.nodes, h.edges)
     return _big(rows.select("repo", "rev", *[F.round(c, 9).alias(c) for c in ("pc_matrix", "pc_reach")]), "rev")
 
@@ -152,6 +154,7 @@ KINDS = """kinds AS (SELECT repo, rev, sum(w) AS total, string_agg(concat(kind,
     JOIN sccsum sn ON sn.repo = p.repo AND sn.rev = p.new_rev JOIN sccsum so ON so.repo = p.repo AND so.rev = p.old_rev""",
     LINKS, REACH, SCC, SCCSUM, KINDS, ECHANGES, TOPEDGES, FANDIR))
 def _(h):
+    h = h.stored("lines", "nodes", "edges")
     d = G.graph_diff(h.nodes, h.edges, h.pairs)
     edge = F.array_join(F.transform("edges_added", lambda e: F.concat(e["src"], F.lit(">"), e["dest"], F.lit("="), e["weight"])), ";")
     fan = F.array_join(F.transform("fan_in_top", lambda e: F.concat(e["node"], F.lit("="), e["delta"])), ";")
@@ -364,6 +367,7 @@ approx AS (SELECT repo, rev, nn, sum(sf * (1 - clddp) * (1 - imcp)) AS raw, sum(
 @query("approximate_modules_j13", sql("""
     SELECT repo, CAST(rev AS BIGINT) AS rev, name, n AS module_files, round(sf, 9) AS sf, round(clddp, 9) AS clddp, round(imcp, 9) AS imcp FROM amods""", APPROX))
 def _(h):
+    h = h.stored("lines", "nodes", "edges", "locations")
     rows = M.approximate_modules(h.groups, h.nodes, h.edges)
     return _big(rows.select("repo", "rev", "name", "module_files", *[F.round(c, 9).alias(c) for c in ("sf", "clddp", "imcp")]), "rev")
 
@@ -372,6 +376,7 @@ def _(h):
     SELECT repo, CAST(rev AS BIGINT) AS rev, module_count, round(raw, 8) AS mscore_raw, round(mscore, 6) AS mscore, round(total_sf, 8) AS total_sf, round(avg_clddf, 8) AS avg_clddf,
       round(avg_imcf, 8) AS avg_imcf FROM approx""", APPROX))
 def _(h):
+    h = h.stored("lines", "nodes", "edges", "locations")
     rows = M.approximate_mscore(M.approximate_modules(h.groups, h.nodes, h.edges))
     numbers = {"mscore_raw": 8, "mscore": 6, "total_sf": 8, "avg_clddf": 8, "avg_imcf": 8}
     return _big(rows.select("repo", "rev", "module_count", *[F.round(c, d).alias(c) for c, d in numbers.items()]), "rev")
@@ -382,6 +387,7 @@ def _(h):
     FROM approx a JOIN pcost p ON a.repo = p.repo AND a.rev = p.rev JOIN ilevel i ON a.repo = i.repo AND a.rev = i.rev JOIN mwide w ON a.repo = w.repo AND a.rev = w.rev""",
     LINKS, REACH, PC, IL, APPROX))
 def _(h):
+    h = h.stored("lines", "nodes", "edges", "locations")
     calculated = (
         M.approximate_mscore(M.approximate_modules(h.groups, h.nodes, h.edges)).select("repo", "rev", "mscore")
         .join(G.propagation_cost(h.nodes, h.edges).select("repo", "rev", F.col("pc_matrix").alias("pc")), ["repo", "rev"])
@@ -397,6 +403,7 @@ def _(h):
     FROM mscores m JOIN pcost p ON m.repo = p.repo AND m.rev = p.rev JOIN ilevel i ON m.repo = i.repo AND m.rev = i.rev JOIN balance b ON m.repo = b.repo AND m.rev = b.rev
     GROUP BY m.repo, m.rev""", LINKS, REACH, PC, IL, BALANCE, *SCORE))
 def _(h):
+    h = h.stored("lines", "nodes", "edges", "locations")
     reported = h.metrics_wide.select("repo", "rev", F.col("`m-score`").alias("m_score"))
     rows = M.revision_metrics(
         M.mscore(M.module_scores(h.locations, h.edges)), G.propagation_cost(h.nodes, h.edges),

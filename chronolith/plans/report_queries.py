@@ -93,7 +93,7 @@ HINT_TABLES = (DELTAS, MOVES, LINKS, REACH, SCC, SCCSUM, ECHANGES, TOPEDGES, HIN
 @query("narrative_hints_c5", sql("""
     SELECT repo, CAST(new_rev AS BIGINT) AS new_rev, rank, hint FROM (SELECT *, row_number() OVER (PARTITION BY repo, new_rev ORDER BY rule, sub) AS rank FROM hints WHERE hint IS NOT NULL) WHERE rank <= 15""", *HINT_TABLES))
 def _(h):
-    h = h.stored("nodes", "edges")
+    h = h.stored("lines", "nodes", "edges")
     diff, members = _diff(h)
     none = h.pairs.select(*PAIR, F.lit(0).alias("ord"), F.lit(None).cast("string").alias("file"))
     rows = R.narrative_hints(
@@ -122,7 +122,7 @@ def _(h):
       ON b.repo = p.repo AND b.new_rev = p.new_rev JOIN (SELECT repo, new_rev, least(count(*), 60) AS commits FROM placed GROUP BY 1, 2) c ON c.repo = p.repo AND c.new_rev = p.new_rev
     JOIN sccsum s ON s.repo = p.repo AND s.rev = p.new_rev GROUP BY 1, 2""", *HINT_TABLES))
 def _(h):
-    rows = _facts(h.stored("commits", "file_changes", "nodes", "edges", "locations"))
+    rows = _facts(h.stored("commits", "lines", "file_changes", "nodes", "edges", "locations"))
     return _big(rows.select("repo", "new_rev", "m_score_delta", "propagation_cost_relative", "moved_layers", "nodes_new", "anti_patterns", "total_commits", "scc_count_new"),
                 "new_rev", "moved_layers", "nodes_new", "total_commits", "scc_count_new")
 
@@ -135,7 +135,7 @@ def _facts(h):
 
 @query("transition_texts_c4")
 def _(h):
-    h = h.stored("commits", "file_changes", "nodes", "edges", "locations")
+    h = h.stored("commits", "lines", "file_changes", "nodes", "edges", "locations")
     moves = L.file_moves(h.locations, h.pairs)
     structure = R.structure_text(L.layer_sizes(h.locations), L.largest_modules(h.locations), L.move_counts(moves), L.move_samples(moves))
     return R.summary_text(_facts(h)).withColumnRenamed("text", "summary").join(structure.withColumnRenamed("text", "structure"), PAIR)
@@ -161,7 +161,7 @@ def _(h):
     from chronolith.session import scratch_path
     from chronolith.sources import sinks as W
 
-    rows = cut_lineage(_payloads(h.stored("commits", "file_changes", "nodes", "edges")))
+    rows = cut_lineage(_payloads(h.stored("commits", "lines", "file_changes", "nodes", "edges")))
     path = scratch_path(h.spark, "payloads")
     W.write_payloads(rows, R.payload_markdown(rows), path)
     back = h.spark.read.schema(rows.schema).json(f"{path}/json")
@@ -177,7 +177,7 @@ def _(h):
 
 @query("payload_texts_k6")
 def _(h):
-    return R.payload_markdown(_payloads(h.stored("commits", "file_changes", "nodes", "edges")))
+    return R.payload_markdown(_payloads(h.stored("commits", "lines", "file_changes", "nodes", "edges")))
 
 
 @query("question_contexts_c10", "SELECT doc_id, least(length(text), 28000) + 0 AS chars, md5(substring(text, 1, 28000)) AS digest FROM documents")

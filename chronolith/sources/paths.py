@@ -20,10 +20,10 @@ def keyed(df: DataFrame, path: str = "path", root: str = "REPOS_ANALYZED") -> Da
 
 def read_documents(spark: SparkSession, path: str, glob: str | None = None, whole: bool = True, recursive: bool = True) -> DataFrame:
     """(path, text): one row per file, or per line for line-delimited documents."""
-    reader = spark.read.option("wholetext", whole).option("recursiveFileLookup", recursive)
+    reader = spark.read.option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return reader.text(path, wholetext=whole).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def revisions_on_disk(files: DataFrame, path: str = "path") -> DataFrame:
