@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from chronolith.functions import classify as C
 from chronolith.functions.text import basename, strip
 from chronolith.operators.common import listed, top_rows
+from chronolith.session import cut_lineage
 
 CHUNK_SIZE, CHUNK_OVERLAP, SHORTEST_CHUNK = 1200, 200, 80
 NAME_BOOST, REPO_BOOST, DIFF_BOOST = 0.15, 0.1, 0.05
@@ -58,10 +59,13 @@ def norms(vectors: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def build_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """idf, postings (with the columns the pool filter needs) and chunk norms."""
-    counts = term_counts(chunks, ["chunk_id", "layer", "model"])
-    idf = inverse_frequency(counts, chunks)
-    postings = weighted(counts, idf).select("chunk_id", "layer", "model", "term", "w")
+    """idf, postings (with the columns the pool filter needs) and chunk norms.
+
+    Counts and postings have several readers and are written once, as an index is.
+    """
+    counts = cut_lineage(term_counts(chunks, ["chunk_id", "layer", "model"]))
+    idf = cut_lineage(inverse_frequency(counts, chunks))
+    postings = cut_lineage(weighted(counts, idf).select("chunk_id", "layer", "model", "term", "w"))
     return idf, postings, norms(postings, ["chunk_id"])
 
 

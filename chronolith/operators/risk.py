@@ -159,15 +159,15 @@ def risk_signals(
     ``dangerous`` defaults to the hotspot rows of a revision.
     """
     pairs, windows = adjacent_pairs(revisions), history.revision_windows(revisions)
-    # hotspots and churn are short top lists with several readers
+    # hotspots, churn and typed churn are short top lists with several readers
     hot = cut_lineage(graph.hotspots(nodes, edges, hotspot_top_n))
     patterns = anti_pattern_rows(membership, hot.withColumn("file", F.col("node")) if dangerous is None else dangerous)
     # read by four signals, so written once
     inside = cut_lineage(history.assign_windows(commits, windows))
     churn = cut_lineage(churn_by_revision(inside, changes, churn_top_n))
-    typed = bug_rows(typed_churn_by_revision(inside, changes, issues, typed_top_n)).groupBy(
+    typed = cut_lineage(bug_rows(typed_churn_by_revision(inside, changes, issues, typed_top_n)).groupBy(
         "repo", normalise_path(F.col("path")).alias("file")
-    ).agg(F.sum("churn").alias("bug_churn"))
+    ).agg(F.sum("churn").alias("bug_churn")))
     bugs = choose_bug_churn(typed, history.keyword_bug_churn(inside, changes))
     touched = changes.join(inside.select("repo", "hash").distinct(), ["repo", "hash"], "left_semi").select(
         "repo", "hash", normalise_path(F.col("path")).alias("file")
