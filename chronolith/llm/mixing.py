@@ -15,7 +15,7 @@ from chronolith.operators.common import numbered
 #: Largest remainder that the subset-sum table covers; what is above goes by whole lengths first.
 TABLE_WORDS = 1 << 17
 #: Rows of one (source, length) that are ranked together.
-SLICE_ROWS = 4096
+SLICE_ROWS = 512
 
 
 def word_count(text: Column) -> Column:

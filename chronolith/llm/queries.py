@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import mixing, packing, simhash
+from chronolith.llm import langid, minhash, mixing, mpeg, packing, simhash
+from chronolith.llm.common import id_remainder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -42,3 +43,32 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.pieces_of(table(spark, sf_dir, "documents")))
+
+
+@query("op5_mpeg_audio")
+def mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = written(mpeg.framed(table(spark, sf_dir, "documents")), "audio")
+    rows = mpeg.audio_columns(stored)
+    payload = F.col("audio.payload")
+    seek = F.crc32(F.array_join(F.col("audio.seek_offsets"), ",").cast("binary"))
+    feature = F.concat_ws(
+        ";", *[F.concat(F.lit(f"{n}="), F.col(f"audio.{n}").cast("string")) for n in ("frames", "samples", "sample_rate", "table_frames", "failed", "skipped")],
+        F.concat(F.lit("seek="), seek.cast("string")),
+    )
+    return rows.select(
+        "doc_id", "n_bytes", F.octet_length(payload).cast("bigint").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("bigint").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), F.col("audio.seconds").alias("seconds"),
+    )
+
+
+@query("op6_language")
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"))
+    learned = langid.prototypes(docs.filter(~F.col("held_out")))
+    return langid.with_language(docs.select("doc_id", "held_out", "text"), learned).select("doc_id", "held_out", "language.lang_pred", "language.score")
+
+
+@query("op10_minhash")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.neighbour_fingerprints(table(spark, sf_dir, "documents"))
