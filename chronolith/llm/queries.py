@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import langid, minhash, mixing, mpeg, packing, simhash
+from chronolith.llm import extract, langid, minhash, mixing, mpeg, packing, simhash, substrings
 from chronolith.llm.common import id_remainder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,16 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_minhash")
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op7_repeated_strings")
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r[1] - r[0])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("runs").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_main_text")
+def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", extract.extracted(F.col("html")).alias("text"))
+    return pages.select("*", F.char_length("text").cast("bigint").alias("n_chars"))
