@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import extract, langid, minhash, mixing, mpeg, packing, simhash, substrings
+from chronolith.llm import ctw, extract, langid, minhash, mixing, mpeg, packing, simhash, substrings
 from chronolith.llm.common import id_remainder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", extract.extracted(F.col("html")).alias("text"))
     return pages.select("*", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op4_context_trees")
+def context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scored(table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 10) == 0)
