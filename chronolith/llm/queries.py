@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import ctw, extract, langid, minhash, mixing, mpeg, packing, simhash, substrings
+from chronolith.llm import ctw, extract, langid, minhash, mixing, mpeg, packing, secret_scan, simhash, substrings
 from chronolith.llm.common import id_remainder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,11 @@ def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_context_trees")
 def context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.scored(table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 10) == 0)
+
+
+@query("op9_secret_findings")
+def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_scan.scanned(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), F.col("doc_id"))
+    return rows.select(
+        F.col("key").alias("doc_id"), "start", "length", "kind", F.sha2("value", 256).alias("value_sha256"), "label", F.round("probability", 6).alias("probability"), "is_secret"
+    )
