@@ -9,13 +9,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import dropped, pick, written
+from chronolith.session import scratch_path
 
 #: Labelled findings the forest is trained on at most, chosen by a hash of their value; everything else covers all rows.
 TRAINING_ROWS = 20_000
@@ -120,9 +121,10 @@ def trained_forest(labelled: DataFrame, rows: int = TRAINING_ROWS, seed: int = 4
         return None
     table = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(sample.select("label", *[F.col("features")[i].alias(n) for i, n in enumerate(FEATURES)]))
     forest = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=TREE_DEPTH, seed=seed)
-    model = forest.fit(table.coalesce(1))
+    path = scratch_path(labelled.sparkSession, "forest")
+    forest.fit(table.coalesce(1)).save(path)
     dropped(sample)
-    return model
+    return RandomForestClassificationModel.load(path)  # without the training summary, which tasks cannot take along
 
 
 def judged(found: DataFrame, forest, label: Column | None = None) -> DataFrame:
