@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,9 @@ DEPTH = 4
 #: Depths below this are mixed over the whole corpus, the others within the task that holds a context's last bytes.
 TOP = 2
 #: Bytes of text that one block holds; a longer text is a block of its own.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 16_000_000
+#: Bytes of text whose symbols are in memory at once; a longer text is taken whole.
+PART_BYTES = 2_000_000
 #: Distinct strings whose trees one task builds at a time, at least one two-byte context.
 TREE_ROWS = 100_000
 _WORD = -(1 << 63)
@@ -47,6 +50,46 @@ def _symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (key | data)[real], sizes
 
 
+def _parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of texts of about PART_BYTES."""
+    lo = size = 0
+    for i, text in enumerate(texts):
+        if i > lo and size + len(text) > PART_BYTES:
+            yield lo, i
+            lo, size = i, 0
+        size += len(text)
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
+class _Lookup:
+    """Places of keys in an array: a hash table with open addressing, filled and read by whole arrays."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.shift = keys, np.uint64(64 - max(4, int(4 * len(keys)).bit_length()))
+        self.slots = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), self._first(keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & (len(self.slots) - 1)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        """Places of keys that all are in the table."""
+        at = self._first(wanted)
+        found = self.slots[at]
+        miss = np.flatnonzero(self.keys[found] != wanted)
+        while len(miss):
+            at[miss] = (at[miss] + 1) & (len(self.slots) - 1)
+            found[miss] = self.slots[at[miss]]
+            miss = miss[self.keys[found[miss]] != wanted[miss]]
+        return found
+
+
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function for positive arguments: Stirling's series after eight steps up."""
     product = np.ones_like(x)
@@ -185,25 +228,26 @@ def _blocked(rows: DataFrame) -> DataFrame:
 
     def finish(docs: list[tuple]) -> pd.DataFrame:
         texts = [t for _, _, t in docs]
-        symbols, sizes = _symbols(texts)
         train = np.array([not h for _, h, _ in docs])
-        keys, n = np.unique(symbols << 1 | np.repeat(train, sizes), return_counts=True)
-        strings, first = np.unique(keys >> 1, return_inverse=True)
-        counts = np.bincount(first, weights=n * (keys & 1)).astype(np.int64)
+        parts = []
+        for lo, hi in _parts(texts):
+            symbols, sizes = _symbols(texts[lo:hi])
+            keys, n = np.unique(symbols << 1 | np.repeat(train[lo:hi], sizes), return_counts=True)
+            parts.append((keys >> 1, n * (keys & 1)))
         words: Counter = Counter()
         for learn, text in zip(train, texts):
-            parts = text.split()
             if learn:
-                words.update(parts)
+                words.update(text.split())
             else:
-                for w in parts:
-                    words[w] += 0
+                for w in set(text.split()) - words.keys():
+                    words[w] = 0
         words[b""] += int(train.sum())
-        hashed, back = np.unique(np.fromiter(map(_word_key, words), np.int64, len(words)), return_inverse=True)
-        word_counts = np.bincount(back, weights=np.fromiter(words.values(), np.float64, len(words))).astype(np.int64)
+        parts.append((np.fromiter(map(_word_key, words), np.int64, len(words)), np.fromiter(words.values(), np.int64, len(words))))
+        keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        counts = np.bincount(back, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
         return pd.DataFrame({
-            "ids": [[d for d, _, _ in docs]], "held": [[bool(h) for _, h, _ in docs]], "texts": [texts],
-            "keys": [np.concatenate((strings, hashed))], "counts": [np.concatenate((counts, word_counts))],
+            "ids": [[d for d, _, _ in docs]], "held": [[bool(h) for _, h, _ in docs]], "sizes": [np.fromiter(map(len, texts), np.int64, len(texts))],
+            "texts": [zstandard.ZstdCompressor(level=3).compress(b"".join(texts))], "keys": [keys], "counts": [counts],
         })
 
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,7 +263,7 @@ def _blocked(rows: DataFrame) -> DataFrame:
         if docs:
             yield finish(docs)
 
-    kinds = f"ids array<{id_type}>, held array<boolean>, texts array<binary>, keys array<bigint>, counts array<bigint>"
+    kinds = f"ids array<{id_type}>, held array<boolean>, sizes array<bigint>, texts binary, keys array<bigint>, counts array<bigint>"
     return rows.mapInPandas(block, kinds).withColumn("block", F.monotonically_increasing_id())
 
 
@@ -242,40 +286,38 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
         words.select("key", F.log10((F.col("n") + 0.1) / F.lit(room)).alias("value"))
     )
     values = written(values, "values")
-    slices = (
+    dropped(totals)
+    slices = written(
         blocks.select("block", F.explode("keys").alias("key")).join(values, "key").groupBy("block")
-        .agg(F.collect_list("key").alias("keys"), F.collect_list("value").alias("values"))
+        .agg(F.collect_list("key").alias("keys"), F.collect_list("value").alias("values")), "slices"
     )
+    dropped(values)
     unseen = float(np.log10(0.1 / room))
     id_type = dict(rows.dtypes)["doc_id"]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for ids, held, texts, keys, found in zip(batch["ids"], batch["held"], batch["texts"], batch["keys"], batch["values"]):
-                keys, found = np.asarray(keys), np.asarray(found)
-                order = np.argsort(keys)
-                keys, found = keys[order], found[order]
-                texts = [bytes(t) for t in texts]
-                sums = []
-                for lo in range(0, len(texts), 512):
-                    symbols, sizes = _symbols(texts[lo:lo + 512])
-                    each = found[np.searchsorted(keys, symbols)]
-                    sums.append(np.add.reduceat(each, np.concatenate(([0], np.cumsum(sizes)[:-1]))))
-                end = found[np.searchsorted(keys, END_KEY)]
-
-                class Values(dict):
-                    def __missing__(self, word: bytes) -> float:
-                        self[word] = value = float(found[np.searchsorted(keys, _word_key(word))])
-                        return value
-
-                value_of = Values().__getitem__
-                tokens, known, base = [], [], []
-                for text in texts:
-                    parts = text.split()
-                    values = np.fromiter(map(value_of, parts), np.float64, len(parts))
-                    tokens.append(len(parts) + 1)
-                    known.append(int((values > unseen + 1e-9).sum()) + int(end > unseen + 1e-9))
-                    base.append(float(values.sum() + end))
+            for ids, held, sizes, packed, keys, found in zip(*[batch[c] for c in ("ids", "held", "sizes", "texts", "keys", "values")]):
+                keys, found = np.ascontiguousarray(keys, np.int64), np.asarray(found)
+                place = _Lookup(keys)
+                data = zstandard.ZstdDecompressor().decompress(packed, max_output_size=int(np.sum(sizes)) or 1)
+                ends = np.cumsum(sizes).tolist()
+                texts = [data[a:b] for a, b in zip([0, *ends], ends)]
+                end = float(found[place(np.array([END_KEY]))[0]])
+                values: dict[bytes, float] = {}
+                sums, tokens, known, base = [], [], [], []
+                for lo, hi in _parts(texts):
+                    symbols, lengths = _symbols(texts[lo:hi])
+                    sums.append(np.add.reduceat(found[place(symbols)], np.concatenate(([0], np.cumsum(lengths)[:-1]))))
+                    parts = [t.split() for t in texts[lo:hi]]
+                    fresh = list(set().union(*parts) - values.keys())
+                    if fresh:
+                        values.update(zip(fresh, found[place(np.fromiter(map(_word_key, fresh), np.int64, len(fresh)))].tolist()))
+                    for part in parts:
+                        each = np.fromiter(map(values.__getitem__, part), np.float64, len(part))
+                        tokens.append(len(part) + 1)
+                        known.append(int((each > unseen + 1e-9).sum()) + int(end > unseen + 1e-9))
+                        base.append(float(each.sum() + end))
                 total = np.concatenate(sums)
                 lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
                 yield pd.DataFrame({
@@ -283,7 +325,7 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
                     "score": total, "bits_per_byte": -total / np.log10(2) / lengths,
                 })
 
-    result = blocks.select("block", "ids", "held", "texts").join(slices, "block").drop("block")
+    result = blocks.select("block", "ids", "held", "sizes", "texts").join(slices, "block").drop("block")
     return result.mapInPandas(
         score, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
     )
