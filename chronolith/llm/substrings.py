@@ -8,7 +8,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import dropped, pick, written
@@ -137,15 +137,15 @@ def repeated_spans(texts: DataFrame, length: int = 200, size: int = TRIGGER, per
                     yield pd.DataFrame({"uid": np.repeat(part["uid"].to_numpy(), counts), "at": at.astype(np.int32), "h": h, "c": c})
 
     parsed = texts.mapInPandas(parse, "uid bigint, at int, h bigint, c bigint")
-    occurrences = parsed.withColumn("n_h", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("n_h > 1")
-    marks = written(occurrences.withColumn("n_c", F.count(F.lit(1)).over(Window.partitionBy("h", "c"))).select("uid", "at", "h", "c", "n_c"), "marks")
-    settled = marks.filter("n_c > 1").select(
+    repeated = written(parsed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "triggers")
+    occurrences = written(parsed.join(repeated, "h", "left_semi"), "occurrences")
+    dictionary = written(occurrences.groupBy("h", "c").agg(
+        F.count(F.lit(1)).alias("n_c"), F.first("uid").alias("uid"), F.first("at").alias("at")
+    ), "dictionary")
+    settled = occurrences.join(dictionary.filter("n_c > 1").select("h", "c"), ["h", "c"], "left_semi").select(
         "uid", F.greatest(F.col("at") - reach, F.lit(0)).cast("bigint").alias("lo"), (F.col("at") + length).cast("bigint").alias("hi")
     ).distinct()
-    open_triggers = marks.filter("n_c = 1").select("h").distinct()
-    phrases = marks.join(open_triggers, "h", "left_semi").groupBy("h", "c").agg(
-        F.min(F.struct("uid", "at")).alias("first"), F.max("n_c").alias("n_c")
-    ).select("h", "c", "first.*", "n_c")
+    phrases = dictionary.join(dictionary.filter("n_c = 1").select("h").distinct(), "h", "left_semi")
     wanted = phrases.groupBy("uid").agg(F.collect_list(F.struct("h", "c", "at", "n_c")).alias("marks"))
 
     @F.pandas_udf("array<binary>")
@@ -187,7 +187,7 @@ def repeated_spans(texts: DataFrame, length: int = 200, size: int = TRIGGER, per
     ).select("uid", (F.col("at") - F.col("most")).alias("lo"), (F.col("at") + length - F.col("least")).alias("hi"))
     spans = settled.unionByName(small).unionByName(large)
     out = written(spans.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans")), "spans")
-    dropped(marks, fetched, keys)
+    dropped(repeated, occurrences, dictionary, fetched, keys)
     return out
 
 
