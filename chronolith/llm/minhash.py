@@ -105,9 +105,8 @@ def neighbour_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str =
     first_rows = rows.join(F.broadcast(heads), ["slice", "id", "tie"], "left_semi").dropDuplicates(["slice"])  # at most MOST_SLICES rows of numbers
     starts = written(with_signature(first_rows.select("slice", "text"), "text", "sig"), "heads")
     order = Window.orderBy("slice")
-    after = starts.select("slice", F.lead("slice").over(order).alias("follows"))
-    lowest = starts.agg(F.min("slice").alias("lowest"))
-    after = after.join(lowest).select("slice", F.coalesce("follows", "lowest").alias("follows"))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = starts.select("slice", F.coalesce(F.lead("slice").over(order), F.first("slice").over(whole)).alias("follows"))
     follow = after.join(starts.withColumnRenamed("slice", "follows"), "follows").select("slice", F.col("text").alias("head_text"), F.col("sig").alias("head_sig"))
     along = Window.partitionBy("slice").orderBy("id", "tie")
     joined = (

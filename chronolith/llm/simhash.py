@@ -73,7 +73,7 @@ def _signed(value: int) -> int:
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fp bigint, component_id, row_key): one row per document; documents whose fingerprints connect share the smallest id.
+    """(doc_id, fp bigint, component_id, label, row_key): one row per document; documents whose fingerprints connect share the smallest id.
 
     Null and empty texts have fingerprint 0 and are linked like any other. Copies meet as one fingerprint before any
     pair is formed. Null ids are ignored in the smallest id. An empty table gives an empty result.
@@ -85,9 +85,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     labels = components(neighbour_links(smallest.select("fp")))
     labelled = smallest.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     heads = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    classes = written(labelled.join(heads, "label").select("fp", "component_id"), "groups")
+    classes = written(labelled.join(heads, "label").select("fp", "component_id", "label"), "groups")
     dropped(smallest)
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id", "row_key")
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id", "label", "row_key")
 
 
 def _row_key(doc_id: Column, text: Column) -> Column:
@@ -102,7 +102,7 @@ def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     names = docs.columns
     groups = near_groups(docs, doc_id, text, words)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first")
-    kept = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(first).select(F.col("first.row_key").alias("_key"))
+    kept = groups.groupBy("label").agg(first).select(F.col("first.row_key").alias("_key"))
     wide = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     key = _row_key(F.col(f"_c{names.index(doc_id)}"), F.col(f"_c{names.index(text)}"))
     rows = wide.withColumn("_key", key).join(kept, "_key", "left_semi").dropDuplicates(["_key"])
