@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -263,7 +262,3 @@ def size_calibration(n_files: Column) -> Column:
         .when(n_files < CALIBRATION_TO, CALIBRATION_SMALL + share * (CALIBRATION_LARGE - CALIBRATION_SMALL))
         .otherwise(CALIBRATION_LARGE)
     )
-
-
-def any_of(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

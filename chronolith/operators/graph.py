@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from chronolith.operators.common import PAIR, by_pair, pair_column, top_rows, when_side
-from chronolith.session import cut_and_count, cut_lineage, one_task_if_small
+from chronolith.session import cut_and_count, cut_lineage
 
 GRAPH = ["repo", "rev"]
 
@@ -173,7 +173,7 @@ def _spread_labels(links: DataFrame, size: int) -> DataFrame:
             *GRAPH, "node", up.alias("up"), down.alias("down"), ((up < F.col("up")) | (down < F.col("down"))).alias("moved")
         )
         moving = Observation()
-        labels = one_task_if_small(cut_lineage(labels.observe(moving, F.count_if("moved").alias("n"))), size)
+        labels = cut_lineage(labels.observe(moving, F.count_if("moved").alias("n")))
         if not moving.get["n"]:
             return labels.drop("moved")
 
@@ -229,7 +229,7 @@ def _closure(links: DataFrame) -> DataFrame:
     first, total = cut_and_count(links.distinct())
     parts = [first]
     while True:
-        known = one_task_if_small(reduce(DataFrame.unionByName, parts), total)
+        known = reduce(DataFrame.unionByName, parts)
         longer = parts[-1].alias("a").join(known.alias("b"), _on("a", "b", ("dest", "src"))).select(
             "a.repo", "a.rev", "a.src", "b.dest"
         ).distinct()

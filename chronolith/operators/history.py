@@ -231,7 +231,7 @@ def recent_file_churn(commits: DataFrame, changes: DataFrame, last: int = 50, to
 def classify_commits(commits: DataFrame, issues: DataFrame) -> DataFrame:
     """Commits with ``keys`` and ``type``: the first key in the subject that has a type decides, else 'unknown'."""
     keyed = commits.withColumn("keys", C.issue_keys(F.col("subject")))
-    typed = issues.filter(F.col("type").isNotNull()).select("repo", "key", "type").dropDuplicates(["repo", "key"])
+    typed = issues.filter(F.col("type").isNotNull()).groupBy("repo", "key").agg(F.min("type").alias("type"))
     hits = (
         keyed.select("repo", "hash", F.posexplode("keys").alias("pos", "key"))
         .join(typed, ["repo", "key"])
@@ -291,7 +291,7 @@ def recent_commits(commits: DataFrame, count: int = 5) -> DataFrame:
     return rows.select("repo", "rank", F.substring("hash", 1, 7).alias("hash"), F.col("ts"), F.trim("subject").alias("subject"))
 
 
-def window_commits(commits: DataFrame, windows: DataFrame, limit: int | None = 60) -> DataFrame:
+def window_commits(commits: DataFrame, windows: DataFrame, limit: int | None = None) -> DataFrame:
     """Commits of every revision window, numbered from the newest on, the newest ``limit`` if given."""
     placed = assign_windows(commits, windows)
     if limit is None:
@@ -331,7 +331,7 @@ def top_commits(placed: DataFrame, changes: DataFrame, count: int = 5) -> DataFr
     )
 
 
-def period_summary(commits: DataFrame, changes: DataFrame, windows: DataFrame, limit: int | None = 60) -> DataFrame:
+def period_summary(commits: DataFrame, changes: DataFrame, windows: DataFrame, limit: int | None = None) -> DataFrame:
     """One row per revision pair: commit counts by class, top authors, first commits and hotspot files as text."""
     placed = window_commits(commits, windows, limit)
     authors = top_authors(placed).withColumn("_t", F.concat("author", F.lit("="), "commits"))
@@ -352,7 +352,7 @@ def bug_commits(commits: DataFrame, issues: DataFrame, limit: int = 80) -> DataF
     """
     keys = F.regexp_extract_all("subject", F.lit(r"\b[A-Z][A-Z0-9]+-[0-9]+\b"), 0)
     keyed = commits.select("repo", "hash", "ts", "subject", keys.alias("keys"))
-    known = issues.select("repo", "key", "type", "summary").dropDuplicates(["repo", "key"])
+    known = issues.groupBy("repo", "key").agg(F.min(F.struct("type", "summary")).alias("_i")).select("repo", "key", "_i.*")
     hits = (
         keyed.select("repo", "hash", F.posexplode("keys").alias("pos", "key")).join(known, ["repo", "key"])
         .groupBy("repo", "hash").agg(

@@ -414,14 +414,13 @@ def tool_problems(steps: DataFrame) -> DataFrame:
 
 
 def tool_report(problems: DataFrame) -> DataFrame:
-    """Number of bad steps per revision and the text of the first ten."""
+    """Number of bad steps per revision and the text of all of them."""
     counts = problems.groupBy(*GRAPH).agg(F.count(F.lit(1)).alias("problems"))
     text = F.concat(
         F.lit("- Step: "), "step", F.lit(" (rc="), F.coalesce("rc", F.lit(0)), F.lit(")\n  Cmd: "), F.coalesce("cmd", F.lit("")),
         F.when(F.col("stderr") != "", F.concat(F.lit("\n  Stderr: "), "stderr")).otherwise(""),
     )
-    first = top_rows(problems.withColumn("_t", text), GRAPH, [F.col("ord")], 10)
-    return counts.join(first.groupBy(*GRAPH).agg(listed(["rank"], "_t", "\n").alias("report")), GRAPH)
+    return counts.join(problems.withColumn("_t", text).groupBy(*GRAPH).agg(listed(["ord"], "_t", "\n").alias("report")), GRAPH)
 
 
 # Character budgets of the question context.

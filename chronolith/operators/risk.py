@@ -136,13 +136,13 @@ def types_seen(patterns: DataFrame) -> DataFrame:
     return patterns.groupBy("repo", "file").agg(F.array_sort(F.collect_set("type")).alias("anti_patterns_seen"))
 
 
-def churn_by_revision(placed: DataFrame, changes: DataFrame, top_n: int | None = 10) -> DataFrame:
+def churn_by_revision(placed: DataFrame, changes: DataFrame, top_n: int | None = None) -> DataFrame:
     """Churn of the files of every window under its newer revision; ``placed`` are window-assigned commits."""
     rows = changes.join(placed.select("repo", "hash", F.col("new_rev").alias("rev")), ["repo", "hash"])
     return history.file_churn(rows, ["repo", "rev"], top_n)
 
 
-def typed_churn_by_revision(placed: DataFrame, changes: DataFrame, issues: DataFrame, top_n: int | None = 20) -> DataFrame:
+def typed_churn_by_revision(placed: DataFrame, changes: DataFrame, issues: DataFrame, top_n: int | None = None) -> DataFrame:
     rows = history.typed_files(placed.withColumnRenamed("new_rev", "rev"), changes, issues, ["repo", "rev"], top_n)
     if top_n is None:
         return rows
@@ -151,17 +151,17 @@ def typed_churn_by_revision(placed: DataFrame, changes: DataFrame, issues: DataF
 
 def risk_signals(
     commits: DataFrame, changes: DataFrame, issues: DataFrame, revisions: DataFrame, nodes: DataFrame, edges: DataFrame,
-    membership: DataFrame, dangerous: DataFrame | None = None, hotspot_top_n: int | None = 10, churn_top_n: int | None = 10,
-    typed_top_n: int | None = 20, threshold: int = 3, count_mode: str = "pair", bulk_size: int = 100,
+    membership: DataFrame, dangerous: DataFrame | None = None, hotspot_top_n: int | None = None, churn_top_n: int | None = None,
+    typed_top_n: int | None = None, dangerous_top_n: int = 10, threshold: int = 3, count_mode: str = "pair", bulk_size: int = 100,
 ) -> tuple[DataFrame, DataFrame]:
     """The raw signal table and the anti-pattern types per file, from canonical tables.
 
-    ``dangerous`` defaults to the hotspot rows of a revision.
+    All files count in every signal unless a top-n argument is given. ``dangerous`` defaults to the ``dangerous_top_n`` heaviest nodes of a revision.
     """
     pairs, windows = adjacent_pairs(revisions), history.revision_windows(revisions)
-    # hotspots, churn and typed churn are short top lists with several readers
+    # hotspots, churn and typed churn have several readers
     hot = cut_lineage(graph.hotspots(nodes, edges, hotspot_top_n))
-    patterns = anti_pattern_rows(membership, hot.withColumn("file", F.col("node")) if dangerous is None else dangerous)
+    patterns = anti_pattern_rows(membership, graph.hotspots(nodes, edges, dangerous_top_n).withColumn("file", F.col("node")) if dangerous is None else dangerous)
     # read by four signals, so written once
     inside = cut_lineage(history.assign_windows(commits, windows))
     churn = cut_lineage(churn_by_revision(inside, changes, churn_top_n))

@@ -196,7 +196,7 @@ def _(h):
 def _(h):
     from chronolith.operators.risk import churn_by_revision
 
-    return churn_by_revision(h.placed, h.file_changes).withColumn("rev", F.col("rev").cast("bigint"))
+    return churn_by_revision(h.placed, h.file_changes, 10).withColumn("rev", F.col("rev").cast("bigint"))
 
 
 @query("commit_types_j7", sql("SELECT repo, type, count(*) AS n FROM typed GROUP BY 1, 2", KEYROWS, TYPED))
@@ -239,7 +239,7 @@ def _(h):
 # --- period summaries ------------------------------------------------------------
 
 RECENT = "recentw AS (SELECT *, row_number() OVER (PARTITION BY repo, new_rev ORDER BY ts DESC, hash DESC) AS rank FROM placed)"
-W60 = "w60 AS (SELECT * FROM recentw WHERE rank <= 60)"
+PERIOD = "period AS (SELECT * FROM recentw)"
 
 
 @query("period_categories_a9", sql(f"""
@@ -277,29 +277,29 @@ def _(h):
 
 SUMMARY_SQL = f"""summary AS (SELECT t.repo, t.new_rev, t.old_rev, t.total_commits, {", ".join(f"t.{c}" for c in C.COMMIT_CLASSES)}, top_authors, hotspot_files FROM (
     SELECT repo, new_rev, old_rev, count(*) AS total_commits, {", ".join(f"count(*) FILTER (category = '{c}') AS {c}" for c in C.COMMIT_CLASSES)}
-    FROM (SELECT *, {_contains('subject', C.COMMIT_WORDS, 'other')} AS category FROM w60) GROUP BY ALL) t
+    FROM (SELECT *, {_contains('subject', C.COMMIT_WORDS, 'other')} AS category FROM period) GROUP BY ALL) t
   LEFT JOIN (SELECT repo, new_rev, string_agg(concat(author, '=', n), '; ' ORDER BY k) AS top_authors FROM (
-      SELECT *, row_number() OVER (PARTITION BY repo, new_rev ORDER BY n DESC, author) AS k FROM (SELECT repo, new_rev, author, count(*) AS n FROM w60 GROUP BY ALL))
+      SELECT *, row_number() OVER (PARTITION BY repo, new_rev ORDER BY n DESC, author) AS k FROM (SELECT repo, new_rev, author, count(*) AS n FROM period GROUP BY ALL))
     WHERE k <= 5 GROUP BY ALL) a ON t.repo = a.repo AND t.new_rev = a.new_rev
   LEFT JOIN (SELECT repo, new_rev, string_agg(concat(path, '=', n), '; ' ORDER BY k) AS hotspot_files FROM (
       SELECT *, row_number() OVER (PARTITION BY repo, new_rev ORDER BY n DESC, path) AS k FROM (
-        SELECT p.repo, p.new_rev, f.path, count(*) AS n FROM w60 p JOIN file_changes f ON p.repo = f.repo AND p.hash = f.hash GROUP BY ALL))
+        SELECT p.repo, p.new_rev, f.path, count(*) AS n FROM period p JOIN file_changes f ON p.repo = f.repo AND p.hash = f.hash GROUP BY ALL))
     WHERE k <= 10 GROUP BY ALL) f ON t.repo = f.repo AND t.new_rev = f.new_rev)"""
 
 
-@query("period_summary_a9", sql(f"SELECT repo, CAST(new_rev AS BIGINT) AS new_rev, total_commits, {', '.join(C.COMMIT_CLASSES)}, top_authors, hotspot_files FROM summary", RECENT, W60, SUMMARY_SQL))
+@query("period_summary_a9", sql(f"SELECT repo, CAST(new_rev AS BIGINT) AS new_rev, total_commits, {', '.join(C.COMMIT_CLASSES)}, top_authors, hotspot_files FROM summary", RECENT, PERIOD, SUMMARY_SQL))
 def _(h):
-    rows = H.period_summary(h.commits, h.file_changes, h.windows, 60)
+    rows = H.period_summary(h.commits, h.file_changes, h.windows)
     return rows.select("repo", F.col("new_rev").cast("bigint").alias("new_rev"), "total_commits", *C.COMMIT_CLASSES, "top_authors", "hotspot_files")
 
 
 @query("metric_explanations_c7", sql("""
     SELECT m.repo, CAST(m.new_rev AS BIGINT) AS new_rev, metric, round(raw, 6) AS delta, total_commits, refactoring, bugfix, feature
-    FROM mchanges m LEFT JOIN summary s ON m.repo = s.repo AND m.new_rev = s.new_rev WHERE raw IS NOT NULL AND raw <> 0""", RECENT, W60, SUMMARY_SQL))
+    FROM mchanges m LEFT JOIN summary s ON m.repo = s.repo AND m.new_rev = s.new_rev WHERE raw IS NOT NULL AND raw <> 0""", RECENT, PERIOD, SUMMARY_SQL))
 def _(h):
     from chronolith.operators.reports import metric_explanations
 
-    rows = metric_explanations(H.changed_metrics(h.metrics), H.period_summary(h.commits, h.file_changes, h.windows, 60))
+    rows = metric_explanations(H.changed_metrics(h.metrics), H.period_summary(h.commits, h.file_changes, h.windows))
     return rows.select("repo", F.col("new_rev").cast("bigint").alias("new_rev"), "metric", F.round("delta", 6).alias("delta"), "total_commits", "refactoring", "bugfix", "feature")
 
 

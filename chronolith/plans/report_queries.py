@@ -54,7 +54,7 @@ def _patterns(h):
 
 
 def _dangerous(h):
-    churn = K.churn_by_revision(h.placed, h.file_changes).select("repo", "rev", normalise_path(F.col("path")).alias("node"), "churn")
+    churn = K.churn_by_revision(h.placed, h.file_changes, 10).select("repo", "rev", normalise_path(F.col("path")).alias("node"), "churn")
     rows = G.hotspots(h.nodes.select("repo", "rev", "node"), h.edges).withColumnRenamed("rank", "ord").join(churn, ["repo", "rev", "node"], "left")
     return R.top_dangerous(rows.withColumnRenamed("node", "file"))
 
@@ -130,7 +130,7 @@ def _(h):
 def _facts(h):
     return R.transition_facts(
         H.metric_changes(h.metrics), _move_counts(h), _diff(h)[0], _patterns(h), _dangerous(h), R.top_penalties(M.module_scores(h.locations, h.edges)),
-        H.period_summary(h.commits, h.file_changes, h.windows, 60))
+        H.period_summary(h.commits, h.file_changes, h.windows))
 
 
 @query("transition_texts_c4")
@@ -152,7 +152,7 @@ PAYLOAD = """SELECT r.repo, CAST(r.rev AS BIGINT) AS rev, r.commit_hash, round(m
 def _payloads(h):
     typed = H.typed_totals(H.assign_windows(h.commits, h.windows), h.file_changes, h.issues, ["repo", "new_rev"]).withColumnRenamed("new_rev", "rev")
     return R.revision_payloads(
-        h.revisions, h.metrics, R.anti_pattern_counts(h.anti_patterns), K.churn_by_revision(h.placed, h.file_changes), typed, H.recent_commits(h.commits),
+        h.revisions, h.metrics, R.anti_pattern_counts(h.anti_patterns), K.churn_by_revision(h.placed, h.file_changes, 10), typed, H.recent_commits(h.commits),
         G.hotspots(h.nodes.select("repo", "rev", "node"), h.edges))
 
 

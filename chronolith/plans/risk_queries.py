@@ -26,19 +26,21 @@ CHURN10 = """churn10 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION B
 BUG20 = """bug20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, rev ORDER BY churn DESC, path) AS rank FROM (
   SELECT t.repo, t.new_rev AS rev, f.path, f.node AS file, CAST(sum(added + deleted) AS BIGINT) AS churn FROM ptyped t JOIN file_changes f ON t.repo = f.repo AND t.hash = f.hash
   WHERE t.type = 'bug' GROUP BY ALL)) WHERE rank <= 20)"""
+ALL_CHURN = CHURN10.replace("churn10", "allchurn").replace(" WHERE rank <= 10", "")
+BUG_FILES = BUG20.replace("bug20", "bugfiles").replace(" WHERE rank <= 20", "")
 KEYWORD = f"""keyword AS (SELECT f.repo, f.node AS file, CAST(sum(added + deleted) AS BIGINT) AS churn FROM file_changes f JOIN placed c ON f.repo = c.repo AND f.hash = c.hash
   WHERE regexp_matches(c.subject, '(?i)\\b({"|".join(C.BUG_WORDS_WIDE)})\\b') GROUP BY 1, 2)"""
-BUGS = """bugs AS (SELECT repo, file, CAST(sum(churn) AS BIGINT) AS bug_churn FROM bug20 GROUP BY 1, 2
-  UNION ALL SELECT repo, file, churn FROM keyword WHERE repo NOT IN (SELECT repo FROM bug20 WHERE churn > 0))"""
+BUGS = """bugs AS (SELECT repo, file, CAST(sum(churn) AS BIGINT) AS bug_churn FROM bugfiles GROUP BY 1, 2
+  UNION ALL SELECT repo, file, churn FROM keyword WHERE repo NOT IN (SELECT repo FROM bugfiles WHERE churn > 0))"""
 HOT10 = "hot10 AS (SELECT * FROM hot WHERE rank <= 10)"
 PATTERNS = """patterns AS (SELECT DISTINCT repo, rev, file, type, true AS sure FROM anti_patterns
   UNION ALL SELECT repo, rev, node, 'DangerousFile', false FROM hot10 d WHERE NOT EXISTS (SELECT 1 FROM anti_patterns a WHERE a.repo = d.repo AND a.rev = d.rev))"""
-STRUCT = """seen AS (SELECT repo, file, arg_min(spare, rev * 10 + stage) AS spare FROM (SELECT repo, node AS file, rev, 0 AS stage, false AS spare FROM hot10
-  UNION ALL SELECT repo, file, rev, 1, NOT sure FROM patterns UNION ALL SELECT repo, file, rev, 2, false FROM churn10) GROUP BY 1, 2),
-struct_sig AS (SELECT repo, node AS file, 'hotspot_fanin_score' AS signal, round(fan_in, 2) AS value FROM hot10
-  UNION ALL SELECT repo, node, 'rev_count', 1 FROM hot10 UNION ALL SELECT repo, file, 'rev_count', 1 FROM seen WHERE spare
+STRUCT = """seen AS (SELECT repo, file, arg_min(spare, rev * 10 + stage) AS spare FROM (SELECT repo, node AS file, rev, 0 AS stage, false AS spare FROM hot
+  UNION ALL SELECT repo, file, rev, 1, NOT sure FROM patterns UNION ALL SELECT repo, file, rev, 2, false FROM allchurn) GROUP BY 1, 2),
+struct_sig AS (SELECT repo, node AS file, 'hotspot_fanin_score' AS signal, round(fan_in, 2) AS value FROM hot
+  UNION ALL SELECT repo, node, 'rev_count', 1 FROM hot UNION ALL SELECT repo, file, 'rev_count', 1 FROM seen WHERE spare
   UNION ALL SELECT repo, file, 'rev_count', 0 FROM seen WHERE NOT spare
-  UNION ALL SELECT repo, file, 'anti_pattern_count', 1 FROM patterns UNION ALL SELECT repo, file, 'total_churn', churn FROM churn10)"""
+  UNION ALL SELECT repo, file, 'anti_pattern_count', 1 FROM patterns UNION ALL SELECT repo, file, 'total_churn', churn FROM allchurn)"""
 TABLE = """sig AS (SELECT * FROM struct_sig UNION ALL SELECT repo, file, 'bug_churn_total', bug_churn FROM bugs
   UNION ALL SELECT s.repo, s.node, 'scc_membership_count', 1 FROM scc s JOIN pairs p ON s.repo = p.repo AND (s.rev = p.new_rev OR s.rev = p.old_rev)
   UNION ALL SELECT repo, file, 'co_change_without_dep', partners FROM partners),
@@ -60,8 +62,8 @@ ranking AS (SELECT n.*, coalesce(types, '') AS types, row_number() OVER (PARTITI
   FROM (SELECT *, {_score(weights or {})} AS risk_score FROM norm) n LEFT JOIN seen_types t ON t.repo = n.repo AND t.file = n.file)"""
 
 
-STRUCTURE = [FAN, HOT, HOT10, CHURN10, PATTERNS, STRUCT]
-RAWS = [KNOWN, KEYROWS, TYPED_KNOWN, PTYPED, BUG20, KEYWORD, BUGS, LINKS, REACH, SCC, FINE, COPAIRS.format(t="fine", k=THRESHOLD), PARTNERS, *STRUCTURE, TABLE]
+STRUCTURE = [FAN, HOT, HOT10, ALL_CHURN, PATTERNS, STRUCT]
+RAWS = [KNOWN, KEYROWS, TYPED_KNOWN, PTYPED, BUG_FILES, KEYWORD, BUGS, LINKS, REACH, SCC, FINE, COPAIRS.format(t="fine", k=THRESHOLD), PARTNERS, *STRUCTURE, TABLE]
 RISK = [*RAWS, NORM, _ranking()]
 
 
@@ -101,8 +103,9 @@ def _(h):
 
 @query("structural_signals_a10", sql("SELECT repo, file, signal, sum(value)::DOUBLE AS value FROM struct_sig GROUP BY ALL", *STRUCTURE))
 def _(h):
-    hot = G.hotspots(h.nodes.select("repo", "rev", "node"), h.edges)
-    patterns = K.anti_pattern_rows(h.anti_patterns, hot.withColumn("file", F.col("node")))
+    nodes = h.nodes.select("repo", "rev", "node")
+    hot = G.hotspots(nodes, h.edges, None)
+    patterns = K.anti_pattern_rows(h.anti_patterns, G.hotspots(nodes, h.edges).withColumn("file", F.col("node")))
     rows = K.structural_signals(hot, patterns, K.churn_by_revision(h.placed, h.file_changes))
     return rows.groupBy("repo", "file", "signal").agg(F.sum("value").alias("value"))
 
@@ -113,7 +116,7 @@ def _(h):
     return rows.select("repo", "path", F.round("norm_churn", 6).alias("norm_churn"))
 
 
-@query("bug_churn_choice_p4_p5", sql("SELECT repo, file, bug_churn FROM bugs", KNOWN, KEYROWS, TYPED_KNOWN, PTYPED, BUG20, KEYWORD, BUGS))
+@query("bug_churn_choice_p4_p5", sql("SELECT repo, file, bug_churn FROM bugs", KNOWN, KEYROWS, TYPED_KNOWN, PTYPED, BUG_FILES, KEYWORD, BUGS))
 def _(h):
     from chronolith.functions.text import normalise_path
 
@@ -267,6 +270,6 @@ def _(h):
     from chronolith.functions.text import normalise_path
     from chronolith.operators.reports import top_dangerous
 
-    churn = K.churn_by_revision(h.placed, h.file_changes).select("repo", "rev", normalise_path(F.col("path")).alias("node"), "churn")
+    churn = K.churn_by_revision(h.placed, h.file_changes, 10).select("repo", "rev", normalise_path(F.col("path")).alias("node"), "churn")
     rows = G.hotspots(h.nodes.select("repo", "rev", "node"), h.edges).withColumnRenamed("rank", "ord").join(churn, ["repo", "rev", "node"], "left")
     return _big(top_dangerous(rows.withColumnRenamed("node", "file")).select("repo", "rev", "file", "score", "rank"), "rev")

@@ -382,8 +382,8 @@ def _(h):
 
 @query("tool_report_c13", sql("""
     SELECT repo, n AS problems, string_agg(concat('- Step: s', event_id, ' (rc=', rc, ')', chr(10), '  Cmd: ', repo, chr(10), '  Stderr: ', trim(stderr)), chr(10) ORDER BY event_id) AS report
-    FROM (SELECT *, count(*) OVER (PARTITION BY repo) AS n, row_number() OVER (PARTITION BY repo ORDER BY event_id) AS k FROM steps WHERE rc <> 0 OR regexp_matches(stderr, '(?i)error|exception|failed'))
-    WHERE k <= 10 GROUP BY 1, 2""", STEPS))
+    FROM (SELECT *, count(*) OVER (PARTITION BY repo) AS n FROM steps WHERE rc <> 0 OR regexp_matches(stderr, '(?i)error|exception|failed'))
+    GROUP BY 1, 2""", STEPS))
 def _(h):
     return R.tool_report(_steps(h)).drop("rev")
 

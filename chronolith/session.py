@@ -40,7 +40,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return _local_roots.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="chronolith-"))
+    if sc.applicationId not in _local_roots:
+        _local_roots[sc.applicationId] = tempfile.mkdtemp(prefix="chronolith-")
+    return _local_roots[sc.applicationId]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -53,26 +55,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out the rows of a scan that has fewer splits than the cluster has cores; larger scans stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-ROWS_PER_TASK = 200_000
-
-
-def one_task_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """One partition for a counted table that fits a task easily, so small rounds of a loop need no shuffles."""
-    return df.coalesce(1) if rows <= ROWS_PER_TASK else df
-
-
 def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
     """``cut_lineage`` together with the number of rows, counted while writing."""
     seen = Observation()
     table = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows")))
-    rows = seen.get["rows"]
-    return one_task_if_small(table, rows), rows
+    return table, seen.get["rows"]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -39,14 +39,17 @@ def clique_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _body(content: bytes) -> bytes:
-    """What the gzip member inside a file holds, b'' if there is none or it is broken."""
+    """What the gzip members inside a file hold, one after the other; b'' if there is none or one is broken."""
     start = content.find(GZIP_MAGIC)
-    if start < 0:
-        return b""
+    parts, rest = [], content[start:] if start >= 0 else b""
     try:
-        return zlib.decompressobj(zlib.MAX_WBITS | 16).decompress(content[start:])
+        while rest.startswith(GZIP_MAGIC):
+            member = zlib.decompressobj(zlib.MAX_WBITS | 16)
+            parts.append(member.decompress(rest))
+            rest = member.unused_data.lstrip(b"\0")
     except zlib.error:
         return b""
+    return b"".join(parts)
 
 
 def _marked_strings(body: bytes) -> Iterator[str]:

@@ -46,8 +46,10 @@ def metric_lookup(requests: DataFrame, metrics: DataFrame) -> DataFrame:
     ``metrics`` is long (repo, rev, metric, value).
     """
     asked = requests.withColumn("wanted", metric_alias(F.col("query")))
-    joined = asked.join(metrics, "repo").filter(F.col("wanted").isNull() | (F.col("wanted") == F.col("metric")))
-    return joined.select("q_id", "repo", "rev", "metric", "value")
+    columns = ["q_id", "repo", "rev", "metric", "value"]
+    named = asked.filter(F.col("wanted").isNotNull()).withColumnRenamed("wanted", "metric").join(metrics, ["repo", "metric"])
+    every = asked.filter(F.col("wanted").isNull()).join(metrics, "repo")
+    return named.select(*columns).unionByName(every.select(*columns))
 
 
 TOOL_SCHEMA = "array<struct<step:string,cmd:string,rc:int,stdout:string,stderr:string>>"
