@@ -17,7 +17,7 @@ NO_LANGUAGE = "und"
 #: More learned languages than this is an error: the prototypes go to every task.
 MOST_LANGUAGES = 10_000
 _CHUNK = 1 << 20
-_GRAMS = 8192
+_GRAMS = 2048
 
 
 @cache

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -22,17 +23,25 @@ _PIECES = "uid bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 @cache
-def _encoders(tokenizer_file: str, ranks_file: str):
+def _fast(tokenizer_file: str, ranks_file: str):
+    """The encoder from ranks and the strings of the tokenizer's added tokens."""
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(ranks_file, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    exact = Tokenizer.from_file(tokenizer_file)
-    specials = [t.content for t in exact.get_added_tokens_decoder().values()]
-    return fast, exact, specials
+    with open(tokenizer_file, encoding="utf-8") as f:
+        specials = [t["content"] for t in json.load(f).get("added_tokens", [])]
+    return fast, specials
+
+
+@cache
+def _exact(tokenizer_file: str):
+    """The tokenizer itself, loaded only in tasks that need it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_file)
 
 
 def token_ids(text: str, tokenizer_file: str, ranks_file: str) -> list[int]:
@@ -41,9 +50,9 @@ def token_ids(text: str, tokenizer_file: str, ranks_file: str) -> list[int]:
     The same vocabulary read as ranks is about three times faster and gives the same ids for ordinary text, which tests hold
     against the tokenizer itself; texts that hold a special string go through the tokenizer.
     """
-    fast, exact, specials = _encoders(tokenizer_file, ranks_file)
+    fast, specials = _fast(tokenizer_file, ranks_file)
     if any(s in text for s in specials):
-        return exact.encode(text, add_special_tokens=False).ids
+        return _exact(tokenizer_file).encode(text, add_special_tokens=False).ids
     return fast.encode_ordinary(text)
 
 
