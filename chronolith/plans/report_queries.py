@@ -119,7 +119,7 @@ def _(h):
       any_value(m.moved) AS moved_layers, any_value(a.n) AS nodes_new, any_value(b.text) AS anti_patterns, any_value(c.commits) AS total_commits, any_value(s.scc_count) AS scc_count_new FROM pairs p
     JOIN deltas d ON d.repo = p.repo AND d.new_rev = p.new_rev JOIN (SELECT repo, new_rev, count(*) FILTER (status = 'moved_layer') AS moved FROM moves GROUP BY 1, 2) m ON m.repo = p.repo AND m.new_rev = p.new_rev
     JOIN (SELECT repo, rev, count(*) AS n FROM nodes GROUP BY ALL) a ON a.repo = p.repo AND a.rev = p.new_rev LEFT JOIN (SELECT repo, new_rev, string_agg(concat(type, '=', n), ', ' ORDER BY type) AS text FROM apc GROUP BY 1, 2) b
-      ON b.repo = p.repo AND b.new_rev = p.new_rev JOIN (SELECT repo, new_rev, least(count(*), 60) AS commits FROM placed GROUP BY 1, 2) c ON c.repo = p.repo AND c.new_rev = p.new_rev
+      ON b.repo = p.repo AND b.new_rev = p.new_rev JOIN (SELECT repo, new_rev, count(*) AS commits FROM placed GROUP BY 1, 2) c ON c.repo = p.repo AND c.new_rev = p.new_rev
     JOIN sccsum s ON s.repo = p.repo AND s.rev = p.new_rev GROUP BY 1, 2""", *HINT_TABLES))
 def _(h):
     rows = _facts(h.stored("commits", "lines", "file_changes", "nodes", "edges", "locations"))
