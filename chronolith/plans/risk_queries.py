@@ -233,12 +233,12 @@ def _(h):
     return rows.select("repo", "signal", "rank", F.round("var", 6).alias("var"), F.round("slope", 9).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
-# a median of two scores of six digits can end in half a unit of the sixth, so five are compared
+# a median of two scores of six digits has at most seven, so seven are compared
 @query("risk_by_anti_pattern_a22", sql(f"""
     SELECT repo, type, row_number() OVER (PARTITION BY repo ORDER BY type = '(no anti-pattern)', median DESC, type) AS position, n, mean, median, std FROM (
-      SELECT repo, type, {_desc('risk_score').replace(', 6)', ', 5)')} FROM (SELECT repo, risk_score, unnest(CASE WHEN types = '' THEN ['(no anti-pattern)'] ELSE string_split(types, '|') END) AS type FROM ranking) GROUP BY 1, 2)""", *RISK))
+      SELECT repo, type, {_desc('risk_score').replace(', 6)', ', 7)')} FROM (SELECT repo, risk_score, unnest(CASE WHEN types = '' THEN ['(no anti-pattern)'] ELSE string_split(types, '|') END) AS type FROM ranking) GROUP BY 1, 2)""", *RISK))
 def _(h):
-    rows = _rounded(S.describe_by_type(_ranked(h)), "repo", "type", "position", digits=5)
+    rows = _rounded(S.describe_by_type(_ranked(h)), "repo", "type", "position", digits=7)
     return rows.select("repo", "type", "position", "n", "mean", "median", "std")
 
 
