@@ -53,7 +53,7 @@ def worst_modules(scores: DataFrame, n: int = 5, revisions: int = 5, rank_by: st
 def fans_by_name(rows: DataFrame) -> DataFrame:
     """(repo, rev, name, fan_in, fan_out): one row per file name, the last one of equal names."""
     named = rows.withColumn("name", basename(F.col("file"))).filter(F.col("name") != "")
-    last = named.groupBy(*GRAPH, "name").agg(F.max_by(F.struct("fan_in", "fan_out"), "ord").alias("f"))
+    last = named.groupBy(*GRAPH, "name").agg(F.max_by(F.struct("fan_in", "fan_out"), F.struct("ord", "file")).alias("f"))
     return last.select(*GRAPH, "name", "f.fan_in", "f.fan_out")
 
 
@@ -110,6 +110,10 @@ def allowed_files(sources: list[DataFrame], cap: int | None = 120) -> DataFrame:
 
 # --- texts per transition --------------------------------------------------------
 
+# Wording of the reports.
+MOVE_NOTE = " (note: renames/moves often show up as add+remove)"
+METRIC_NOTE = "- note: DV8 metrics are in %; Δ points are absolute (new-old), not percentage points of a 0–1 scale."
+
 
 def overall_lines(changes: DataFrame, revisions: DataFrame, files: DataFrame) -> DataFrame:
     """Headline, metric line and file-count line of every transition.
@@ -188,7 +192,7 @@ def structure_text(locations_layers: DataFrame, modules: DataFrame, move_counts:
         F.lit("### Movement Summary"),
         F.concat(F.lit("- DRH movement (old→new): "), key_values(
             ("moved_layers_count", F.col("moved_layers")), ("moved_modules_count", F.col("moved_modules")),
-            ("added_files_count", F.col("added_files")), ("removed_files_count", F.col("removed_files")))),
+            ("added_files_count", F.col("added_files")), ("removed_files_count", F.col("removed_files"))), F.lit(MOVE_NOTE)),
         F.lit("### Notable Layer Moves (sample)"), F.coalesce(filled("moved_layer"), F.lit("- (none)")),
         headed("### Notable Module Moves (sample)\n", "moved_module"),
     )
@@ -207,11 +211,11 @@ def transition_facts(
     """One wide row per transition joining the deltas, movements, graph, patterns, dangerous files and commits.
 
     moves: ``move_counts``; diff: ``graph_diff``; patterns: ``anti_pattern_changes``; dangerous: ``top_dangerous``;
-    penalties: ``top_penalties``; commits: ``period_summary``.
+    penalties: ``top_penalties`` with ``files``, the first names of each module; commits: ``period_summary``.
     """
     wide = changes.groupBy(*PAIR).agg(
         *[F.max(F.when(F.col("metric") == m, F.col(v))).alias(f"{m.replace('-', '_')}_{v}")
-          for m in METRICS for v in ("delta", "relative")]
+          for m in METRICS for v in ("old_value", "new_value", "delta", "relative")]
     )
     pattern_text = patterns.withColumn("_t", F.concat("type", F.lit("="), "n_new")).groupBy(*PAIR).agg(
         listed(["type"], "_t").alias("anti_patterns")
@@ -220,19 +224,62 @@ def transition_facts(
     on_new = lambda rows: rows.withColumnRenamed("rev", "new_rev").join(newer, ["repo", "new_rev"])
     danger = dangerous.withColumn("_t", key_values(
         ("Filename", F.col("file")), ("FanIn", F.col("fan_in")), ("FanOut", F.col("fan_out")), ("ChangeChurn", F.col("churn"))
-    )).filter(F.col("rank") <= 3)
-    danger_text = on_new(danger).groupBy(*PAIR).agg(listed(["rank"], "_t", " | ").alias("dangerous_files"))
+    ))
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    danger = danger.withColumn("_l", F.concat(
+        F.lit("  - "), "file", F.lit(" (FanIn="), shown("fan_in"), F.lit(", FanOut="), shown("fan_out"), F.lit(", ChangeChurn="), shown("churn"), F.lit(")")))
+    newer_danger = on_new(danger)
+    danger_text = newer_danger.filter(F.col("rank") <= 3).groupBy(*PAIR).agg(listed(["rank"], "_t", " | ").alias("dangerous_files"))
+    danger_lines = newer_danger.groupBy(*PAIR).agg(listed(["rank"], "_l", "\n").alias("dangerous_lines"))
     cross = penalties.filter((F.col("kind") == "cross") & (F.col("rank") <= 4)).withColumn("_t", key_values(
         ("module_key", F.col("module_key")), ("layer", F.col("layer_no")), ("module_size", F.col("module_size")),
         ("cross_penalty", number_text(F.round("cross_penalty", 6))), ("clddf", number_text(F.round("clddf", 6))),
     ))
-    cross_text = on_new(cross).groupBy(*PAIR).agg(listed(["rank"], "_t", " | ").alias("cross_modules"))
+    names = F.array_join(F.transform(F.slice("files", 1, 3), basename), ", ")
+    cross = on_new(cross.withColumn("_l", F.concat(F.lit("  - "), "_t")).withColumn("_t", F.concat("_t", F.lit(", files=["), names, F.lit("]"))))
+    cross_text = cross.groupBy(*PAIR).agg(listed(["rank"], "_t", " | ").alias("cross_modules"), listed(["rank"], "_l", "\n").alias("cross_lines"))
+    hot = refactoring_hotspot(penalties)
+    # of equal names the first listed one is shown
+    fan_rows = dangerous.select(*GRAPH, "file", *[F.col(c).cast("bigint").alias(c) for c in ("fan_in", "fan_out")], (-F.col("rank")).alias("ord"))
+    hot = hot.join(module_files_text(hot.select(*MODULE, F.slice("files", 1, 4).alias("files")), fan_rows), MODULE, "left")
+    hot_text = on_new(hot).select(*PAIR, F.concat(
+        F.format_string("Layer %s / %s files, cross_penalty=%.3f | files: ", "layer_no", "module_size", "cross_penalty"),
+        F.coalesce("files_text", F.lit(""))).alias("refactoring_hotspot"))
     out = wide
-    for part in (moves, diff, pattern_text, danger_text, cross_text, commits):
+    for part in (moves, diff, pattern_text, danger_text, danger_lines, cross_text, hot_text, commits):
         out = out.join(part, PAIR, "left")
     return out
 
 
+def evidence_text(facts: DataFrame) -> DataFrame:
+    """The section of metrics, graph, risk signals and commits of a transition, from ``transition_facts``."""
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    signed2 = lambda c: F.format_string("%+.2f", c)
+
+    def metric(name: str) -> Column:
+        old, new, delta, relative = (F.col(f"{name.replace('-', '_')}_{v}") for v in ("old_value", "new_value", "delta", "relative"))
+        share = F.when(relative.isNull(), "").otherwise(F.concat(F.lit(", "), signed2(relative), F.lit("% relative")))
+        return F.concat(F.lit(f"- {name}: old="), F.round(old, 2), F.lit(" → new="), F.round(new, 2), F.lit(" (Δ="), signed2(delta), F.lit(" points"), share, F.lit(")"))
+
+    side = lambda s: F.concat(F.lit(f"{s}: total_weight="), F.col(f"weight_{s}"), F.lit(", "), F.col(f"by_kind_{s}"))
+    cycles = lambda s: F.concat(F.lit(f"- scc_{s}: scc_count="), F.col(f"scc_count_{s}"), F.lit(", largest_scc_size="), F.col(f"largest_scc_{s}"))
+    text = F.concat_ws(
+        "\n", F.lit("## Metrics & Evidence\n### DV8 Metric Changes (older→newer)"), *[metric(m) for m in METRICS], F.lit(METRIC_NOTE),
+        F.concat(F.lit("- DRH file count (older→newer): "), file_change_text()),
+        F.lit("### Evidence Graph (matrix.json derived, if available)"),
+        F.concat(F.lit("- nodes: new="), "nodes_new", F.lit(", old="), "nodes_old", F.lit(", delta="), "nodes_delta"),
+        F.concat(F.lit("- edges: "), side("new"), F.lit("; "), side("old")),
+        F.concat(F.lit("- edges.total_weight delta (new-old): "), signed2(F.round(F.col("weight_new") - F.col("weight_old"), 2))),
+        cycles("old"), cycles("new"),
+        F.lit("### Risk Signals (newer timestep)"), F.concat(F.lit("- anti-pattern counts: "), filled("anti_patterns")),
+        F.concat(F.lit("- dangerous files (top):\n"), filled("dangerous_lines")),
+        F.concat(F.lit("- highest cross-layer penalty modules (newer):\n"), filled("cross_lines")),
+        F.when(F.col("total_commits").isNotNull(), "### Commit Context (older→newer window)"),
+        F.concat(F.lit("- top commits (sample): "), filled("top_commits")), F.concat(F.lit("- hotspot files (sample): "), filled("hotspot_files")),
+    )
+    return facts.select(*PAIR, F.concat(text, F.lit("\n")).alias("text"))
+
+
 def summary_text(facts: DataFrame) -> DataFrame:
     """The leading section of a transition report, from ``transition_facts``."""
     deltas = lambda v: key_values(*[(m, F.col(f"{m.replace('-', '_')}_{v}")) for m in METRICS])
@@ -242,13 +289,14 @@ def summary_text(facts: DataFrame) -> DataFrame:
         line("- Metric deltas (new-old, absolute points): ", deltas("delta")),
         line("- Metric deltas (new-old, relative %): ", deltas("relative")),
         line("- Anti-pattern counts (newer): ", F.col("anti_patterns")),
-        line("- Most dangerous files (newer): ", F.col("dangerous_files")),
+        line("- Most dangerous files (newer, DV8): ", F.col("dangerous_files")),
         F.concat(F.lit("- DRH file count: old="), "files_old", F.lit(" → new="), "files_new", F.lit(" (Δ="),
                  signed(F.col("files_new") - F.col("files_old")), F.lit(")")),
         F.concat(F.lit("- DRH movement (old→new): "), key_values(
             ("moved_layers", F.col("moved_layers")), ("moved_modules", F.col("moved_modules")),
-            ("added_files", F.col("added_files")), ("removed_files", F.col("removed_files")))),
+            ("added_files", F.col("added_files")), ("removed_files", F.col("removed_files"))), F.lit(MOVE_NOTE)),
         line("- Highest cross-layer penalty modules (newer): ", F.col("cross_modules")),
+        line("- Refactoring hotspot (top module by cross_penalty×size): ", F.col("refactoring_hotspot")),
     )
     return facts.select(*PAIR, F.concat(text, F.lit("\n")).alias("text"))
 
@@ -277,6 +325,7 @@ HINT_FEWER_CYCLES = (
 )
 HINT_MORE_CYCLES = "SCC count changed from %d to %d, indicating more dependency cycles."
 HINT_REMOVED = "The heaviest removed edge was %s -> %s (%s weight=%.0f), indicating a high-coupling dependency was eliminated."
+HINT_OLDER_CYCLES = " The older revision had %d SCC(s) containing %s."
 HINT_ADDED = "The heaviest added edge was %s -> %s (%s weight=%.0f), indicating new coupling was introduced."
 HINT_PATTERN = "Anti-pattern '%s' count changed from %d to %d (delta=%+d)."
 HINT_FILES = "Refer to concrete files that gained architectural importance (e.g., %s)."
@@ -321,6 +370,8 @@ def narrative_hints(
         cn > co, F.format_string(HINT_MORE_CYCLES, co, cn)
     )
     edge = lambda form: F.format_string(form, basename(F.col("src")), basename(F.col("dest")), "kind", "weight")
+    removed = heaviest.filter(F.col("status") == "removed").join(cycles.select(*PAIR, "scc_count_old", "scc_files"), PAIR, "left")
+    older = F.when(F.col("scc_files").isNotNull(), F.format_string(HINT_OLDER_CYCLES, "scc_count_old", "scc_files")).otherwise("")
     po, pn = F.col("n_old"), F.col("n_new")
     order = F.array_position(F.array(*[F.lit(m) for m in METRICS]), F.col("metric"))
     rel = F.coalesce(F.format_string(", %+.2f%% relative", "relative"), F.lit(""))
@@ -332,7 +383,7 @@ def narrative_hints(
     sample = allowed.filter(F.col("rank") <= 5).groupBy(*PAIR).agg(listed(["rank"], "file").alias("sample"))
     rules = [
         _hint(shape, 1, layer_hint), _hint(moves, 2, file_hint), _hint(diff, 3, weight_hint), _hint(cycles, 4, cycle_hint),
-        _hint(heaviest.filter(F.col("status") == "removed"), 5, edge(HINT_REMOVED)),
+        _hint(removed, 5, F.concat(edge(HINT_REMOVED), older)),
         _hint(heaviest.filter(F.col("status") == "added"), 6, edge(HINT_ADDED)),
         _hint(patterns.filter(po != pn), 7, F.format_string(HINT_PATTERN, "type", po, pn, pn - po), F.col("type")),
         _hint(changes.filter(F.col("delta").isNotNull() & (order > 0)), 8, metric_text, order.cast("string")),
@@ -346,12 +397,13 @@ def narrative_hints(
 
 def revision_payloads(
     revisions: DataFrame, metrics: DataFrame, patterns: DataFrame, churn: DataFrame, typed: DataFrame, recent: DataFrame,
-    hotspots: DataFrame, dangerous: DataFrame | None = None,
+    hotspots: DataFrame, dangerous: DataFrame | None = None, scores: DataFrame | None = None, layer_modules: DataFrame | None = None,
 ) -> DataFrame:
     """One nested row per revision: metadata, metrics, pattern counts, churn, typed churn, recent commits, hotspots.
 
     churn(repo, rev, rank, path, churn) and typed(repo, rev, type, commit_count, …) belong to the window that ends
-    at the revision; every collected list is a bounded top-n.
+    at the revision; every collected list is a bounded top-n. scores(repo, rev, mscore_percentage) and
+    layer_modules(repo, rev, layer_no, modules) add the calculated score.
     """
     maps = metrics.filter(F.col("value").isNotNull()).groupBy(*GRAPH).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics")
@@ -372,23 +424,39 @@ def revision_payloads(
     if dangerous is not None:
         rows = dangerous.groupBy(*GRAPH).agg(sorted_list("rank", "file", "fan_in", "fan_out", "churn").alias("dangerous_files"))
         out = out.join(rows, GRAPH, "left")
+    if scores is not None:
+        out = out.join(scores.select(*GRAPH, "mscore_percentage"), GRAPH, "left")
+    if layer_modules is not None:
+        out = out.join(layer_modules.groupBy(*GRAPH).agg(sorted_list("layer_no", "modules").alias("layer_module_counts")), GRAPH, "left")
     return out
 
 
 def payload_markdown(payloads: DataFrame) -> DataFrame:
-    """Short text of a payload: metrics, pattern counts, hotspots, churn, recent commits."""
+    """Short text of a payload: metrics, pattern counts, dangerous files (else hotspots), churn, recent commits."""
+    has = payloads.columns.__contains__
     entries = lambda c: F.coalesce(F.map_entries(c), F.array())
     each = lambda title, items, form: F.concat(
         F.lit(title + "\n"), F.nullif(F.array_join(F.transform(items, form), "\n"), F.lit("")))
+    spots = each("## Structural hotspots (from DSM matrix)", F.slice("structural_hotspots", 1, 5), lambda h: F.concat(
+        F.lit("- Filename: "), h["node"], F.lit(", FanIn: "), h["fan_in"], F.lit(", FanOut: "), h["fan_out"],
+        F.lit(", TotalWeight: "), h["total_weight"]))
+    if has("dangerous_files"):
+        known = lambda v: F.coalesce(v.cast("string"), F.lit(""))
+        spots = F.coalesce(each("## Dangerous files (from DV8 analysis-summary.html)", F.slice("dangerous_files", 1, 5), lambda d: F.concat(
+            F.lit("- Filename: "), d["file"], F.lit(", FanIn: "), known(d["fan_in"]), F.lit(", FanOut: "), known(d["fan_out"]),
+            F.lit(", ChangeChurn: "), known(d["churn"]))), spots)
+    score = [F.concat(F.lit("- m_score_from_dsm_drh: "), F.round("mscore_percentage", 4))] if has("mscore_percentage") else []
+    if has("layer_module_counts"):
+        score.append(each("  - layer_module_counts:", F.col("layer_module_counts"), lambda m: F.concat(
+            F.lit("    - layer "), m["layer_no"], F.lit(": "), m["modules"], F.lit(" modules"))))
     text = F.concat_ws(
         "\n",
         F.concat(F.lit("# Revision Summary: "), "rev"),
         F.concat(F.lit("- Commit: "), "commit_hash", F.lit(" | Date: "), F.date_format("commit_ts", "yyyy-MM-dd"), F.lit(" | Repo: "), "repo"),
-        each("## Metrics", entries("metrics"), lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), F.round(e["value"], 4))),
+        F.coalesce(each("## Metrics", entries("metrics"), lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), F.round(e["value"], 4))), F.lit("## Metrics")),
+        *score,
         each("## Anti-Patterns (counts)", entries("anti_pattern_counts"), lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), e["value"])),
-        each("## Structural hotspots (from DSM matrix)", F.slice("structural_hotspots", 1, 5), lambda h: F.concat(
-            F.lit("- Filename: "), h["node"], F.lit(", FanIn: "), h["fan_in"], F.lit(", FanOut: "), h["fan_out"],
-            F.lit(", TotalWeight: "), h["total_weight"])),
+        spots,
         each("## Top churn files (recent git log)", F.col("churn_top"), lambda c: F.concat(F.lit("- "), c["path"], F.lit(": "), c["churn"], F.lit(" LOC changed"))),
         each("## Recent commits", F.col("git_recent"), lambda c: F.concat(
             F.lit("- "), c["hash"], F.lit(" | "), F.date_format(c["ts"], "yyyy-MM-dd"), F.lit(" | "), c["subject"])),
@@ -423,7 +491,10 @@ def tool_report(problems: DataFrame) -> DataFrame:
     return counts.join(problems.withColumn("_t", text).groupBy(*GRAPH).agg(listed(["ord"], "_t", "\n").alias("report")), GRAPH)
 
 
-# Character budgets of the question context.
+# Titles and character budgets of the question context.
+MODULES_TITLE = "## M-SCORE WORST MODULES (most recent 5 revisions, top 5 by contribution = cross_penalty × size_factor; FanIn/FanOut per file):"
+RISK_TITLE = "## MULTI-SIGNAL FILE RISK SCORES (bug_churn 30% + anti_pattern 25% + fan_in 20% + scc 15% + co_change 10%):"
+COMMITS_TITLE = "## BUG-LINKED COMMITS (JIRA-typed or keyword-matched; most recent first):"
 BUDGET, BUDGET_MODULES, BUDGET_RISK, BUDGET_COMMITS, BUDGET_SUMMARIES, LEAST_NARRATIVE, SUMMARY_BLOCKS = (
     28000, 6000, 4000, 6000, 6000, 500, 8
 )
@@ -437,9 +508,9 @@ def question_context(rows: DataFrame) -> DataFrame:
     section = lambda title, c, size: F.coalesce(
         F.concat(F.lit(title + "\n"), F.substring(F.nullif(F.col(c), F.lit("")), 1, size), F.lit("\n\n")), F.lit(""))
     blocks = F.regexp_extract_all("report_text", F.lit(r"(?s)(## Comprehensive Summary.*?)(?=\n## |\z)"), 1)
-    out = rows.withColumn("_m", section("## M-SCORE WORST MODULES", "modules_text", BUDGET_MODULES))
-    out = out.withColumn("_r", section("## MULTI-SIGNAL FILE RISK SCORES", "risk_text", BUDGET_RISK))
-    out = out.withColumn("_c", section("## BUG-LINKED COMMITS", "commit_text", BUDGET_COMMITS))
+    out = rows.withColumn("_m", section(MODULES_TITLE, "modules_text", BUDGET_MODULES))
+    out = out.withColumn("_r", section(RISK_TITLE, "risk_text", BUDGET_RISK))
+    out = out.withColumn("_c", section(COMMITS_TITLE, "commit_text", BUDGET_COMMITS))
     out = out.withColumn("_s", F.substring(F.coalesce(F.array_join(F.slice(blocks, 1, SUMMARY_BLOCKS), "\n\n"), F.lit("")), 1, BUDGET_SUMMARIES))
     used = F.length("_m") + F.length("_r") + F.length("_c") + F.length("_s")
     left = F.greatest(F.lit(BUDGET) - used, F.lit(0))

@@ -13,8 +13,8 @@ from chronolith.operators import reports as R
 from chronolith.operators import risk as K
 from chronolith.operators import verify as V
 from chronolith.operators.common import PAIR
-from chronolith.plans.graph_queries import ECHANGES, FAN, FANDIR, HOT, LINKS, MOVES, REACH, SCC, SCCSUM, TOPEDGES, _big
-from chronolith.plans.history_queries import DELTAS, KEYROWS, ORD, PTYPED, TOTALS, TYPED
+from chronolith.plans.graph_queries import ECHANGES, FAN, FANDIR, HOT, LINKS, MOVES, PENALTIES, REACH, SCC, SCCSUM, SCORE, TOPEDGES, _big
+from chronolith.plans.history_queries import DELTAS, KEYROWS, ORD, PERIOD, PTYPED, RECENT, SUMMARY_SQL, TOTALS, TYPED
 from chronolith.plans.oracle import sql
 from chronolith.plans.registry import query
 from chronolith.plans.risk_queries import CHURN10, HOT10
@@ -82,8 +82,9 @@ hints AS (
       WHEN n.scc_count > o.scc_count THEN concat('SCC count changed from ', o.scc_count, ' to ', n.scc_count, ', indicating more dependency cycles.') END
     FROM pairs p JOIN sccsum n ON n.repo = p.repo AND n.rev = p.new_rev JOIN sccsum o ON o.repo = p.repo AND o.rev = p.old_rev LEFT JOIN sccfirst f ON f.repo = p.repo AND f.rev = p.old_rev
   UNION ALL SELECT repo, new_rev, CASE status WHEN 'removed' THEN 5 ELSE 6 END, '', concat('The heaviest ', status, ' edge was ', split_part(src, '/', -1), ' -> ', split_part(dest, '/', -1), ' (', kind, ' weight=',
-      CAST(weight AS BIGINT), CASE status WHEN 'removed' THEN '), indicating a high-coupling dependency was eliminated.' ELSE '), indicating new coupling was introduced.' END)
-    FROM topedges WHERE rank = 1 AND weight >= CASE status WHEN 'added' THEN 5 ELSE 10 END
+      CAST(weight AS BIGINT), CASE status WHEN 'removed' THEN concat('), indicating a high-coupling dependency was eliminated.',
+        CASE WHEN names IS NULL THEN '' ELSE concat(' The older revision had ', scc_count, ' SCC(s) containing ', names, '.') END) ELSE '), indicating new coupling was introduced.' END)
+    FROM topedges t LEFT JOIN (SELECT repo AS r, rev AS v, names, scc_count FROM sccfirst JOIN sccsum USING (repo, rev)) o ON o.r = t.repo AND o.v = t.old_rev WHERE rank = 1 AND weight >= CASE status WHEN 'added' THEN 5 ELSE 10 END
   UNION ALL SELECT repo, new_rev, 7, type, concat('Anti-pattern ''', type, ''' count changed from ', o, ' to ', n, ' (delta=', format('{:+d}', n - o), ').') FROM apc WHERE n <> o
   UNION ALL SELECT repo, new_rev, 8, CAST(list_position(['m-score', 'propagation-cost', 'decoupling-level', 'independence-level'], metric) AS VARCHAR), concat(metric, ' changed from ', round(old_value, 2), ' to ',
       round(new_value, 2), ' (delta=', format('{:+.2f}', delta), ' points', CASE WHEN relative IS NULL THEN '' ELSE concat(', ', format('{:+.2f}', relative), '% relative') END, ').') FROM deltas WHERE raw IS NOT NULL)"""
@@ -129,16 +130,80 @@ def _(h):
 
 def _facts(h):
     return R.transition_facts(
-        H.metric_changes(h.metrics), _move_counts(h), _diff(h)[0], _patterns(h), _dangerous(h), R.top_penalties(M.module_scores(h.locations, h.edges)),
+        H.metric_changes(h.metrics), _move_counts(h), _diff(h)[0], _patterns(h), _dangerous(h),
+        R.top_penalties(M.module_scores(h.locations, h.edges)).join(M.sample_files(h.locations, 6), R.MODULE),
         H.period_summary(h.commits, h.file_changes, h.windows))
 
 
-@query("transition_texts_c4")
+TEXTS = """danger AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, rev ORDER BY coalesce(churn, 0) * 10 + CAST(trunc(fan_in) AS BIGINT) + CAST(trunc(fan_out) AS BIGINT) DESC, ord) AS k FROM (
+    SELECT h.repo, h.rev, h.node AS file, h.rank AS ord, round(fan_in, 2) AS fan_in, round(fan_out, 2) AS fan_out, c.churn FROM hot10 h LEFT JOIN churn10 c ON c.repo = h.repo AND c.rev = h.rev AND c.file = h.node)) WHERE k <= 7),
+dtext AS (SELECT repo, rev, string_agg(concat_ws(', ', 'Filename=' || file, 'FanIn=' || fan_in, 'FanOut=' || fan_out, 'ChangeChurn=' || churn), ' | ' ORDER BY k) FILTER (k <= 3) AS d3,
+  string_agg(concat('  - ', file, ' (FanIn=', fan_in, ', FanOut=', fan_out, ', ChangeChurn=', coalesce(CAST(churn AS VARCHAR), 'None'), ')'), chr(10) ORDER BY k) AS d7 FROM danger GROUP BY 1, 2),
+firstfiles AS (SELECT repo, rev, layer_no, module_no, list(split_part(file, '/', -1) ORDER BY file) AS names FROM locations GROUP BY 1, 2, 3, 4),
+crossed AS (SELECT p.*, names, concat('module_key=', p.layer_no, ',', p.module_no, ', layer=', p.layer_no, ', module_size=', module_size, ', cross_penalty=',
+    CASE WHEN round(cross_penalty, 6) <> 0 AND round(cross_penalty, 6) < 0.0001 THEN rtrim(format('{:.6f}', cross_penalty), '0') ELSE CAST(round(cross_penalty, 6) AS VARCHAR) END, ', clddf=', round(1 - cross_penalty, 6)) AS t
+  FROM penalties p JOIN firstfiles f USING (repo, rev, layer_no, module_no) WHERE kind = 'cross' AND rank <= 7),
+ctext AS (SELECT repo, rev, string_agg(concat(t, ', files=[', array_to_string(names[1:3], ', '), ']'), ' | ' ORDER BY rank) AS c4, string_agg(concat('  - ', t), chr(10) ORDER BY rank) AS c4l FROM crossed WHERE rank <= 4 GROUP BY 1, 2),
+top1 AS (SELECT *, row_number() OVER (PARTITION BY repo, rev ORDER BY cross_penalty * module_size DESC, rank) AS w FROM crossed),
+dnames AS (SELECT repo, rev, split_part(file, '/', -1) AS name, arg_min(concat('(FanIn=', CAST(fan_in AS BIGINT), ',FanOut=', CAST(fan_out AS BIGINT), ')'), k) AS f FROM danger GROUP BY 1, 2, 3),
+htext AS (SELECT t.repo, t.rev, concat('Layer ', any_value(layer_no), ' / ', any_value(module_size), ' files, cross_penalty=', format('{:.3f}', any_value(cross_penalty)), ' | files: ',
+    string_agg(CASE WHEN i = 4 THEN '...' ELSE concat(names[i], f) END, ', ' ORDER BY i)) AS h FROM top1 t, range(1, 5) r(i) LEFT JOIN dnames d ON d.repo = t.repo AND d.rev = t.rev AND d.name = names[i]
+  WHERE w = 1 AND i <= len(names) GROUP BY 1, 2),
+dwide AS (SELECT repo, new_rev, string_agg(concat(metric, '=', delta), ', ' ORDER BY m) AS d, string_agg(concat(metric, '=', relative), ', ' ORDER BY m) FILTER (relative IS NOT NULL) AS r,
+    string_agg(concat('- ', metric, ': old=', round(old_value, 2), ' → new=', round(new_value, 2), ' (Δ=', format('{:+.2f}', delta), ' points', CASE WHEN relative IS NULL THEN '' ELSE concat(', ', format('{:+.2f}', relative), '% relative') END, ')'),
+      chr(10) ORDER BY m) AS lines FROM (SELECT *, list_position(['m-score', 'propagation-cost', 'decoupling-level', 'independence-level'], metric) AS m FROM deltas WHERE raw IS NOT NULL) GROUP BY 1, 2),
+mc AS (SELECT repo, new_rev, count(ol) AS fo, count(nl) AS fn, count(*) FILTER (status = 'moved_layer') AS ml, count(*) FILTER (status = 'moved_module') AS mm, count(*) FILTER (status = 'added') AS ad,
+  count(*) FILTER (status = 'removed') AS re FROM moves GROUP BY 1, 2),
+apt AS (SELECT repo, new_rev, string_agg(concat(type, '=', n), ', ' ORDER BY type) AS a FROM apc GROUP BY 1, 2),
+lay AS (SELECT repo, rev, string_agg(concat(layer, ': ', n), ', ' ORDER BY layer) AS t FROM (SELECT repo, rev, layer, count(*) AS n FROM locations GROUP BY ALL) GROUP BY 1, 2),
+big AS (SELECT repo, rev, string_agg(concat('module_path=', module_path, ', files=', n), ' | ' ORDER BY k) AS t FROM (SELECT *, row_number() OVER (PARTITION BY repo, rev ORDER BY n DESC, module_path) AS k FROM (
+  SELECT repo, rev, module_path, count(*) AS n FROM locations GROUP BY ALL)) WHERE k <= 4 GROUP BY 1, 2),
+moved AS (SELECT repo, new_rev, string_agg(concat('- ', file, ': ', ol, ' → ', nl), chr(10) ORDER BY file) FILTER (status = 'moved_layer') AS l, string_agg(concat('- ', file, ': ', om, ' → ', nm), chr(10) ORDER BY file) FILTER (status = 'moved_module') AS m
+  FROM (SELECT *, row_number() OVER (PARTITION BY repo, new_rev, status ORDER BY file) AS k FROM moves) WHERE k <= 12 GROUP BY 1, 2),
+wt AS (SELECT repo, rev, sum(w) AS total, string_agg(concat(kind, '=', w), ', ' ORDER BY kind) AS t FROM (SELECT repo, rev, kind, round(sum(weight), 2) AS w FROM edges GROUP BY 1, 2, 3) GROUP BY 1, 2),
+nc AS (SELECT repo, rev, count(*) AS n FROM (SELECT DISTINCT repo, rev, node FROM nodes) GROUP BY 1, 2),
+firstcommits AS (SELECT r.repo, r.new_rev, string_agg(concat(substring(r.hash, 1, 8), ' ', strftime(ts, '%Y-%m-%d'), ' ', substring(subject, 1, 80), ' ', coalesce(files, 0), ' files'), '; ' ORDER BY r.rank) AS t
+  FROM recentw r LEFT JOIN (SELECT repo, hash, count(*) AS files FROM file_changes GROUP BY 1, 2) f ON r.repo = f.repo AND r.hash = f.hash WHERE r.rank <= 5 GROUP BY 1, 2)"""
+TEXT_TABLES = (*HINT_TABLES, FAN, HOT, HOT10, CHURN10, *SCORE, PENALTIES, RECENT, PERIOD, SUMMARY_SQL, TEXTS)
+MOVED = "concat('moved_layers{c}=', ml, ', moved_modules{c}=', mm, ', added_files{c}=', ad, ', removed_files{c}=', re, ' (note: renames/moves often show up as add+remove)')"
+COUNTED = "fo, ' → new=', fn, ' (Δ=', format('{:+d}', fn - fo), ')'"
+
+
+@query("transition_texts_c4", sql(f"""
+    SELECT p.repo, CAST(p.new_rev AS BIGINT) AS new_rev, CAST(p.old_rev AS BIGINT) AS old_rev,
+      concat(concat_ws(chr(10), '## Comprehensive Summary', '- Metric deltas (new-old, absolute points): ' || d.d, '- Metric deltas (new-old, relative %): ' || d.r, '- Anti-pattern counts (newer): ' || a.a,
+        '- Most dangerous files (newer, DV8): ' || d3, concat('- DRH file count: old=', {COUNTED}), concat('- DRH movement (old→new): ', {MOVED.format(c='')}),
+        '- Highest cross-layer penalty modules (newer): ' || c4, '- Refactoring hotspot (top module by cross_penalty×size): ' || h), chr(10)) AS summary,
+      concat(concat_ws(chr(10), '## DRH Differences', '### Structural Summary', concat('- DRH file count: old=', {COUNTED}), '- Layer file counts (old): ' || lo.t, '- Layer file counts (new): ' || ln.t,
+        '- Largest modules by file count (old): ' || bo.t, '- Largest modules by file count (new): ' || bn.t, '### Movement Summary', concat('- DRH movement (old→new): ', {MOVED.format(c='_count')}),
+        '### Notable Layer Moves (sample)', coalesce(v.l, '- (none)'), '### Notable Module Moves (sample)' || chr(10) || v.m), chr(10)) AS structure
+    FROM pairs p JOIN mc ON mc.repo = p.repo AND mc.new_rev = p.new_rev LEFT JOIN dwide d ON d.repo = p.repo AND d.new_rev = p.new_rev LEFT JOIN apt a ON a.repo = p.repo AND a.new_rev = p.new_rev
+    LEFT JOIN dtext t ON t.repo = p.repo AND t.rev = p.new_rev LEFT JOIN ctext c ON c.repo = p.repo AND c.rev = p.new_rev LEFT JOIN htext x ON x.repo = p.repo AND x.rev = p.new_rev
+    LEFT JOIN lay lo ON lo.repo = p.repo AND lo.rev = p.old_rev LEFT JOIN lay ln ON ln.repo = p.repo AND ln.rev = p.new_rev LEFT JOIN big bo ON bo.repo = p.repo AND bo.rev = p.old_rev
+    LEFT JOIN big bn ON bn.repo = p.repo AND bn.rev = p.new_rev LEFT JOIN moved v ON v.repo = p.repo AND v.new_rev = p.new_rev""", *TEXT_TABLES))
 def _(h):
     h = h.stored("commits", "lines", "file_changes", "nodes", "edges", "locations")
     moves = L.file_moves(h.locations, h.pairs)
     structure = R.structure_text(L.layer_sizes(h.locations), L.largest_modules(h.locations), L.move_counts(moves), L.move_samples(moves))
-    return R.summary_text(_facts(h)).withColumnRenamed("text", "summary").join(structure.withColumnRenamed("text", "structure"), PAIR)
+    rows = R.summary_text(_facts(h)).withColumnRenamed("text", "summary").join(structure.withColumnRenamed("text", "structure"), PAIR)
+    return _big(rows, "new_rev", "old_rev")
+
+
+@query("evidence_texts_c4", sql("""
+    SELECT p.repo, CAST(p.new_rev AS BIGINT) AS new_rev, concat(concat_ws(chr(10), '## Metrics & Evidence', '### DV8 Metric Changes (older→newer)', d.lines,
+        '- note: DV8 metrics are in %; Δ points are absolute (new-old), not percentage points of a 0–1 scale.', concat('- DRH file count (older→newer): ', fo, ' → ', fn, ' (Δ=', format('{:+d}', fn - fo), ')'),
+        '### Evidence Graph (matrix.json derived, if available)', concat('- nodes: new=', nn.n, ', old=', no.n, ', delta=', nn.n - no.n),
+        concat('- edges: new: total_weight=', wn.total, ', ', wn.t, '; old: total_weight=', wo.total, ', ', wo.t), concat('- edges.total_weight delta (new-old): ', format('{:+.2f}', CAST(wn.total - wo.total AS DOUBLE))),
+        concat('- scc_old: scc_count=', so.scc_count, ', largest_scc_size=', so.largest), concat('- scc_new: scc_count=', sn.scc_count, ', largest_scc_size=', sn.largest),
+        '### Risk Signals (newer timestep)', '- anti-pattern counts: ' || a.a, '- dangerous files (top):' || chr(10) || d7, '- highest cross-layer penalty modules (newer):' || chr(10) || c4l,
+        CASE WHEN total_commits IS NOT NULL THEN '### Commit Context (older→newer window)' END, '- top commits (sample): ' || f.t, '- hotspot files (sample): ' || hotspot_files), chr(10)) AS text
+    FROM pairs p JOIN mc ON mc.repo = p.repo AND mc.new_rev = p.new_rev LEFT JOIN dwide d ON d.repo = p.repo AND d.new_rev = p.new_rev LEFT JOIN apt a ON a.repo = p.repo AND a.new_rev = p.new_rev
+    LEFT JOIN dtext t ON t.repo = p.repo AND t.rev = p.new_rev LEFT JOIN ctext c ON c.repo = p.repo AND c.rev = p.new_rev JOIN nc nn ON nn.repo = p.repo AND nn.rev = p.new_rev JOIN nc no ON no.repo = p.repo AND no.rev = p.old_rev
+    JOIN wt wn ON wn.repo = p.repo AND wn.rev = p.new_rev JOIN wt wo ON wo.repo = p.repo AND wo.rev = p.old_rev JOIN sccsum sn ON sn.repo = p.repo AND sn.rev = p.new_rev JOIN sccsum so ON so.repo = p.repo AND so.rev = p.old_rev
+    LEFT JOIN summary s ON s.repo = p.repo AND s.new_rev = p.new_rev LEFT JOIN firstcommits f ON f.repo = p.repo AND f.new_rev = p.new_rev""", *TEXT_TABLES))
+def _(h):
+    rows = R.evidence_text(_facts(h.stored("commits", "lines", "file_changes", "nodes", "edges", "locations")))
+    return _big(rows.drop("old_rev"), "new_rev")
 
 
 PAYLOAD = """SELECT r.repo, CAST(r.rev AS BIGINT) AS rev, r.commit_hash, round(m.ms, 6) AS m_score, a.n AS cliques, h.node AS top_hotspot, h.total_weight AS top_weight, c.path AS top_churn, c.churn AS churn, t.k AS types,
@@ -151,9 +216,11 @@ PAYLOAD = """SELECT r.repo, CAST(r.rev AS BIGINT) AS rev, r.commit_hash, round(m
 
 def _payloads(h):
     typed = H.typed_totals(H.assign_windows(h.commits, h.windows), h.file_changes, h.issues, ["repo", "new_rev"]).withColumnRenamed("new_rev", "rev")
+    # revisions without a summary page list hotspots instead of dangerous files
+    paged = _dangerous(h).join(h.anti_patterns.select("repo", "rev").distinct(), ["repo", "rev"], "left_semi")
     return R.revision_payloads(
         h.revisions, h.metrics, R.anti_pattern_counts(h.anti_patterns), K.churn_by_revision(h.placed, h.file_changes, 10), typed, H.recent_commits(h.commits),
-        G.hotspots(h.nodes.select("repo", "rev", "node"), h.edges))
+        G.hotspots(h.nodes.select("repo", "rev", "node"), h.edges), paged, M.mscore(M.module_scores(h.locations, h.edges)), L.layer_module_counts(h.locations))
 
 
 @query("revision_payloads_c3_k6", sql(PAYLOAD, KEYROWS, TYPED, PTYPED, f"totals AS ({TOTALS})", ORD, FAN, HOT, HOT10, CHURN10))
@@ -175,15 +242,46 @@ def _(h):
         first("git_recent", "hash").alias("newest_commit"))
 
 
-@query("payload_texts_k6")
+SPOT = "string_agg(concat('- Filename: ', {c}, ', FanIn: ', round(fan_in, 2), ', FanOut: ', round(fan_out, 2), {rest}), chr(10) ORDER BY {k}) FILTER ({k} <= 5)"
+
+
+@query("payload_texts_k6", sql(f"""
+    SELECT r.repo, CAST(r.rev AS BIGINT) AS rev, concat_ws(chr(10), concat('# Revision Summary: ', r.rev), concat('- Commit: ', commit_hash, ' | Date: ', strftime(commit_ts, '%Y-%m-%d'), ' | Repo: ', r.repo), '## Metrics', m.t,
+      concat('- m_score_from_dsm_drh: ', round(s.score, 4)), '  - layer_module_counts:' || chr(10) || y.t, '## Anti-Patterns (counts)' || chr(10) || a.t,
+      CASE WHEN a.t IS NOT NULL AND d.t IS NOT NULL THEN concat('## Dangerous files (from DV8 analysis-summary.html)', chr(10), d.t) ELSE '## Structural hotspots (from DSM matrix)' || chr(10) || h.t END,
+      '## Top churn files (recent git log)' || chr(10) || c.t, '## Recent commits' || chr(10) || g.t) AS text
+    FROM revisions r LEFT JOIN (SELECT repo, rev, string_agg(concat('- ', metric, ': ', round(value, 4)), chr(10) ORDER BY metric) AS t FROM metrics WHERE value IS NOT NULL GROUP BY 1, 2) m ON m.repo = r.repo AND m.rev = r.rev
+    LEFT JOIN (SELECT repo, rev, mscore_percentage AS score FROM (SELECT repo, rev, sum(contribution) * 100 AS mscore_percentage FROM mscores GROUP BY 1, 2)) s ON s.repo = r.repo AND s.rev = r.rev
+    LEFT JOIN (SELECT repo, rev, string_agg(concat('    - layer ', layer_no, ': ', n, ' modules'), chr(10) ORDER BY layer_no) AS t FROM (SELECT repo, rev, layer_no, count(DISTINCT module_no) AS n FROM locations GROUP BY 1, 2, 3) GROUP BY 1, 2) y
+      ON y.repo = r.repo AND y.rev = r.rev
+    LEFT JOIN (SELECT repo, rev, string_agg(concat('- ', type, ': ', n), chr(10) ORDER BY type) AS t FROM (SELECT repo, rev, type, count(*) AS n FROM anti_patterns GROUP BY 1, 2, 3) GROUP BY 1, 2) a ON a.repo = r.repo AND a.rev = r.rev
+    LEFT JOIN (SELECT repo, rev, {SPOT.format(c='file', k='k', rest="', ChangeChurn: ', churn")} AS t FROM danger GROUP BY 1, 2) d ON d.repo = r.repo AND d.rev = r.rev
+    LEFT JOIN (SELECT repo, rev, {SPOT.format(c='node', k='rank', rest="', TotalWeight: ', round(total_weight, 2)")} AS t FROM hot10 GROUP BY 1, 2) h ON h.repo = r.repo AND h.rev = r.rev
+    LEFT JOIN (SELECT repo, rev, string_agg(concat('- ', path, ': ', churn, ' LOC changed'), chr(10) ORDER BY rank) AS t FROM churn10 GROUP BY 1, 2) c ON c.repo = r.repo AND c.rev = r.rev
+    LEFT JOIN (SELECT repo, string_agg(concat('- ', substring(hash, 1, 7), ' | ', strftime(ts, '%Y-%m-%d'), ' | ', trim(subject)), chr(10) ORDER BY position) AS t FROM ordered WHERE position <= 5 GROUP BY 1) g ON g.repo = r.repo""",
+    *TEXT_TABLES, ORD))
 def _(h):
-    return R.payload_markdown(_payloads(h.stored("commits", "lines", "file_changes", "nodes", "edges")))
+    rows = R.payload_markdown(_payloads(h.stored("commits", "lines", "file_changes", "nodes", "edges", "locations")))
+    return _big(rows, "rev")
+
+
+# every section is filled from the document: whole, if long enough, or with a heading for the summary block
+SECTIONS = f"""SELECT doc_id, length(c) AS chars, md5(c) AS digest FROM (
+  SELECT doc_id, concat(m, r, k, b, chr(10), chr(10), CASE WHEN room > {R.LEAST_NARRATIVE} THEN substring(report, 1, CAST(room AS INTEGER)) ELSE '' END) AS c FROM (
+    SELECT *, greatest({R.BUDGET} - length(m) - length(r) - length(k) - length(b), 0) AS room FROM (
+      SELECT doc_id, concat('{R.MODULES_TITLE}', chr(10), substring(text, 1, 6000), chr(10), chr(10)) AS m,
+        CASE WHEN n_chars > 500 THEN concat('{R.RISK_TITLE}', chr(10), substring(text, 1, 4000), chr(10), chr(10)) ELSE '' END AS r,
+        concat('{R.COMMITS_TITLE}', chr(10), substring(text, 1, 6000), chr(10), chr(10)) AS k,
+        substring(split_part(concat('## Comprehensive Summary', chr(10), text, chr(10), '## Other'), concat(chr(10), '## '), 1), 1, 6000) AS b,
+        concat('## Comprehensive Summary', chr(10), text, chr(10), '## Other', chr(10), text) AS report FROM documents WHERE text <> '')))"""
 
 
-@query("question_contexts_c10", "SELECT doc_id, least(length(text), 28000) + 0 AS chars, md5(substring(text, 1, 28000)) AS digest FROM documents")
+@query("question_contexts_c10", SECTIONS)
 def _(h):
-    rows = h.table("documents").select(
-        "doc_id", F.lit("").alias("modules_text"), F.lit(None).cast("string").alias("risk_text"), F.lit("").alias("commit_text"), F.col("text").alias("report_text"))
+    text = F.col("text")
+    report = F.concat(F.lit("## Comprehensive Summary\n"), text, F.lit("\n## Other\n"), text)
+    rows = h.table("documents").filter(text != "").select(
+        "doc_id", text.alias("modules_text"), F.when(F.col("n_chars") > 500, text).alias("risk_text"), text.alias("commit_text"), report.alias("report_text"))
     return R.question_context(rows).select("doc_id", F.length("context").cast("bigint").alias("chars"), F.md5("context").alias("digest"))
 
 

@@ -95,11 +95,13 @@ def test_rank_correlation(spark):
     assert got[(flat, flat)].rho == 1.0 and got[("risk_score", flat)].rho == 0.0 and len(got) == 49
 
 
-def test_p_values_of_known_points():
+def test_p_values_of_known_points(spark):
+    points = spark.createDataFrame([(0.6319, 10), (0.4629, 30), (0.0, 12), (1.0, 12), (0.5, 2), (-0.1, 100000)], "r double, n long")
+    five, one, none, full, few, many = [x.p for x in points.select(S.correlation_p(F.col("r"), F.col("n")).alias("p")).collect()]
     # two-sided 5 % and 1 % critical values of the correlation for 8 and 28 degrees of freedom
-    assert S.correlation_p(0.6319, 10) == pytest.approx(0.05, abs=2e-4)
-    assert S.correlation_p(0.4629, 30) == pytest.approx(0.01, abs=2e-4)
-    assert S.correlation_p(0.0, 12) == 1.0 and S.correlation_p(1.0, 12) == 0.0 and math.isnan(S.correlation_p(0.5, 2))
+    assert five == pytest.approx(0.05, abs=2e-4)
+    assert one == pytest.approx(0.01, abs=2e-4)
+    assert none == 1.0 and full == 0.0 and few is None and many < 1e-12
 
 
 def test_statistics_by_type_put_plain_files_last(spark):
