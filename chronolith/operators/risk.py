@@ -152,7 +152,7 @@ def typed_churn_by_revision(placed: DataFrame, changes: DataFrame, issues: DataF
 def risk_signals(
     commits: DataFrame, changes: DataFrame, issues: DataFrame, revisions: DataFrame, nodes: DataFrame, edges: DataFrame,
     membership: DataFrame, dangerous: DataFrame | None = None, hotspot_top_n: int | None = None, churn_top_n: int | None = None,
-    typed_top_n: int | None = None, dangerous_top_n: int = 10, threshold: int = 3, count_mode: str = "pair", bulk_size: int = 100,
+    typed_top_n: int | None = None, dangerous_top_n: int = 10, threshold: int = 3, count_mode: str = "pair",
 ) -> tuple[DataFrame, DataFrame]:
     """The raw signal table and the anti-pattern types per file, from canonical tables.
 
@@ -176,7 +176,7 @@ def risk_signals(
     declared = edges.join(newest, ["repo", "rev"], "left_semi").select(
         "repo", normalise_path(F.col("src")).alias("src"), normalise_path(F.col("dest")).alias("dest")
     )
-    partners = cochange_partners(touched, declared, threshold, bulk_size)
+    partners = cochange_partners(touched, declared, threshold)
     cycles = graph.scc_counts(graph.scc_members(edges), pairs, count_mode)
     rows = reduce(DataFrame.unionByName, [
         structural_signals(hot, patterns, churn),

@@ -196,7 +196,7 @@ def _(h):
 @query("cochange_pairs_bulk_j5", sql("SELECT * FROM copairs", COARSE, COPAIRS.format(t="coarse", k=4)))
 def _(h):
     # commits of more than four files go the class-based way
-    return K.cochange_pairs(_coarse(h), 4, bulk_size=4)
+    return K.cochange_pairs(_coarse(h), 4, block=4)
 
 
 @query("cochange_partners_j6_a12", sql("SELECT * FROM partners", FINE, COPAIRS.format(t="fine", k=2), PARTNERS))
@@ -206,7 +206,7 @@ def _(h):
 
 @query("cochange_partners_bulk_j6_a12", sql("SELECT * FROM partners", FINE, COPAIRS.format(t="fine", k=2), PARTNERS))
 def _(h):
-    return K.cochange_partners(_fine(h), _declared(h), 2, bulk_size=5)
+    return K.cochange_partners(_fine(h), _declared(h), 2, block=5)
 
 
 # --- clusterings -------------------------------------------------------------------
