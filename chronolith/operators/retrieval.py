@@ -1,14 +1,14 @@
 """Chunks, TF-IDF postings and cosine retrieval for a table of questions.
 
-chunks(chunk_id, layer, subtype, repo, model, source_file, ord, text). No question is ever paired with all
-chunks: chunks sharing a term come from the postings, chunks that win by boosts alone from pruned heads.
+chunks(chunk_id, layer, subtype, repo, model, source_file, ord, text). Chunks sharing a term come from the postings,
+common terms only while they can still change the first rows; chunks that win by boosts alone come from pruned heads.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions import classify as C
@@ -19,6 +19,10 @@ from chronolith.session import cut_lineage
 CHUNK_SIZE, CHUNK_OVERLAP, SHORTEST_CHUNK = 1200, 200, 80
 NAME_BOOST, REPO_BOOST, DIFF_BOOST = 0.15, 0.1, 0.05
 CHUNK_ORDER = ["layer", "source_file", "ord"]
+#: Terms are read for lower bounds until their lists hold this many postings per wanted row.
+SEEDS_PER_ROW = 50
+#: Scores are compared after rounding; a bound this close to the threshold counts as reaching it.
+SLACK = 1e-7
 
 
 def chunked(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, shortest: int = SHORTEST_CHUNK) -> DataFrame:
@@ -106,64 +110,118 @@ def _heads(chunks: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 def _name_hits(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(q_id, name, hits): distinct question tokens contained in a file name, by an equi join on its substrings."""
-    names = chunks.select(F.lower(basename(F.col("source_file"))).alias("name")).distinct()
-    n = F.length("name")
-    spans = F.flatten(F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda m: F.substring(F.col("name"), i, m)),
-    ))
-    parts = names.filter(n > 0).select("name", F.explode(F.array_distinct(spans)).alias("token"))
+    """(q_id, name, hits): distinct question tokens contained in a file name, by an equi join on substrings.
+
+    Only spans as long as some question token are cut out of a name, and only spans that are question tokens are kept.
+    """
     asked = questions.select("q_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("token"))
+    lengths = asked.select(F.length("token").alias("m")).distinct()
+    names = chunks.select(F.lower(basename(F.col("source_file"))).alias("name")).distinct().withColumn("n", F.length("name"))
+    sized = names.filter("n > 0").select("name", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("m")).join(lengths, "m")
+    spans = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("m") + 1), lambda i: F.substring(F.col("name"), i, F.col("m")))
+    parts = sized.select("name", F.explode(F.array_distinct(spans)).alias("token"))
     return asked.join(parts, "token").groupBy("q_id", "name").agg(F.count(F.lit(1)).alias("hits"))
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, idf: DataFrame, postings: DataFrame, chunk_norms: DataFrame, top_k: int = 6, digits: int = 9) -> DataFrame:
-    """The ``top_k`` chunks per question by cosine plus boosts, in chunk order on ties.
+def _own_boost() -> Column:
+    """Boosts of a chunk's repository and kind."""
+    return (
+        F.when((F.col("q_repo") != "") & (F.col("q_repo") == F.col("repo")) & (F.col("layer") != "L1"), REPO_BOOST).otherwise(0.0)
+        + F.when(F.col("subtype") == "drh_diff", DIFF_BOOST).otherwise(0.0)
+    )
 
-    questions(q_id, question, repo, interp_model, layers).
-    """
-    q_vec = weighted(term_counts(questions, ["q_id"], "question"), idf)
-    q_norm = norms(q_vec, ["q_id"]).withColumnRenamed("norm", "q_norm")
-    asked = questions.select("q_id", "repo", "interp_model", "layers").withColumnRenamed("repo", "q_repo")
-    terms = q_vec.select("q_id", "term", F.col("w").alias("q_w")).join(asked.drop("q_repo"), "q_id")
-    dots = (
-        terms.join(postings, "term")
-        .filter(in_pool(F.col("layers"), F.col("interp_model"), F.col("layer"), F.col("model")))
-        .groupBy("q_id", "chunk_id").agg(F.sum(F.col("q_w") * F.col("w")).alias("dot"))
+
+def _boosted(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """Adds ``boost``: file-name hits, own repository, comparison reports."""
+    named = rows.withColumn("name", F.lower(basename(F.col("source_file")))).join(hits, ["q_id", "name"], "left")
+    return named.withColumn("boost", NAME_BOOST * F.coalesce("hits", F.lit(0)) + _own_boost()).drop("name", "hits")
+
+
+def _cosines(pairs: DataFrame, terms: DataFrame, lists: DataFrame) -> DataFrame:
+    """(q_id, chunk_id, cosine) of the given pairs."""
+    return (
+        pairs.join(terms.select("q_id", "term", "q_w", "q_norm"), "q_id")
+        .join(lists.select("chunk_id", "term", "w", "norm"), ["chunk_id", "term"])
+        .groupBy("q_id", "chunk_id").agg((F.sum(F.col("q_w") * F.col("w")) / F.first(F.col("norm") * F.col("q_norm"))).alias("cosine"))
     )
-    meta = chunks.select("chunk_id", "layer", "subtype", "repo", "model", "source_file", "ord")
-    sharing = dots.join(meta, "chunk_id")
-    hits = _name_hits(questions, chunks)
+
+
+def _winners_by_boost(asked: DataFrame, chunks: DataFrame, hits: DataFrame, meta: list[str], k: int) -> DataFrame:
+    """Chunks that can be among the first k without a shared term: the heads of every class of equal boosts."""
     pool = in_pool(F.col("layers"), F.col("interp_model"), F.col("layer"), F.col("model"))
-    cols = ["q_id", *meta.columns]
-    is_diff = F.coalesce(F.col("subtype") == "drh_diff", F.lit(False)).alias("is_diff")
+    cols = ["q_id", "q_repo", *meta]
+    flagged = chunks.withColumn("is_diff", F.coalesce(F.col("subtype") == "drh_diff", F.lit(False)))
     named = (
-        _heads(chunks.withColumn("name", F.lower(basename(F.col("source_file")))).withColumn("is_diff", is_diff),
-               ["name", "layer", "repo", "model", "is_diff"], top_k)
+        _heads(flagged.withColumn("name", F.lower(basename(F.col("source_file")))), ["name", "layer", "repo", "model", "is_diff"], k)
         .join(hits, "name").join(asked, "q_id").filter(pool).select(*cols)
     )
-    flagged = chunks.withColumn("is_diff", is_diff)
     spread = asked.withColumn("layer", F.explode(F.coalesce("layers", F.array(*[F.lit(x) for x in ("L1", "L2", "L3", "L4")]))))
-    anywhere = _heads(flagged, ["layer", "model", "is_diff"], top_k).join(spread, "layer").filter(pool).select(*cols)
+    anywhere = _heads(flagged, ["layer", "model", "is_diff"], k).join(spread, "layer").filter(pool).select(*cols)
     at_home = (
-        _heads(flagged, ["layer", "repo", "model", "is_diff"], top_k)
+        _heads(flagged, ["layer", "repo", "model", "is_diff"], k)
         .join(spread.withColumn("repo", F.col("q_repo")), ["layer", "repo"]).filter(pool).select(*cols)
     )
-    plain = reduce(DataFrame.unionByName, [named, anywhere, at_home]).distinct().join(
-        dots.select("q_id", "chunk_id"), ["q_id", "chunk_id"], "left_anti"
-    ).withColumn("dot", F.lit(0.0))
-    rows = sharing.select(*cols, "dot").unionByName(plain)
-    rows = rows.withColumn("name", F.lower(basename(F.col("source_file")))).join(hits, ["q_id", "name"], "left")
-    rows = rows.join(chunk_norms, "chunk_id", "left").join(q_norm, "q_id", "left").join(asked.select("q_id", "q_repo"), "q_id")
-    length = F.nullif(F.col("norm") * F.col("q_norm"), F.lit(0.0))
-    cosine = F.coalesce(F.try_divide(F.col("dot"), length), F.lit(0.0))
-    boost = (
-        NAME_BOOST * F.coalesce("hits", F.lit(0))
-        + F.when((F.col("q_repo") != "") & (F.col("q_repo") == F.col("repo")) & (F.col("layer") != "L1"), REPO_BOOST).otherwise(0.0)
-        + F.when(F.col("subtype") == "drh_diff", DIFF_BOOST).otherwise(0.0)
+    return reduce(DataFrame.unionByName, [named, anywhere, at_home]).distinct()
+
+
+def candidates(terms: DataFrame, lists: DataFrame, heads: DataFrame, hits: DataFrame, meta: DataFrame, top_k: int) -> DataFrame:
+    """(q_id, chunk_id): the chunks whose shared terms can lift them among the first ``top_k``; exact, no list is cut.
+
+    terms(q_id, term, q_u, q_repo, layers, interp_model), lists(term, chunk_id, layer, model, u), u: weights over norms.
+    A term adds at most ``q_u`` times the largest ``u`` of its list; several terms add at most the norm of their ``q_u``, as the
+    norm of a chunk's ``u`` is 1. Terms are ordered from rare to common. The chunks in the first few lists are scored, the
+    k-th best score is a threshold. A chunk whose rarest shared term is t scores at most the bound of t and of all terms
+    after it plus its boost, so of that list only chunks are open whose boost makes up for what is lacking.
+    """
+    tops = lists.groupBy("term").agg(F.max("u").alias("top"), F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("q_id").orderBy("df", "term")
+    onward = order.rowsBetween(0, Window.unboundedFollowing)
+    bounded = cut_lineage(
+        terms.join(tops, "term")
+        .withColumn("rest", F.least(F.sum(F.col("q_u") * F.col("top")).over(onward), F.sqrt(F.sum(F.col("q_u") * F.col("q_u")).over(onward))))
+        .withColumn("before", F.coalesce(F.sum("df").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    )
+    fits = in_pool(F.col("layers"), F.col("interp_model"), F.col("layer"), F.col("model"))
+    rare = bounded.filter(F.col("before") < SEEDS_PER_ROW * top_k).join(lists, "term").filter(fits).select("q_id", "q_repo", "chunk_id").distinct()
+    seeds = rare.join(_cosines(rare.select("q_id", "chunk_id"), terms, lists), ["q_id", "chunk_id"]).join(meta, "chunk_id")
+    lower = _boosted(seeds.unionByName(heads.withColumn("cosine", F.lit(0.0))), hits)
+    best = lower.groupBy("q_id", "chunk_id").agg(F.max(F.col("cosine") + F.col("boost")).alias("least"))
+    kth = top_rows(best, ["q_id"], [F.col("least").desc(), F.col("chunk_id")], top_k).filter(F.col("rank") == top_k).select("q_id", "least")
+    limits = cut_lineage(bounded.join(kth, "q_id", "left").withColumn("lacks", F.coalesce(F.col("least") - F.col("rest") - SLACK, F.lit(0.0))))
+    plain = limits.filter(F.col("lacks") <= REPO_BOOST + DIFF_BOOST).join(lists, "term").filter(fits & (_own_boost() >= F.col("lacks")))
+    named = (
+        limits.filter(F.col("lacks") > 0).join(hits, "q_id").join(lists, ["term", "name"])
+        .filter(fits & (NAME_BOOST * F.col("hits") + _own_boost() >= F.col("lacks")))
+    )
+    return plain.select("q_id", "chunk_id").unionByName(named.select("q_id", "chunk_id")).distinct()
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, idf: DataFrame, postings: DataFrame, chunk_norms: DataFrame, top_k: int = 6, digits: int = 9) -> DataFrame:
+    """The ``top_k`` chunks per question by cosine plus boosts, in chunk order on ties.
+
+    questions(q_id, question, repo, interp_model, layers). Only the lists of question terms are read; only chunks that
+    can still win are scored.
+    """
+    q_vec = weighted(term_counts(questions, ["q_id"], "question"), idf)
+    asked = questions.select("q_id", "repo", "interp_model", "layers").withColumnRenamed("repo", "q_repo")
+    q_norm = norms(q_vec, ["q_id"]).withColumnRenamed("norm", "q_norm")
+    terms = cut_lineage(
+        q_vec.join(q_norm, "q_id").join(asked, "q_id")
+        .select("q_id", "term", F.col("w").alias("q_w"), "q_norm", (F.col("w") / F.col("q_norm")).alias("q_u"), "q_repo", "layers", "interp_model")
+    )
+    meta = chunks.select("chunk_id", "layer", "subtype", "repo", "model", "source_file", "ord")
+    lists = cut_lineage(
+        postings.join(terms.select("term").distinct(), "term", "left_semi").join(chunk_norms, "chunk_id")
+        .join(meta.select("chunk_id", "repo", "subtype", F.lower(basename(F.col("source_file"))).alias("name")), "chunk_id")
+        .select("chunk_id", "layer", "model", "repo", "subtype", "name", "term", "w", "norm", (F.col("w") / F.col("norm")).alias("u"))
     )
-    scored = rows.withColumn("score", F.round(cosine + boost, digits))
+    hits = cut_lineage(_name_hits(questions, chunks))
+    heads = cut_lineage(_winners_by_boost(asked, chunks, hits, meta.columns, top_k))
+    open_pairs = cut_lineage(candidates(terms, lists, heads, hits, meta, top_k))
+    sharing = _cosines(open_pairs, terms, lists).join(meta, "chunk_id").join(asked.select("q_id", "q_repo"), "q_id")
+    # a head that shares only lists left out scores below the threshold with its words, too
+    plain = heads.join(open_pairs, ["q_id", "chunk_id"], "left_anti").withColumn("cosine", F.lit(0.0))
+    scored = _boosted(sharing.unionByName(plain), hits).withColumn("score", F.round(F.col("cosine") + F.col("boost"), digits))
     return top_rows(scored, ["q_id"], [F.col("score").desc(), *[F.col(c) for c in CHUNK_ORDER]], top_k).select(
         "q_id", "rank", "chunk_id", "score"
     )
