@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from chronolith.operators.common import PAIR, by_pair, pair_column, top_rows, when_side
-from chronolith.session import cut_and_count, cut_lineage
+from chronolith.session import cut_and_count, cut_lineage, drop_scratch
 
 GRAPH = ["repo", "rev"]
 
@@ -144,7 +144,9 @@ def _peeled(links: DataFrame) -> DataFrame:
 def _trim(links: DataFrame, size: int) -> tuple[DataFrame, int]:
     """Peel edges that cannot lie on a cycle until nothing changes."""
     while size:
-        links, left = cut_and_count(_peeled(links))
+        before = links
+        links, left = cut_and_count(_peeled(before))
+        drop_scratch(before)
         if left == size:
             break
         size = left
@@ -154,9 +156,9 @@ def _trim(links: DataFrame, size: int) -> tuple[DataFrame, int]:
 def _spread_labels(links: DataFrame, size: int) -> DataFrame:
     """Per node the smallest node that reaches it (``up``) and the smallest node it reaches (``down``)."""
     node = lambda end: links.select(*GRAPH, F.col(end).alias("node"))
-    labels = node("src").unionByName(node("dest")).distinct().select(
+    labels = cut_lineage(node("src").unionByName(node("dest")).distinct().select(
         *GRAPH, "node", F.col("node").alias("up"), F.col("node").alias("down"), F.lit(True).alias("moved")
-    )
+    ))
     while True:
         active = labels.filter("moved")
         forward = links.alias("e").join(active.alias("l"), _on("e", "l", ("src", "node"))).select(
@@ -169,11 +171,13 @@ def _spread_labels(links: DataFrame, size: int) -> DataFrame:
             F.min("up").alias("offer_up"), F.min("down").alias("offer_down")
         )
         up, down = F.least("up", "offer_up"), F.least("down", "offer_down")
-        labels = labels.drop("moved").join(offers, [*GRAPH, "node"], "left").select(
+        before = labels
+        labels = before.drop("moved").join(offers, [*GRAPH, "node"], "left").select(
             *GRAPH, "node", up.alias("up"), down.alias("down"), ((up < F.col("up")) | (down < F.col("down"))).alias("moved")
         )
         moving = Observation()
         labels = cut_lineage(labels.observe(moving, F.count_if("moved").alias("n")))
+        drop_scratch(before)
         if not moving.get["n"]:
             return labels.drop("moved")
 
@@ -194,13 +198,14 @@ def scc_members(edges: DataFrame) -> DataFrame:
         labels = _spread_labels(links, size)
         done = F.col("up") == F.col("down")
         found.append(labels.filter(done).select(*GRAPH, F.col("up").alias("component"), "node"))
-        rest = labels.filter(~done)
+        rest, before = labels.filter(~done), links
         links, size = cut_and_count(
-            links.alias("e").join(rest.alias("s"), _on("e", "s", ("src", "node")))
+            before.alias("e").join(rest.alias("s"), _on("e", "s", ("src", "node")))
             .join(rest.alias("d"), _on("e", "d", ("dest", "node")))
             .filter((F.col("s.up") == F.col("d.up")) & (F.col("s.down") == F.col("d.down")))
             .select("e.repo", "e.rev", "e.src", "e.dest")
         )
+        drop_scratch(before)
     if not found:
         return edges.select(*GRAPH, F.col("src").alias("component"), F.col("src").alias("node")).limit(0)
     sets = reduce(DataFrame.unionByName, found)

@@ -52,7 +52,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
 
 
 def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
@@ -62,6 +64,13 @@ def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
     return table, seen.get["rows"]
 
 
+def drop_scratch(table: DataFrame) -> None:
+    """Deletes a table that ``cut_lineage`` wrote and nothing reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/chronolith-{label}-{uuid.uuid4().hex}"
