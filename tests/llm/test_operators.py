@@ -383,3 +383,12 @@ def test_pipeline_stages(spark, tmp_path):
     final = corpus_pipeline.run(spark, str(tmp_path)).collect()
     taken = Counter(ids[4])
     assert Counter(r.doc_id for r in final if r.piece == 0) == taken and max(taken.values()) <= 3
+
+
+def test_language_stage_keeps_one_word_documents(spark):
+    import corpus_pipeline
+
+    draw = random.Random(9)
+    words = ["Avec.", "Qzx.", "Jk!", "Vw", "Ypq", "Xo.", "Wz", "Mxt", "Zu.", "Kry", "Oui", "Nyq"]
+    docs = docs_frame(spark, [*[sentence(draw, 200) for _ in range(40)], sentence(draw, 200) + " " + " ".join(words), *words, "...", None])
+    assert [r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").orderBy("doc_id").collect()] == list(range(41 + len(words)))
