@@ -161,17 +161,16 @@ def section_body(text: Column, heading: str) -> Column:
     return strip(F.regexp_extract(text, rf"(?ms)^[^\S\n]*\Q{heading}\E[^\S\n]*$\n?(.*?)(?=^## |\z)", 1))
 
 
-def driver_bullets(text: Column, title: str = "## Likely Drivers", cap: int = 15) -> Column:
-    """One titled list of '-' bullets: headings and blanks dropped, numbering and plain lines turned into bullets."""
+def driver_bullets(text: Column, title: str = "## Likely Drivers", cap: int | None = 15) -> Column:
+    """One titled list of '-' bullets, the first ``cap`` (None: all): headings and blanks dropped, numbering and plain lines turned into bullets."""
     body = F.transform(_from(_lines(text), F.lit(2)), strip)
     kept = F.filter(body, lambda s: (s != "") & ~s.rlike(r"^#{1,6}\s+"))
-    bullets = F.slice(
-        F.transform(
-            kept,
-            lambda s: F.concat(F.lit("- "), strip(F.regexp_replace(s, r"^(?:[0-9]+[).:-]\s+|- )", ""))),
-        ),
-        1, cap,
+    bullets = F.transform(
+        kept,
+        lambda s: F.concat(F.lit("- "), strip(F.regexp_replace(s, r"^(?:[0-9]+[).:-]\s+|- )", ""))),
     )
+    if cap is not None:
+        bullets = F.slice(bullets, 1, cap)
     shown = F.when(F.size(bullets) == 0, F.array(F.lit("- (missing)"))).otherwise(bullets)
     out = F.concat(F.lit(title + "\n"), F.array_join(shown, "\n"), F.lit("\n"))
     return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(out)

@@ -10,13 +10,13 @@ from chronolith.session import cut_lineage
 PAIR = ["repo", "new_rev", "old_rev"]
 
 
-def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
-    """The first ``n`` rows of every group.
+def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int | None, rank: str = "rank") -> DataFrame:
+    """The first ``n`` rows of every group, all if None (one window task per group; ``numbered`` takes groups of any size).
 
     Spark prunes to ``n`` rows per group and task before the shuffle, so a hot group costs n rows per task.
     """
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
-    return ranked.filter(F.col(rank) <= n)
+    return ranked if n is None else ranked.filter(F.col(rank) <= n)
 
 
 def running_total(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str) -> DataFrame:

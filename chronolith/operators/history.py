@@ -99,15 +99,18 @@ def sample_even(commits: DataFrame, count: int) -> DataFrame:
     return placed.join(sizes, "repo").filter((F.col("_n") < count) | chosen).drop("_n")
 
 
-def sample_recent(commits: DataFrame, count: int, months: int) -> DataFrame:
+def sample_recent(commits: DataFrame, count: int, months: int, last: int | None = None) -> DataFrame:
     """Newest-first greedy picks at least ``months`` * 30 days apart; the oldest seen commit fills up a short list.
 
-    Only the newest count * months * 100 commits are looked at, so the fold runs over a bounded array.
+    All commits are looked at, or the newest ``last`` if given. A pick is the first commit of its day, so the fold runs
+    over the days of the history, whatever the number of commits.
     """
-    seen = top_rows(commits, ["repo"], newest_first(), count * months * 100, "position")
-    folded = seen.groupBy("repo").agg(
-        F.array_sort(F.collect_list(F.struct("position", F.col("ts").cast("date").alias("day")))).alias("line")
-    )
+    if last is None:
+        seen = numbered(commits, ["repo"], newest_first(), "position")
+    else:
+        seen = top_rows(commits, ["repo"], newest_first(), last, "position")
+    days = seen.groupBy("repo", F.col("ts").cast("date").alias("day")).agg(F.min("position").alias("position"), F.max("position").alias("_last"))
+    folded = days.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("position", "day"))).alias("line"), F.max("_last").alias("_last"))
     start = F.struct(F.lit(None).cast("date").alias("last"), F.array().cast("array<bigint>").alias("picks"))
     far = lambda acc, x: acc["last"].isNull() | (F.abs(F.datediff(acc["last"], x["day"])) >= months * 30)
     picks = F.aggregate(
@@ -118,9 +121,8 @@ def sample_recent(commits: DataFrame, count: int, months: int) -> DataFrame:
         ).otherwise(acc),
         lambda acc: acc["picks"],
     )
-    oldest = F.array(F.size("line").cast("bigint"))
-    filled = F.when(F.size("picks") < count, F.array_union("picks", oldest)).otherwise(F.col("picks"))
-    chosen = folded.select("repo", picks.alias("picks"), "line").select("repo", F.explode(filled).alias("position"))
+    filled = F.when(F.size("picks") < count, F.array_union("picks", F.array("_last"))).otherwise(F.col("picks"))
+    chosen = folded.select("repo", picks.alias("picks"), "_last").select("repo", F.explode(filled).alias("position"))
     return seen.join(chosen, ["repo", "position"])
 
 
@@ -345,8 +347,8 @@ def period_summary(commits: DataFrame, changes: DataFrame, windows: DataFrame, l
     return out
 
 
-def bug_commits(commits: DataFrame, issues: DataFrame, limit: int = 80) -> DataFrame:
-    """The newest bug commits: a key typed bug or a bug word; title of the first key that has one.
+def bug_commits(commits: DataFrame, issues: DataFrame, limit: int | None = None) -> DataFrame:
+    """Bug commits from the newest on, the newest ``limit`` if given: a key typed bug or a bug word; title of the first key that has one.
 
     Only tracker keys are looked up.
     """
@@ -362,7 +364,7 @@ def bug_commits(commits: DataFrame, issues: DataFrame, limit: int = 80) -> DataF
     )
     joined = keyed.join(hits, ["repo", "hash"], "left")
     bugs = joined.filter((F.col("_bug") == 1) | C.mentions_bug(F.col("subject"), C.BUG_WORDS_NARROW))
-    rows = top_rows(bugs, ["repo"], newest_first(), limit)
+    rows = numbered(bugs, ["repo"], newest_first()) if limit is None else top_rows(bugs, ["repo"], newest_first(), limit)
     line = F.concat(
         F.lit("- ["), F.date_format("ts", "yyyy-MM-dd"), F.lit("] "), F.substring("hash", 1, 8), F.lit(" "), F.col("subject"),
         F.when(F.col("title").isNotNull(), F.concat(F.lit(" ("), "title", F.lit(")"))).otherwise(""),
@@ -370,12 +372,12 @@ def bug_commits(commits: DataFrame, issues: DataFrame, limit: int = 80) -> DataF
     return rows.select("repo", "rank", "hash", "title", line.alias("line"))
 
 
-def detect_tracker(commits: DataFrame, remotes: DataFrame | None = None, last: int = 2000) -> DataFrame:
-    """Per repository 'jira', 'github' or 'none', decided on the newest ``last`` subjects.
+def detect_tracker(commits: DataFrame, remotes: DataFrame | None = None, last: int | None = None) -> DataFrame:
+    """Per repository 'jira', 'github' or 'none', decided on all subjects, or on the newest ``last`` if given.
 
     Every key occurrence counts; ``remotes`` holds (repo, url).
     """
-    recent = top_rows(commits, ["repo"], newest_first(), last)
+    recent = commits if last is None else top_rows(commits, ["repo"], newest_first(), last)
     projects = F.regexp_extract_all("subject", F.lit(r"\b([A-Z][A-Z0-9]{1,10})-[0-9]+\b"), 1)
     refs = F.col("subject").rlike(r"(?i)(?:fixes?|closes?|refs?)\s+#[0-9]+")
     heads = recent.groupBy("repo").agg(F.count(F.lit(1)).alias("total"), F.count_if(refs).alias("github_refs"))

@@ -94,8 +94,8 @@ def anti_pattern_changes(counts: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.withColumn("delta", F.col("n_new") - F.col("n_old"))
 
 
-def allowed_files(sources: list[DataFrame], cap: int | None = 120) -> DataFrame:
-    """Distinct names per pair in order of first mention; sources rank by their place in the list.
+def allowed_files(sources: list[DataFrame], cap: int | None = None) -> DataFrame:
+    """Distinct names per pair in order of first mention, the first ``cap`` if given; sources rank by their place in the list.
 
     Every source holds (repo, new_rev, old_rev, ord, file).
     """
@@ -105,7 +105,7 @@ def allowed_files(sources: list[DataFrame], cap: int | None = 120) -> DataFrame:
     ])
     first = rows.filter(F.col("file").isNotNull()).groupBy(*PAIR, "file").agg(F.min("at").alias("at"))
     order = [F.col("at"), F.col("file")]
-    return top_rows(first, PAIR, order, cap if cap else 2**31 - 1).drop("at")
+    return top_rows(first, PAIR, order, cap).drop("at")
 
 
 # --- texts per transition --------------------------------------------------------
@@ -338,9 +338,9 @@ def _hint(rows: DataFrame, rule: int, text: Column, sub: Column | None = None) -
 
 def narrative_hints(
     layers: DataFrame, moves: DataFrame, diff: DataFrame, members: DataFrame, heaviest: DataFrame, patterns: DataFrame,
-    changes: DataFrame, allowed: DataFrame, cap: int = 15,
+    changes: DataFrame, allowed: DataFrame, cap: int | None = None,
 ) -> DataFrame:
-    """Ordered hints per transition, the first ``cap``; every rule is one projection."""
+    """Ordered hints per transition, the first ``cap`` if given; every rule is one projection."""
     pairs = moves.select(*PAIR)
     sided = by_pair(layers, pairs).withColumn("_t", F.concat("layer", F.lit(":"), "files"))
     shape = sided.groupBy(*PAIR).agg(

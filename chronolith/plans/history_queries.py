@@ -9,7 +9,7 @@ from chronolith.functions.text import change_text
 from chronolith.operators import history as H
 from chronolith.operators import stats as S
 from chronolith.plans.oracle import sql
-from chronolith.plans.registry import query
+from chronolith.plans.registry import query, uncut
 from chronolith.plans.scalar_queries import KEYS_SQL, _contains
 
 NEW = "ORDER BY ts DESC, hash DESC"
@@ -74,6 +74,11 @@ def _(h):
       UNION ALL SELECT n.repo, n.hash, n.position, CAST(n.ts AS DATE), p.k + 1 FROM picks p JOIN ordered n ON n.repo = p.repo AND p.k < 10
         AND n.position = (SELECT min(x.position) FROM ordered x WHERE x.repo = p.repo AND x.position > p.position AND x.position <= 6000
           AND abs(p.day - CAST(x.ts AS DATE)) >= 180))"""))
+def _(h):
+    return H.sample_recent(h.commits, 10, 6, 6000).select("repo", "hash", "position")
+
+
+@query("sample_recent_all_w11", uncut("sample_recent_w11", " AND x.position <= 6000"))
 def _(h):
     return H.sample_recent(h.commits, 10, 6).select("repo", "hash", "position")
 
@@ -316,6 +321,11 @@ def _(h):
           min_by(i.summary, r.pos) AS title FROM keyrows r JOIN issues i ON i.repo = r.repo AND i.key = r.key WHERE NOT starts_with(r.key, 'GH#') GROUP BY 1, 2) k
         ON c.repo = k.repo AND c.hash = k.hash)
       WHERE bug = 1 OR regexp_matches(subject, '(?i)\\b({"|".join(C.BUG_WORDS_NARROW)})\\b')) WHERE rank <= 80""", KEYROWS))
+def _(h):
+    return H.bug_commits(h.commits, h.issues, 80).select("repo", "rank", "hash", "line")
+
+
+@query("bug_commits_all_j8_c8", uncut("bug_commits_j8_c8", " WHERE rank <= 80"))
 def _(h):
     return H.bug_commits(h.commits, h.issues).select("repo", "rank", "hash", "line")
 
@@ -328,6 +338,11 @@ def _(h):
         SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, project) AS k FROM (SELECT repo, project, count(*) AS n FROM (
           SELECT repo, unnest(regexp_extract_all(subject, '\\b([A-Z][A-Z0-9]{1,10})-[0-9]+\\b', 1)) AS project FROM ordered WHERE position <= 2000) GROUP BY 1, 2)) GROUP BY repo) j
       ON t.repo = j.repo""", ORD))
+def _(h):
+    return H.detect_tracker(h.commits, last=2000).drop("slug")
+
+
+@query("issue_tracker_all_a23", uncut("issue_tracker_a23", " WHERE position <= 2000"))
 def _(h):
     return H.detect_tracker(h.commits).drop("slug")
 

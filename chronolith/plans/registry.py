@@ -12,6 +12,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
+def uncut(name: str, *cuts: str) -> str:
+    """The check statement of a capped query without its cuts."""
+    statement = CHECKS[name]
+    for cut in cuts:
+        if cut not in statement:
+            raise ValueError(f"{name} has no {cut}")
+        statement = statement.replace(cut, "")
+    return statement
+
+
 def query(name: str, check: str | None = None):
     """Registers a function from the bound tables to a result under ``name``."""
 

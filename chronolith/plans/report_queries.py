@@ -16,7 +16,7 @@ from chronolith.operators.common import PAIR
 from chronolith.plans.graph_queries import ECHANGES, FAN, FANDIR, HOT, LINKS, MOVES, PENALTIES, REACH, SCC, SCCSUM, SCORE, TOPEDGES, _big
 from chronolith.plans.history_queries import DELTAS, KEYROWS, ORD, PERIOD, PTYPED, RECENT, SUMMARY_SQL, TOTALS, TYPED
 from chronolith.plans.oracle import sql
-from chronolith.plans.registry import query
+from chronolith.plans.registry import query, uncut
 from chronolith.plans.risk_queries import CHURN10, HOT10
 from chronolith.session import cut_lineage
 
@@ -94,11 +94,20 @@ HINT_TABLES = (DELTAS, MOVES, LINKS, REACH, SCC, SCCSUM, ECHANGES, TOPEDGES, HIN
 @query("narrative_hints_c5", sql("""
     SELECT repo, CAST(new_rev AS BIGINT) AS new_rev, rank, hint FROM (SELECT *, row_number() OVER (PARTITION BY repo, new_rev ORDER BY rule, sub) AS rank FROM hints WHERE hint IS NOT NULL) WHERE rank <= 15""", *HINT_TABLES))
 def _(h):
+    return _narrative_hints(h, 15)
+
+
+@query("narrative_hints_all_c5", uncut("narrative_hints_c5", " WHERE rank <= 15"))
+def _(h):
+    return _narrative_hints(h, None)
+
+
+def _narrative_hints(h, cap):
     h = h.stored("lines", "nodes", "edges")
     diff, members = _diff(h)
     none = h.pairs.select(*PAIR, F.lit(0).alias("ord"), F.lit(None).cast("string").alias("file"))
     rows = R.narrative_hints(
-        L.layer_sizes(h.locations), _move_counts(h), diff, members, G.heaviest_changes(h.edges, h.pairs), _patterns(h), H.metric_changes(h.metrics), R.allowed_files([none]))
+        L.layer_sizes(h.locations), _move_counts(h), diff, members, G.heaviest_changes(h.edges, h.pairs), _patterns(h), H.metric_changes(h.metrics), R.allowed_files([none]), cap)
     return _big(rows.select("repo", "new_rev", "rank", "hint"), "new_rev")
 
 
@@ -108,10 +117,19 @@ def _(h):
         UNION ALL SELECT repo, new_rev, 1, rank, dest FROM topedges WHERE status = 'added' AND rank <= 25 UNION ALL SELECT repo, new_rev, 2, rank, node FROM topfan WHERE direction = 'fan_in' AND rank <= 15)
       GROUP BY 1, 2, 3)) WHERE rank <= 40""", ECHANGES, TOPEDGES, FANDIR))
 def _(h):
+    return _allowed_files(h, 40)
+
+
+@query("allowed_files_all_u4", uncut("allowed_files_u4", " WHERE rank <= 40"))
+def _(h):
+    return _allowed_files(h, None)
+
+
+def _allowed_files(h, cap):
     added = G.top_edge_changes(h.edges, h.pairs).filter(F.col("status") == "added")
     fan = G.top_fan_changes(h.edges, h.pairs).filter(F.col("direction") == "fan_in")
     source = lambda rows, c: rows.select(*PAIR, F.col("rank").alias("ord"), F.col(c).alias("file"))
-    rows = R.allowed_files([source(added, "src"), source(added, "dest"), source(fan, "node")], 40)
+    rows = R.allowed_files([source(added, "src"), source(added, "dest"), source(fan, "node")], cap)
     return _big(rows.select("repo", "new_rev", "file", "rank"), "new_rev")
 
 

@@ -9,7 +9,7 @@ from chronolith.functions import dates as D
 from chronolith.functions import text as X
 from chronolith.plans.bindings import _choose
 from chronolith.plans.oracle import SPACE_SQL, norm_sql, sql, strip_sql
-from chronolith.plans.registry import query
+from chronolith.plans.registry import query, uncut
 
 
 def _contains(column: str, groups: dict[str, tuple[str, ...]], default: str) -> str:
@@ -219,6 +219,12 @@ def _(h):
     return h.table("documents").select("doc_id", X.driver_bullets(text).alias("bullets"))
 
 
+@query("driver_bullets_all_f19", uncut("driver_bullets_f19", "[1:15]"))
+def _(h):
+    text = F.concat(F.lit("## Likely Drivers\n"), "text")
+    return h.table("documents").select("doc_id", X.driver_bullets(text, cap=None).alias("bullets"))
+
+
 @query("key_value_texts_f21_f22", """
     SELECT p_partkey, array_to_string(list_filter([concat('name=', p_name), concat('brand=', p_brand), CASE WHEN p_size > 25 THEN concat('size=', p_size) END],
       lambda x: x IS NOT NULL), ', ') AS kv, CAST(p_size AS BIGINT) AS old_files, CAST(p_partkey AS BIGINT) AS new_files FROM part""")

@@ -16,7 +16,7 @@ from chronolith.operators import retrieval as T
 from chronolith.operators import risk as K
 from chronolith.plans.graph_queries import SCORE, _big
 from chronolith.plans.oracle import sql, strip_sql
-from chronolith.plans.registry import query
+from chronolith.plans.registry import query, uncut
 from chronolith.plans.risk_queries import RISK, THRESHOLD, _ranked
 from chronolith.plans.text_queries import TOKENS
 from chronolith.session import scratch_path
@@ -441,8 +441,17 @@ def _(h):
         SELECT *, row_number() OVER (PARTITION BY repo, rev, layer_no, module_no ORDER BY file) AS k FROM locations) WHERE k <= 4 GROUP BY ALL) f
       ON f.repo = m.repo AND f.rev = m.rev AND f.l = m.layer_no AND f.mo = m.module_no WHERE k <= 20 GROUP BY 1, 2""", *SCORE))
 def _(h):
+    return _module_texts(h, 20)
+
+
+@query("module_texts_all_s21", uncut("module_texts_s21", " WHERE k <= 20"))
+def _(h):
+    return _module_texts(h, None)
+
+
+def _module_texts(h, shown):
     scores = M.module_scores(h.locations, h.edges)
-    texts = D.module_texts(scores, M.sample_files(h.locations, 4), M.mscore(scores), F.col("rev").cast("string"))
+    texts = D.module_texts(scores, M.sample_files(h.locations, 4), M.mscore(scores), F.col("rev").cast("string"), shown)
     lines = F.regexp_extract_all("text", F.lit(r"(?m)^  Layer ([0-9]+: size=[0-9]+) files, .* \| files: .*$"), 1)
     names = F.regexp_extract_all("text", F.lit(r"(?m)^  Layer .* \| files: (.*)$"), 1)
     joined = F.array_join(F.zip_with(lines, names, lambda a, b: F.concat(F.replace(a, F.lit(" size="), F.lit("")), F.lit(":"), b)), ";")

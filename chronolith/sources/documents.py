@@ -87,8 +87,8 @@ def history_texts(revisions: DataFrame, metrics: DataFrame) -> DataFrame:
     return text.select("repo", F.concat(F.lit("GIT REVISION HISTORY for "), "repo", F.lit(":\n"), "lines").alias("text"))
 
 
-def module_texts(scores: DataFrame, files: DataFrame, totals: DataFrame, label: Column, shown: int = 20) -> DataFrame:
-    """(repo, rev, text): overall score and the first modules of a revision with up to four file names.
+def module_texts(scores: DataFrame, files: DataFrame, totals: DataFrame, label: Column, shown: int | None = None) -> DataFrame:
+    """(repo, rev, text): overall score and the modules of a revision, the first ``shown`` if given, with up to four file names.
 
     files: ``sample_files`` arrays; totals: ``mscore`` rows; label: text naming the revision.
     """

@@ -32,6 +32,19 @@ def test_recent_sample_is_greedy_and_filled_up(spark):
     assert picked(H.sample_recent(c, 10, 12)) == ["h005", "h000"]
 
 
+def test_recent_sample_reads_the_whole_history(spark):
+    c = commits(spark, [0, 400, *[800] * 300])
+    assert picked(H.sample_recent(c, 3, 1)) == ["h301", "h001", "h000"] and picked(H.sample_recent(c, 3, 1, 300)) == ["h301", "h002"]
+
+
+def test_bugs_and_tracker_read_all_commits(spark):
+    c = commits(spark, range(2100)).withColumn("subject", F.when(F.substring("hash", 2, 9).cast("int") < 100, F.lit("fix AB-1")).otherwise(F.lit("docs")))
+    issues = spark.createDataFrame([("r", "AB-1", "bug", "s")], "repo string, key string, type string, summary string")
+    assert sorted(b.rank for b in H.bug_commits(c, issues).collect()) == list(range(1, 101)) and H.bug_commits(c, issues, 80).count() == 80
+    full, newest = H.detect_tracker(c).collect()[0], H.detect_tracker(c, last=2000).collect()[0]
+    assert (full.total, full.jira_hits, full.project) == (2100, 100, "AB") and (newest.total, newest.source) == (2000, "none")
+
+
 def test_every_nth_sample(spark):
     c = commits(spark, range(10))
     assert picked(H.sample_every(c, 3, 4)) == ["h009", "h005", "h001"]
