@@ -33,10 +33,11 @@ DICTIONARY = HARMLESS | frozenset(
 )
 PATH_WORDS = frozenset("test tests example examples sample samples doc docs fixture fixtures mock".split())
 
+# Possessive classes keep the scan linear for candidates of any length; a key block ends at its END line, not beyond another BEGIN line.
 CANDIDATE = re.compile(
-    r"(?:(?P<name>password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|credentials?|bearer)s?[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<value>[^\s\"'<>,;]{6,4096}))"
-    r"|(?P<block>-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]{0,20000}-----END [A-Z ]{0,40}PRIVATE KEY-----)"
-    r"|(?P<bare>[A-Za-z0-9+/_\-]{16,4096}={0,2})",
+    r"(?:(?P<name>password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|credentials?|bearer)s?[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?!-----BEGIN )(?P<value>[^\s\"'<>,;]{6,}+))"
+    r"|(?P<block>-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]++|-(?!----(?:BEGIN|END) [A-Z ]{0,40}PRIVATE KEY-----))*+-----END [A-Z ]{0,40}PRIVATE KEY-----)"
+    r"|(?P<bare>[A-Za-z0-9+/_\-]{16,}+={0,2})",
     re.I,
 )
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -105,7 +106,7 @@ def format_label(value: Column, kind: Column) -> Column:
         | ((kind == "named") & value.rlike("^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_=-]{12,}$"))
     )
     harmless = F.lower(value).rlike("example|changeme|placeholder|xxxx|dummy|your[_-]")
-    plain = (kind != "block") & value.rlike("^([a-z]+|[0-9]+|[A-Z]+|[A-Za-z]+([/_-][A-Za-z]+)+|[A-Z][a-z]+)$")
+    plain = (kind != "block") & value.rlike("^([a-z]+|[0-9]+|[A-Z]+|[A-Za-z]+(?:[/_-][A-Za-z]+)++|[A-Z][a-z]+)$")
     return F.when(harmless, 0.0).when(issued, 1.0).when(plain, 0.0)
 
 

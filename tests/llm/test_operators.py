@@ -392,3 +392,16 @@ def test_language_stage_keeps_one_word_documents(spark):
     words = ["Avec.", "Qzx.", "Jk!", "Vw", "Ypq", "Xo.", "Wz", "Mxt", "Zu.", "Kry", "Oui", "Nyq"]
     docs = docs_frame(spark, [*[sentence(draw, 200) for _ in range(40)], sentence(draw, 200) + " " + " ".join(words), *words, "...", None])
     assert [r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").orderBy("doc_id").collect()] == list(range(41 + len(words)))
+
+
+def test_secret_candidates_of_any_length(spark):
+    draw = random.Random(10)
+    lines = lambda n: "\n".join("".join(draw.choices("ABCDefgh0123+/", k=64)) for _ in range(n))
+    encrypted = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{lines(9)}\n-----END RSA PRIVATE KEY-----"
+    long = f"-----BEGIN PRIVATE KEY-----\n{lines(500)}\n-----END PRIVATE KEY-----"
+    value = "".join(draw.choices("0123456789abcdef", k=6000)) + "!" + "".join(draw.choices("0123456789abcdef", k=4000))
+    text = f"a {encrypted} b -----BEGIN PRIVATE KEY----- cut {long} c secret: {long} d token={value} e {'f0' * 4000}= g"
+    found = [(kind, v) for _, kind, v, _ in secret_scan.findings_of(text, "")]
+    assert [f for f in found if f[0] != "bare"] == [("block", encrypted), ("block", long), ("block", long), ("named", value)] and found[-1] == ("bare", "f0" * 4000 + "=")
+    path = spark.createDataFrame([("ab/" * 30_000 + "ab", "bare")], "value string, kind string")
+    assert path.select(secret_scan.format_label(F.col("value"), F.col("kind"))).collect()[0][0] == 0.0
