@@ -129,9 +129,9 @@ def trained_forest(labelled: DataFrame, rows: int = TRAINING_ROWS, seed: int = 4
 
 
 def judged(found: DataFrame, forest, label: Column | None = None) -> DataFrame:
-    """All findings plus ``probability`` of being a secret. Without a forest the label decides, unlabelled ones count as secrets."""
+    """All findings plus ``probability`` of being a secret. Without a forest (only one label occurs) only issued formats are secrets, unlabelled ones are not."""
     if forest is None:
-        return found.withColumn("probability", F.coalesce(label if label is not None else F.lit(None).cast("double"), F.lit(1.0)))
+        return found.withColumn("probability", F.coalesce(label if label is not None else F.lit(None).cast("double"), F.lit(0.0)))
     wide = found.withColumns({f"_f_{n}": F.col("features")[i] for i, n in enumerate(FEATURES)})
     table = VectorAssembler(inputCols=[f"_f_{n}" for n in FEATURES], outputCol="vector").transform(wide)
     scored = forest.transform(table).withColumn("_p", vector_to_array("probability")[1])

@@ -405,3 +405,10 @@ def test_secret_candidates_of_any_length(spark):
     assert [f for f in found if f[0] != "bare"] == [("block", encrypted), ("block", long), ("block", long), ("named", value)] and found[-1] == ("bare", "f0" * 4000 + "=")
     path = spark.createDataFrame([("ab/" * 30_000 + "ab", "bare")], "value string, kind string")
     assert path.select(secret_scan.format_label(F.col("value"), F.col("kind"))).collect()[0][0] == 0.0
+
+
+def test_one_label_leaves_other_findings(spark):
+    texts = ["an id of Ab1-Cd2_Ef3+Gh4/Ij5 here", "so token = abcdef0123456789 is"]
+    out = {r.doc_id: r.text for r in secret_scan.redacted(docs_frame(spark, texts)).collect()}
+    assert out == {0: texts[0], 1: "so token = [SECRET] is"}
+    assert [r.text for r in secret_scan.redacted(docs_frame(spark, texts[:1])).collect()] == texts[:1]
