@@ -182,7 +182,8 @@ def main_text(page: str | None) -> str:
 
     Every paragraph gives points for its length and commas to its ancestors, fewer to farther ones; a container's points are
     discounted by the share of its characters that are links. The best container stands for the article or main element around it.
-    Siblings with a fifth of its points, and long paragraphs beside it, are kept.
+    Siblings with a fifth of its points are kept. Without an article or main element everything beside it stays that is not mostly links
+    (under a quarter of its characters: headings, lists, short paragraphs, plain divs and text), and the h1 and h2 beside its ancestors.
     """
     blocks = _blocks(page or "")
     if not blocks:
@@ -214,16 +215,27 @@ def main_text(page: str | None) -> str:
         around = around.parent
     if around is not None:
         best = semantic
-        others = {id(n) for n in scored.values() if n.parent is best.parent and n.tag == best.tag and worth(n) >= max(10, 0.2 * worth(best))}
+        others = {id(n) for n in scored.values() if n.parent is best.parent and n.tag == best.tag and worth(n) >= 0.2 * worth(best)}
     else:
-        others = {id(n) for n in scored.values() if n.parent is best.parent and worth(n) >= max(10, 0.2 * worth(best))}
+        others = {id(n) for n in scored.values() if n.parent is best.parent and worth(n) >= 0.2 * worth(best)}
+    parent, above = best.parent if around is None else None, set()
+    up = parent.parent if parent is not None else None
+    while up is not None:
+        above.add(id(up))
+        up = up.parent
     kept = []
     for owner, text, linked in blocks:
-        node, inside = owner, False
+        node, inside, sibling = owner, False, None
         while node is not None and not inside:
             inside = node is best or id(node) in others
+            if parent is not None and node.parent is parent:
+                sibling = node
             node = node.parent
-        beside = around is None and owner.parent is best.parent and owner.tag == "p" and len(text) > 80 and linked < 0.25 * len(text)
+        if sibling is not None:
+            beside = sibling.linked < 0.25 * sibling.chars
+        else:
+            near = parent is not None and (owner is parent or owner.tag in ("h1", "h2") and id(owner.parent) in above)
+            beside = near and linked < 0.25 * len(text)
         if inside or beside:
             kept.append(text)
     return "\n\n".join(kept)

@@ -412,3 +412,11 @@ def test_one_label_leaves_other_findings(spark):
     out = {r.doc_id: r.text for r in secret_scan.redacted(docs_frame(spark, texts)).collect()}
     assert out == {0: texts[0], 1: "so token = [SECRET] is"}
     assert [r.text for r in secret_scan.redacted(docs_frame(spark, texts[:1])).collect()] == texts[:1]
+
+
+@pytest.mark.parametrize("wrap", ["%s", "<div>%s</div>"])
+def test_main_text_over_plain_divs(wrap):
+    halves = ["a first half that goes on " * 6, "a second half that goes on " * 6]
+    body = f"<div>{halves[0]}</div><h3>Between</h3><ul><li>one<li>two</ul><div>{halves[1]}</div><p>Short end.</p><div><a href=/a>other</a> <a href=/b>pages</a></div>"
+    page = f"<html><body><nav>Menu</nav><h1>Head</h1>{wrap % body}<footer>x</footer></body></html>"
+    assert extract.main_text(page).split("\n\n") == ["Head", halves[0].strip(), "Between", "one", "two", halves[1].strip(), "Short end."]
