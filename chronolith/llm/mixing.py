@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 from chronolith.llm.common import WORD, dropped, pick, written
 from chronolith.operators.common import numbered
 
-#: Largest remainder that the subset-sum table covers; what is above goes by whole lengths first.
+#: Remainder that the first subset-sum table covers; what is above goes by whole lengths first. Missed targets take larger tables.
 TABLE_WORDS = 1 << 17
+#: Up to this many sums are listed one by one.
+SPARSE_SUMS = 1 << 20
 #: Rows of one (source, length) that are ranked together.
 SLICE_ROWS = 512
 
@@ -52,7 +55,9 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, target: float, most: in
     """(whole, extra): every document ``whole`` times, and one more of ``extra[i]`` documents of ``lengths[i]`` words.
 
     What whole passes leave of the target is spread over all lengths in proportion, then filled from the longest
-    length down until the rest fits the table, then met by a bounded-knapsack table over the remaining counts.
+    length down until the rest fits the table, then met by a bounded-knapsack table over the remaining counts. While that
+    misses the target by a multiple of the lengths' common divisor, the table grows fourfold, at last over all that whole
+    passes leave and without shares, so the sum is the largest there is.
     """
     total = int((lengths * counts).sum())
     extra = np.zeros(len(lengths), dtype=np.int64)
@@ -62,47 +67,91 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, target: float, most: in
     rest = int(round(target - whole * total)) if whole < most else 0
     if rest >= total:
         return whole + 1, extra
-    extra = np.minimum(counts, np.floor(counts * (rest / total)).astype(np.int64))
-    left = rest - int((lengths * extra).sum())
+    share = np.minimum(counts, np.floor(counts * (rest / total)).astype(np.int64))
     order = np.argsort(-lengths, kind="stable")
-    for i in order:
-        if left <= TABLE_WORDS:
+    step = int(np.gcd.reduce(lengths))
+    words, missed = TABLE_WORDS, rest + 1
+    while missed >= step:
+        trial = share.copy()
+        left = rest - int((lengths * trial).sum())
+        for i in order:
+            if left <= words:
+                break
+            if lengths[i] > 0:
+                k = min(int(counts[i] - trial[i]), left // int(lengths[i]))
+                trial[i] += k
+                left -= k * int(lengths[i])
+        if 0 < left <= words:
+            for i, k in bounded_knapsack(lengths, counts - trial, left, order):
+                trial[i] += k
+                left -= k * int(lengths[i])
+        if left < missed:
+            extra, missed = trial, left
+        if not share.any() and words >= rest:
             break
-        if lengths[i] > 0:
-            k = min(int(counts[i] - extra[i]), left // int(lengths[i]))
-            extra[i] += k
-            left -= k * int(lengths[i])
-    if 0 < left <= TABLE_WORDS:
-        for i, k in bounded_knapsack(lengths, counts - extra, left, order):
-            extra[i] += k
+        words *= 4
+        if words >= rest:
+            share, words = np.zeros_like(share), max(words, rest)
     return whole, extra
 
 
 def bounded_knapsack(lengths: np.ndarray, free: np.ndarray, left: int, order: np.ndarray) -> list[tuple[int, int]]:
-    """(index, copies) whose lengths sum to the largest reachable value up to ``left``; bits of one integer are the reachable sums."""
-    mask, reach = (1 << (left + 1)) - 1, 1
-    came: dict[int, tuple[int, int]] = {}
+    """(index, copies) whose lengths sum to the largest reachable value up to ``left``.
+
+    Reachable sums are a sorted list if there are few, else bits of one integer; either notes the part that first reached a sum.
+    """
+    parts: list[tuple[int, int]] = []
+    sums = 1
     for i in order:
         size = int(lengths[i])
         copies = min(int(free[i]), left // size) if 0 < size <= left else 0
+        sums = min(sums * (copies + 1), SPARSE_SUMS + 1)
         part = 1
         while copies > 0:
             k = min(part, copies)
-            fresh = (reach << (k * size)) & mask & ~reach
-            reach |= fresh
-            if fresh:
-                bits = np.unpackbits(np.frombuffer(fresh.to_bytes(left // 8 + 1, "little"), np.uint8), bitorder="little")
-                came.update((int(s), (int(i), k)) for s in np.flatnonzero(bits))
+            parts.append((int(i), k))
             copies -= k
             part *= 2
+    if not parts:
+        return []
+    unit = math.gcd(*[int(lengths[i]) for i, _ in parts])
+    left //= unit
+    sizes = [k * int(lengths[i]) // unit for i, k in parts]
+    best, came_to = _sparse_sums(sizes, left) if sums <= SPARSE_SUMS else _dense_sums(sizes, left)
+    taken = []
+    while best:
+        p = came_to(best)
+        taken.append(parts[p])
+        best -= sizes[p]
+    return taken
+
+
+def _sparse_sums(sizes: list[int], left: int) -> tuple[int, Callable[[int], int]]:
+    """(largest sum, place of the size that first reached a sum)."""
+    reach, came = np.zeros(1, np.int64), np.zeros(1, np.int32)
+    for p, size in enumerate(sizes):
+        fresh = np.setdiff1d(reach[reach <= left - size] + size, reach, assume_unique=True)
+        reach, came = np.concatenate((reach, fresh)), np.concatenate((came, np.full(len(fresh), p, np.int32)))
+        by = np.argsort(reach, kind="stable")
+        reach, came = reach[by], came[by]
+        if reach[-1] == left:
+            break
+    return int(reach[-1]), lambda s: int(came[np.searchsorted(reach, s)])
+
+
+def _dense_sums(sizes: list[int], left: int) -> tuple[int, Callable[[int], int]]:
+    mask, reach = (1 << (left + 1)) - 1, 1
+    came = np.zeros(left + 1, np.min_scalar_type(len(sizes)))
+    for p, size in enumerate(sizes):
+        fresh = (reach << size) & mask & ~reach
+        if fresh:
+            reach |= fresh
+            bits = np.frombuffer(fresh.to_bytes(left // 8 + 1, "little"), np.uint8)
+            for lo in range(0, len(bits), 1 << 20):
+                came[lo * 8 + np.flatnonzero(np.unpackbits(bits[lo:lo + (1 << 20)], bitorder="little"))] = p
         if reach >> left & 1:
             break
-    at, taken = reach.bit_length() - 1, []
-    while at:
-        i, k = came[at]
-        taken.append((i, k))
-        at -= k * int(lengths[i])
-    return taken
+    return reach.bit_length() - 1, lambda s: int(came[s])
 
 
 def mixed(

@@ -420,3 +420,23 @@ def test_main_text_over_plain_divs(wrap):
     body = f"<div>{halves[0]}</div><h3>Between</h3><ul><li>one<li>two</ul><div>{halves[1]}</div><p>Short end.</p><div><a href=/a>other</a> <a href=/b>pages</a></div>"
     page = f"<html><body><nav>Menu</nav><h1>Head</h1>{wrap % body}<footer>x</footer></body></html>"
     assert extract.main_text(page).split("\n\n") == ["Head", halves[0].strip(), "Between", "one", "two", halves[1].strip(), "Short end."]
+
+
+def test_long_documents_meet_the_target():
+    assert mixing.fit_lengths(np.array([149_999, 150_001, 200_000]), np.array([1, 1, 1]), 300_000.0, 3)[1].tolist() == [1, 1, 0]
+    lengths = np.array([140_000 + 7 * i * i for i in range(24)])
+    for target in (lengths[[1, 5, 11]].sum(), lengths[::2].sum()):
+        assert (lengths * mixing.fit_lengths(lengths, np.ones(24, int), float(target), 3)[1]).sum() == target
+    draw = random.Random(11)
+    for _ in range(30):
+        lengths = np.array(sorted(draw.sample(range(130_000, 400_000), 7)))
+        counts = np.array([draw.randint(1, 2) for _ in lengths])
+        target = draw.randint(1, int((lengths * counts).sum()) - 1)
+        sums = {sum(int(a) * k for a, k in zip(lengths, ks)) for ks in itertools.product(*[range(c + 1) for c in counts])}
+        whole, extra = mixing.fit_lengths(lengths, counts, float(target), 3)
+        assert whole == 0 and (extra <= counts).all() and (lengths * extra).sum() == max(s for s in sums if s <= target)
+    free = np.array([3, 1, 2, 2, 1])
+    taken = [sorted(mixing.bounded_knapsack(np.array([6, 10, 14, 22, 35]), free, left, np.arange(5)[::-1])) for left in range(1, 120)]
+    limit, mixing.SPARSE_SUMS = mixing.SPARSE_SUMS, 0
+    assert taken == [sorted(mixing.bounded_knapsack(np.array([6, 10, 14, 22, 35]), free, left, np.arange(5)[::-1])) for left in range(1, 120)]
+    mixing.SPARSE_SUMS = limit
