@@ -122,25 +122,31 @@ def _table(data: bytes, at: int, head: Header, audio: Audio) -> bool:
 
 
 def read_audio(data: bytes) -> Audio:
-    """Walks the frames. Bytes that start no frame are skipped up to the next header that another frame, a tag or the end follows."""
+    """Walks the frames. Bytes that start no frame are skipped up to the next header that another frame, a tag or the end follows.
+
+    The last 128 bytes are a tag only where no frame that another frame or the end follows reaches into them.
+    """
     audio = Audio()
     at, audio.tags = _id3(data)
     end = len(data)
-    if end - at >= 128 and data[end - 128:end - 125] == b"TAG":
-        end -= 128
-        audio.tags["TIT1"] = data[end + 3:end + 33].rstrip(b"\0 ").decode("latin-1")
+    tag = end - 128 if end - at >= 128 and data[end - 128:end - 125] == b"TAG" else -1
     bodies, known, first = [], False, True
     while at + 4 <= end:
         head = header_of(data[at:at + 4])
         whole = head is not None and at + head.length <= end
-        if whole and not known:
+        if whole and (not known or at < tag < at + head.length):
             after = at + head.length
-            whole = after == end or header_of(data[after:after + 4]) is not None
+            whole = after in (end, tag) or header_of(data[after:after + 4]) is not None
+        if not whole and at == tag:
+            end = tag
+            audio.tags["TIT1"] = data[end + 3:end + 33].rstrip(b"\0 ").decode("latin-1")
+            break
         if not whole:
             known = False
-            found = data.find(b"\xff", at + 1, end)
-            audio.skipped += (found if found >= 0 else end) - at
-            at = found if found >= 0 else end
+            stop = tag if at < tag else end
+            found = data.find(b"\xff", at + 1, stop)
+            audio.skipped += (found if found >= 0 else stop) - at
+            at = found if found >= 0 else stop
             continue
         known = True
         begin = at + 4

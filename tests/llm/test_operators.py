@@ -440,3 +440,16 @@ def test_long_documents_meet_the_target():
     limit, mixing.SPARSE_SUMS = mixing.SPARSE_SUMS, 0
     assert taken == [sorted(mixing.bounded_knapsack(np.array([6, 10, 14, 22, 35]), free, left, np.arange(5)[::-1])) for left in range(1, 120)]
     mixing.SPARSE_SUMS = limit
+
+
+def test_audio_carries_tag_letters(spark):
+    for n in (64, 128, 192, 640, 1280, 2560):
+        for shift in range(3):
+            payload = (b"xy"[:shift] + b"TAG" * n)[:n]
+            a = mpeg.read_audio(mpeg.write_audio(payload, {}))
+            assert a.body[:n] == payload and a.skipped == a.failed == 0 and "TIT1" not in a.tags
+    text = "x" * 17 + "TAG" + "y" * 60
+    assert bytes(mpeg.audio_columns(mpeg.framed(docs_frame(spark, [text]))).collect()[0].audio.payload) == text.encode().ljust(128, b"\0")
+    clean = mpeg.write_audio(bytes(range(256)) * 30, {})
+    cut = mpeg.read_audio(clean[:-20] + b"TAG" + b"name".ljust(125, b"\0"))
+    assert cut.tags["TIT1"] == "name" and len(cut.offsets) == len(mpeg.read_audio(clean).offsets) - 1
