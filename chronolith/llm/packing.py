@@ -17,8 +17,6 @@ from chronolith.llm.common import dropped, pick, written
 
 #: Items that one task packs.
 ITEMS_PER_TASK = 200_000
-#: A round that merges fewer bins than this share ends the tree.
-LEAST_GAIN = 0.002
 _PIECES = "uid bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -119,8 +117,8 @@ def packed(pieces: DataFrame, window: int = 1024, items_per_task: int = ITEMS_PE
     """``pieces`` (rows with ``length`` from 1 to ``window``) plus ``sequence_id`` and ``offset``.
 
     Full pieces are sequences of their own. The others are dealt out evenly; each task packs its share best-fit and emits
-    bins too full for the smallest item there is. Emptier bins go on as items of their filled length to fewer tasks, until one task
-    has packed them all or a round merges almost nothing. A task holds at most about ``items_per_task`` bins, whatever the table's size.
+    bins too full for the smallest bin left anywhere. Emptier bins go on as items of their filled length to fewer tasks, until one task
+    has packed them all or a round merges nothing. A task holds at most about ``items_per_task`` bins, whatever the table's size.
     """
     names = pieces.columns
     columns = {n: f"_c{i}" for i, n in enumerate(names)}
@@ -161,14 +159,15 @@ def packed(pieces: DataFrame, window: int = 1024, items_per_task: int = ITEMS_PE
         opened = F.col("offset") == 0
         after = written(
             rest.repartition(tasks, "bin").mapInPandas(pack, schema)
-            .observe(seen, F.count(F.when(opened & (F.col("fill") <= window - least), 1)).alias("n"), F.count(F.when(opened, 1)).alias("bins")), "bins"
+            .observe(seen, F.min("fill").alias("least"), F.count(F.when(opened, 1)).alias("bins")), "bins"
         )
-        left, bins = seen.get["n"], seen.get["bins"]
-        if tasks == 1 or n - bins < LEAST_GAIN * n:
+        least, bins = seen.get["least"], seen.get["bins"]
+        if tasks == 1 or bins == n:
             done.append(after)
             break
         done.append(after.filter(F.col("fill") > window - least))
-        rest, n = after.filter(F.col("fill") <= window - least), left
+        rest = after.filter(F.col("fill") <= window - least)
+        n = rest.filter(opened).count()
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -453,3 +453,10 @@ def test_audio_carries_tag_letters(spark):
     clean = mpeg.write_audio(bytes(range(256)) * 30, {})
     cut = mpeg.read_audio(clean[:-20] + b"TAG" + b"name".ljust(125, b"\0"))
     assert cut.tags["TIT1"] == "name" and len(cut.offsets) == len(mpeg.read_audio(clean).offsets) - 1
+
+
+def test_packing_goes_on_while_bins_merge(spark):
+    sizes = [300, *[320] * 3, *[704] * 10, *[710] * 3000]
+    pieces = spark.createDataFrame(list(enumerate(sizes)), "doc_id bigint, length bigint").repartition(4)
+    rows = packing.packed(pieces, items_per_task=100).collect()
+    assert len(rows) == len(sizes) and len({r.sequence_id for r in rows}) == 3010
