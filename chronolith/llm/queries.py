@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import ctw, extract, langid, minhash, mixing, mpeg, packing, secret_scan, simhash, substrings
+from chronolith.llm import ctw, extract, langid, minhash, mixing, mpeg, packing, secret_scan, simhash, spelling, substrings, trie, url_filter
 from chronolith.llm.common import id_remainder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,33 @@ def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.col("key").alias("doc_id"), "start", "length", "kind", F.sha2("value", 256).alias("value_sha256"), "label", F.round("probability", 6).alias("probability"), "is_secret"
     )
+
+
+#: The rules of the registered URL query.
+URL_RULES = [
+    url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "example.com", "/en/"), url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"), url_filter.Rule("block", "net", "/fr/"),
+]
+
+
+@query("op11_url_filter")
+def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.trained(url_filter.labelled_urls(spark))
+    rows = url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, model)
+    return rows.select("page_id", "filter.host", "filter.path", "filter.rule", "filter.verdict", F.round("filter.score", 6).alias("score"))
+
+
+@query("op12_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.letter_runs(table(spark, sf_dir, "documents"))
+    words = spelling.word_counts(runs, spelling.slipped(F.col("doc_id"), F.col("run"), 199))
+    return spelling.spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op13_conversation_trie")
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    known = F.col("conv") != trie.NO_ID
+    base = F.when(known, F.col("conv") - F.col("conv") % 100)
+    take = F.when(known, F.crc32(F.col("conv").cast("string").cast("binary")) % 6).otherwise(0)
+    return trie.prefix_trie(trie.spliced(turns, base, take, 5))
