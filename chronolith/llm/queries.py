@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import ctw, extract, langid, minhash, mixing, mpeg, packing, secret_scan, simhash, spelling, substrings, trie, url_filter
+from chronolith.llm import ctw, extract, langid, minhash, mixing, mpeg, packing, secret_scan, simhash, spelling, statements, substrings, trie, url_filter
 from chronolith.llm.common import id_remainder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,14 +114,14 @@ def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "filter.host", "filter.path", "filter.rule", "filter.verdict", F.round("filter.score", 6).alias("score"))
 
 
-@query("op12_spelling_variants")
+@query("op12_spelling_variants", statements.SPELLING_VARIANTS)
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = spelling.letter_runs(table(spark, sf_dir, "documents"))
     words = spelling.word_counts(runs, spelling.slipped(F.col("doc_id"), F.col("run"), 199))
     return spelling.spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
 
 
-@query("op13_conversation_trie")
+@query("op13_conversation_trie", statements.CONVERSATION_TRIE)
 def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = trie.numbered_turns(table(spark, sf_dir, "conversations"))
     known = F.col("conv") != trie.NO_ID

@@ -20,7 +20,7 @@ BUCKETS, SIZES = 8192, (3, 4, 5)
 #: Value of a bucket of the host, and of one of the path before its division by the root of their number.
 HOST_SHARE, PATH_SHARE = 0.25, 0.5
 #: Strength of the quadratic penalty, passes over the labelled rows, and the gradient at which training ends.
-PENALTY, PASSES, SETTLED = 3e-4, 40, 1e-4
+PENALTY, PASSES, SETTLED = 3e-4, 40, 5e-4
 #: Gradients are summed as whole numbers of this part, so their sum does not depend on the order of rows.
 _UNIT = float(1 << 40)
 
@@ -243,12 +243,12 @@ def trained(labelled: DataFrame, url: str = "url", label: str = "label") -> Mode
     for _ in range(PASSES if n else 0):
         margin = _margin(_constant(point[:BUCKETS]), point[BUCKETS], F.col("h"), F.col("p"))
         error = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)) - F.col("y")
-        share = lambda grams, value: F.transform(grams, lambda g: F.struct(g.alias("g"), (F.col("e") * value).alias("v")))
-        parts = F.concat(
-            share("h", F.lit(HOST_SHARE)), share("p", PATH_SHARE / F.sqrt(F.size("p"))), F.array(F.struct(F.lit(BUCKETS).alias("g"), F.col("e").alias("v")))
+        share = lambda e, grams, value: F.transform(grams, lambda g: F.struct(g.alias("g"), (e * value).alias("v")))
+        parts = lambda e: F.concat(
+            share(e, "h", F.lit(HOST_SHARE)), share(e, "p", PATH_SHARE / F.sqrt(F.size("p"))), F.array(F.struct(F.lit(BUCKETS).alias("g"), e.alias("v")))
         )
         sums = (
-            table.withColumn("e", error).select(F.explode(parts).alias("x"))
+            table.select(F.explode(F.flatten(F.transform(F.array(error), parts))).alias("x"))
             .groupBy("x.g").agg(F.sum(F.round(F.col("x.v") * _UNIT).cast("bigint")).alias("v"))
         )
         slope = [PENALTY * w for w in point]
