@@ -30,6 +30,28 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Types of numbers that pandas turns into floating point beside a null; they travel as text.
+_WHOLE = {"tinyint", "smallint", "int", "bigint"}
+
+
+def whole_as_text(df: DataFrame) -> DataFrame:
+    """``df`` with its whole-number columns as text, so that Python sees every digit even beside nulls."""
+    return df.select(*[F.col(f"`{n}`").cast("string").alias(n) if t in _WHOLE else F.col(f"`{n}`") for n, t in df.dtypes])
+
+
+def as_before(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """``df`` with the named columns cast to their types."""
+    return df.select(*[F.col(f"`{n}`").cast(types[n]).alias(n) if n in types and t != types[n] else F.col(f"`{n}`") for n, t in df.dtypes])
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table below the shared checkpoint folder; losing executors costs no recomputation beyond it."""
     path = scratch_path(df.sparkSession, label)

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import dropped, pick, written
+from chronolith.llm.common import as_before, dropped, pick, whole_as_text, written
 
 #: Bytes of context.
 DEPTH = 4
@@ -224,6 +224,7 @@ def tree_scores(strings: DataFrame) -> DataFrame:
 
 def _blocked(rows: DataFrame) -> DataFrame:
     """Blocks of documents with their distinct keys: strings and words, and how often the block's training documents have them."""
+    rows = whole_as_text(rows)
     id_type = dict(rows.dtypes)["doc_id"]
 
     def finish(docs: list[tuple]) -> pd.DataFrame:
@@ -294,6 +295,7 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     dropped(values)
     unseen = float(np.log10(0.1 / room))
     id_type = dict(rows.dtypes)["doc_id"]
+    sent_type = dict(whole_as_text(rows).dtypes)["doc_id"]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -326,6 +328,7 @@ def scored(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
                 })
 
     result = blocks.select("block", "ids", "held", "sizes", "texts").join(slices, "block").drop("block")
-    return result.mapInPandas(
-        score, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
+    told = result.mapInPandas(
+        score, f"doc_id {sent_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
     )
+    return as_before(told, {"doc_id": id_type})

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import dropped, pick, written
+from chronolith.llm.common import as_before, dropped, pick, whole_as_text, written
 
 #: Items that one task packs.
 ITEMS_PER_TASK = 200_000
@@ -66,11 +66,14 @@ def pieces_of(
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): every document's ids and the end id, cut into windows if longer.
 
-    All pieces but the first are full. Null text is empty: one piece with the end id. Rows that repeat stay separate.
+    All pieces but the first are full. Null text is empty: one piece with the end id. Rows that repeat stay separate, null ids stay null
+    and leave the others unchanged.
     """
     tokenizer_file, ranks_file = files or tokenizer_files()
-    rows = pick(docs, doc_id=doc_id, text=text)
-    id_type = dict(rows.dtypes)["doc_id"]
+    picked = pick(docs, doc_id=doc_id, text=text)
+    id_type = dict(picked.dtypes)["doc_id"]
+    rows = whole_as_text(picked)
+    sent_type = dict(rows.dtypes)["doc_id"]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -86,7 +89,8 @@ def pieces_of(
                 yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
 
     more = ", ids array<bigint>" if keep_ids else ""
-    return rows.mapInPandas(cut, f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint{more}")
+    pieces = rows.mapInPandas(cut, f"doc_id {sent_type}, piece int, start bigint, length bigint, ids_crc32 bigint{more}")
+    return as_before(pieces, {"doc_id": id_type})
 
 
 def best_fit(sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,10 +126,12 @@ def packed(pieces: DataFrame, window: int = 1024, items_per_task: int = ITEMS_PE
     """
     names = pieces.columns
     columns = {n: f"_c{i}" for i, n in enumerate(names)}
-    plain = pieces.toDF(*columns.values()).withColumn("bin", F.monotonically_increasing_id())
-    size = F.col(columns["length"])
+    numbered = pieces.toDF(*columns.values())
+    types = dict(numbered.dtypes)
+    plain = whole_as_text(numbered).withColumn("bin", F.monotonically_increasing_id())
+    size = F.col(columns["length"]).cast("bigint")
     seen = Observation()
-    start = plain.withColumns({"offset": F.lit(0).cast("bigint"), "fill": size.cast("bigint")})
+    start = plain.withColumns({"offset": F.lit(0).cast("bigint"), "fill": size})
     table = written(
         start.observe(seen, F.count(F.when(F.col("fill") < window, 1)).alias("n"), F.min("fill").alias("least")), "pieces"
     )
@@ -171,4 +177,5 @@ def packed(pieces: DataFrame, window: int = 1024, items_per_task: int = ITEMS_PE
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
+    out = as_before(out, types)
     return out.select(*[F.col(c).alias(n) for n, c in columns.items()], F.col("bin").alias("sequence_id"), "offset")

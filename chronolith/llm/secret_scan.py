@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import dropped, pick, written
+from chronolith.llm.common import as_before, dropped, pick, whole_as_text, written
 from chronolith.session import scratch_path
 
 #: Labelled findings the forest is trained on at most, chosen by a hash of their value; everything else covers all rows.
@@ -87,6 +87,8 @@ def candidates(docs: DataFrame, key: Column, text: str = "text", path: str = "so
     """(key, start, length, kind, value, features) of all candidates in whole texts. Null texts have none; a null path is empty."""
     rows = pick(docs.withColumn("_key", key), key="_key", text=text, path=path).select("key", "text", F.col("path").cast("string").alias("path"))
     key_type = dict(rows.dtypes)["key"]
+    rows = whole_as_text(rows)
+    sent_type = dict(rows.dtypes)["key"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -96,7 +98,8 @@ def candidates(docs: DataFrame, key: Column, text: str = "text", path: str = "so
             if found:
                 yield pd.DataFrame(found, columns=["key", "start", "length", "kind", "value", "features"])
 
-    return rows.mapInPandas(scan, f"key {key_type}, start bigint, length bigint, kind string, value string, features array<double>")
+    found = rows.mapInPandas(scan, f"key {sent_type}, start bigint, length bigint, kind string, value string, features array<double>")
+    return as_before(found, {"key": key_type})
 
 
 def format_label(value: Column, kind: Column) -> Column:
