@@ -33,14 +33,19 @@ def _letter_vector(code: int) -> np.ndarray:
 
 
 def letter_grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, counts) of the letter trigrams of the lower-cased text; a run of other characters is one space."""
+    """(codes, counts) of the letter trigrams of the lower-cased text; a run of other characters is one space.
+
+    Long texts are read in pieces; the last two letters or spaces of a piece go before the next one, so every trigram counts once.
+    """
     codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     lowered = (text or "").lower()
+    carried = np.array([32], np.int64)
     for lo in range(0, len(lowered), _CHUNK):
-        points = np.frombuffer(lowered[max(0, lo - 64):lo + _CHUNK].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        points = np.where(_letters()[points], points, 32)
-        points = np.concatenate(([32], points, [32]))
+        points = np.frombuffer(lowered[lo:lo + _CHUNK].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        ending = [32] if lo + _CHUNK >= len(lowered) else []
+        points = np.concatenate((carried, np.where(_letters()[points], points, 32), np.array(ending, np.int64)))
         points = points[np.concatenate(([True], (points[1:] != 32) | (points[:-1] != 32)))]
+        carried = points[-2:]
         if len(points) < 3:
             continue
         found, n = np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:], return_counts=True)
@@ -110,8 +115,8 @@ def prototypes(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[
     return out
 
 
-def with_language(docs: DataFrame, learned: list[tuple[str, list[float]]], text: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus the struct ``language`` (lang_pred, score): the prototype with the largest cosine.
+def with_language(docs: DataFrame, learned: list[tuple[str, list[float]]], text: str = "text", out: str = "language") -> DataFrame:
+    """All columns of ``docs`` plus the struct ``out`` (lang_pred, score): the prototype with the largest cosine. ``docs`` must not have a column ``out``.
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything if nothing was learned. Negative
     cosines count as 0; of equal cosines the first language wins.
@@ -134,5 +139,5 @@ def with_language(docs: DataFrame, learned: list[tuple[str, list[float]]], text:
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
     wide = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
-    done = wide.withColumn("language", predict(F.col(f"_c{docs.columns.index(text)}")))
-    return done.toDF(*docs.columns, "language")
+    done = wide.withColumn("_told", predict(F.col(f"_c{docs.columns.index(text)}")))
+    return done.toDF(*docs.columns, out)
