@@ -157,8 +157,11 @@ def _dense_sums(sizes: list[int], left: int) -> tuple[int, Callable[[int], int]]
 def mixed(
     docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: Column | None = None, text: str = "text",
     weights: Sequence[float] = (1, 2, 3), budget: float | None = None, most: int = 3, seed: int = 42,
+    out: str = "mix",
 ) -> DataFrame:
-    """All columns of ``docs`` plus ``size``, ``source_size``, ``target`` and ``copies`` (times the mix takes the document), in a struct ``mix``.
+    """All columns of ``docs`` plus ``size``, ``source_size``, ``target`` and ``copies`` (times the mix takes the document), in a struct ``out``.
+
+    ``docs`` must not have a column ``out``.
 
     Sizes are words of ``text`` unless a column is given. The order within (source, length) is a seeded hash of the
     id, so reruns agree; rows that repeat id, source and length are taken or left together. Null text counts 0
@@ -217,5 +220,5 @@ def mixed(
     copies = F.col("whole") + F.when(F.col("_draw") <= F.col("last"), 1).otherwise(0)
     return full.select(
         *[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)],
-        F.struct("size", "source_size", "target", copies.cast("bigint").alias("copies")).alias("mix"),
+        F.struct("size", "source_size", "target", copies.cast("bigint").alias("copies")).alias(out),
     )
