@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm import langid, mixing, packing, secret_scan, simhash
-from chronolith.llm.common import id_remainder
+from chronolith.llm.common import id_remainder, pick, unused
 from chronolith.session import scratch_path
 
 
@@ -18,9 +18,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     The cosine decides nothing: on a word or two it is within the vectors' noise (about 0.03), in a learned language too. So texts in
     languages that were not learned stay as well.
     """
-    learned = langid.prototypes(docs.filter(id_remainder(F.col("doc_id"), 4) != 2).select("text", "lang"))
-    told = langid.with_language(docs, learned)
-    return told.filter(F.col("language.lang_pred") != langid.NO_LANGUAGE).drop("language")
+    learned = langid.prototypes(pick(docs, "doc_id", "text", "lang").filter(id_remainder(F.col("doc_id"), 4) != 2))
+    name = unused(docs, "language")
+    told = langid.with_language(docs, learned, out=name)
+    return told.filter(F.col(f"{name}.lang_pred") != langid.NO_LANGUAGE).drop(name)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +36,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: a repeated document is repeated rows, one not taken goes."""
-    times = F.array_repeat(F.lit(1), F.col("mix.copies").cast("int"))
-    return mixing.mixed(docs).withColumn("mix", F.explode(times)).select(*docs.columns)
+    name = unused(docs, "mix")
+    times = F.array_repeat(F.lit(1), F.col(f"{name}.copies").cast("int"))
+    return mixing.mixed(docs, out=name).withColumn(name, F.explode(times)).drop(name)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
