@@ -5,15 +5,20 @@ Tables: nodes(repo, rev, node) and edges(repo, rev, src, dest, kind, weight).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from chronolith.operators.common import PAIR, by_pair, pair_column, top_rows, when_side
+from chronolith.operators.common import PAIR, by_pair, numbered, pair_column, top_rows, when_side
 from chronolith.session import cut_and_count, cut_lineage, drop_scratch
 
 GRAPH = ["repo", "rev"]
+#: Edges of one block of a graph, and sources whose reach is followed together; both bound the memory of a task.
+BLOCK_EDGES, SLICE_SOURCES = 100_000, 4096
 
 
 # --- summaries ---------------------------------------------------------------
@@ -182,15 +187,110 @@ def _spread_labels(links: DataFrame, size: int) -> DataFrame:
             return labels.drop("moved")
 
 
-def scc_members(edges: DataFrame) -> DataFrame:
+def _least_of_cycles(src: np.ndarray, dest: np.ndarray, n: int) -> np.ndarray:
+    """For every node 0..n-1 the least node of its strongly connected component, by one depth-first search."""
+    order = np.argsort(src, kind="stable")
+    targets = dest[order].tolist()
+    starts = np.searchsorted(src[order], np.arange(n + 1)).tolist()
+    index, low, least = [-1] * n, [0] * n, list(range(n))
+    at, open_nodes, on_path, count = starts[:n], [], [False] * n, 0
+    for root in range(n):
+        if index[root] >= 0:
+            continue
+        path = [root]
+        while path:
+            v = path[-1]
+            if index[v] < 0:
+                index[v] = low[v] = count
+                count += 1
+                open_nodes.append(v)
+                on_path[v] = True
+            if at[v] < starts[v + 1]:
+                w = targets[at[v]]
+                at[v] += 1
+                if index[w] < 0:
+                    path.append(w)
+                elif on_path[w]:
+                    low[v] = min(low[v], index[w])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[v])
+            if low[v] == index[v]:
+                first = len(open_nodes) - 1
+                while open_nodes[first] != v:
+                    first -= 1
+                members = open_nodes[first:]
+                del open_nodes[first:]
+                name = min(members)
+                for w in members:
+                    on_path[w], least[w] = False, name
+    return np.array(least, np.int64)
+
+
+def _in_blocks(links: DataFrame, block_edges: int) -> DataFrame:
+    """``links`` plus ``blocks``, the number of blocks their graph is cut into, and ``block``."""
+    sizes = links.groupBy(*GRAPH).agg(F.ceil(F.count(F.lit(1)) / block_edges).cast("int").alias("blocks"))
+    return links.join(sizes, GRAPH).withColumn("block", F.pmod(F.xxhash64("src", "dest"), "blocks").cast("int"))
+
+
+def _cycles_of_blocks(links: DataFrame, block_edges: int) -> DataFrame:
+    """(repo, rev, blocks, node, component): components of more than one node within single blocks of edges."""
+    placed = _in_blocks(links, block_edges)
+    types = dict(links.dtypes)
+    schema = f"repo {types['repo']}, rev {types['rev']}, blocks int, node string, component string"
+
+    def cycles(block: pd.DataFrame) -> pd.DataFrame:
+        codes, names = pd.factorize(np.concatenate([block["src"], block["dest"]]), sort=True)
+        least = _least_of_cycles(codes[:len(block)], codes[len(block):], len(names))
+        kept = np.flatnonzero(np.bincount(least, minlength=len(names))[least] > 1)
+        out = pd.DataFrame({"node": names[kept], "component": names[least[kept]]})
+        for i, key in enumerate(("repo", "rev", "blocks")):
+            out.insert(i, key, block[key].iloc[0])
+        return out
+
+    return placed.groupBy(*GRAPH, "block").applyInPandas(cycles, schema)
+
+
+def scc_members(edges: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFrame:
     """(repo, rev, component, node) of components with more than one node; a component is named by its least node.
 
+    Every graph is cut into blocks of at most about ``block_edges`` edges, and each block's components are found in a task. A graph of
+    one block is done. In a larger one every node is replaced by its component's least node, which keeps all components, and the rest is
+    solved by rounds over tables, see ``_by_rounds``.
+    """
+    return _members(cut_lineage(edges.filter(F.col("src") != F.col("dest")).select(*GRAPH, "src", "dest").distinct()), block_edges)
+
+
+def _members(links: DataFrame, block_edges: int) -> DataFrame:
+    """``scc_members`` of a stored table of distinct links without loops."""
+    found = cut_lineage(_cycles_of_blocks(links, block_edges))
+    done = found.filter("blocks = 1").select(*GRAPH, "component", "node")
+    large = links.groupBy(*GRAPH).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_edges).select(*GRAPH)
+    pieces = found.filter("blocks > 1").groupBy(*GRAPH, "node").agg(F.min("component").alias("component"))
+    at = lambda end: pieces.select(*GRAPH, F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+    left = links.join(large, GRAPH, "left_semi").join(at("src"), [*GRAPH, "src"], "left").join(at("dest"), [*GRAPH, "dest"], "left")
+    left = left.select(*GRAPH, F.coalesce("c_src", "src").alias("src"), F.coalesce("c_dest", "dest").alias("dest")).filter("src <> dest").distinct()
+    rest, size = cut_and_count(left)
+    if not size:
+        return done.unionByName(pieces.select(*GRAPH, "component", "node"))
+    wider = _by_rounds(rest, size)
+    # a node's component is that of its piece; pieces that lie on no further cycle are components themselves
+    homes = wider.select(*GRAPH, F.col("node").alias("piece"), F.col("component").alias("wide"))
+    own = pieces.select(*GRAPH, "node", F.col("component").alias("piece")).join(homes, [*GRAPH, "piece"], "left")
+    joined = own.select(*GRAPH, F.coalesce("wide", "piece").alias("component"), "node")
+    return done.unionByName(joined).unionByName(wider.join(joined, [*GRAPH, "node"], "left_anti").select(*GRAPH, "component", "node"))
+
+
+def _by_rounds(links: DataFrame, size: int) -> DataFrame:
+    """(repo, rev, component, node) of components with more than one node, for graphs of any size.
+
     Rounds over all graphs together: peel what lies on no cycle, spread least labels along and against the edges;
     nodes whose two labels agree form the component of that label, the remaining edges with equal labels at both
     ends go on to the next round. Work per step is linear in the edges left; no pairs of nodes are formed.
     """
-    links, size = cut_and_count(edges.filter(F.col("src") != F.col("dest")).select(*GRAPH, "src", "dest").distinct())
     found: list[DataFrame] = []
+    empty = links.select(*GRAPH, F.col("src").alias("component"), F.col("src").alias("node")).limit(0)
     while True:
         links, size = _trim(links, size)
         if not size:
@@ -207,7 +307,7 @@ def scc_members(edges: DataFrame) -> DataFrame:
         )
         drop_scratch(before)
     if not found:
-        return edges.select(*GRAPH, F.col("src").alias("component"), F.col("src").alias("node")).limit(0)
+        return empty
     sets = reduce(DataFrame.unionByName, found)
     single = sets.groupBy(*GRAPH, "component").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
     return sets.join(single.drop("_n"), [*GRAPH, "component"], "left_semi")
@@ -245,24 +345,128 @@ def _closure(links: DataFrame) -> DataFrame:
         total += size
 
 
-def condensed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every node's component (itself if on no cycle) and the closure between components.
+def _condensation(nodes: DataFrame, links: DataFrame, block_edges: int = BLOCK_EDGES) -> tuple[DataFrame, DataFrame]:
+    """Every node's component (itself if on no cycle), and the links between components, which form no cycle.
 
-    Large cycles collapse to one vertex, so the closure holds no pairs inside them.
+    ``links`` is a stored table of distinct links.
     """
-    members = scc_members(edges)
+    links = links.filter(F.col("src") != F.col("dest")).select(*GRAPH, "src", "dest")
+    members = _members(links, block_edges)
     home = cut_lineage(
         nodes.select(*GRAPH, "node").distinct().join(members, [*GRAPH, "node"], "left")
         .select(*GRAPH, "node", F.coalesce("component", "node").alias("component"))
     )
     at = lambda end: home.select(*GRAPH, F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
-    links = edges.select(*GRAPH, "src", "dest").distinct().join(at("src"), [*GRAPH, "src"]).join(at("dest"), [*GRAPH, "dest"])
-    outer = links.filter(F.col("c_src") != F.col("c_dest")).select(
+    joined = links.join(at("src"), [*GRAPH, "src"]).join(at("dest"), [*GRAPH, "dest"])
+    return home, joined.filter(F.col("c_src") != F.col("c_dest")).select(
         *GRAPH, F.col("c_src").alias("src"), F.col("c_dest").alias("dest")
-    )
+    ).distinct()
+
+
+def condensed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every node's component (itself if on no cycle) and the closure between components.
+
+    Large cycles collapse to one vertex, so the closure holds no pairs inside them.
+    """
+    home, outer = _condensation(nodes, cut_lineage(edges.select(*GRAPH, "src", "dest").distinct()))
     return home, _closure(outer)
 
 
+def _waves(src: np.ndarray, dest: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Edges of a graph without cycles in waves (targets, first edge of each target, sources): all edges into a wave's targets come from earlier ones."""
+    out = np.argsort(src, kind="stable")
+    ends = np.searchsorted(src[out], np.arange(n + 1))
+    into = np.argsort(dest, kind="stable")
+    heads = np.searchsorted(dest[into], np.arange(n + 1))
+    missing = np.bincount(dest, minlength=n)
+    wave = np.flatnonzero(missing == 0)
+    spread = lambda of, starts: np.repeat(starts[of], starts[of + 1] - starts[of]) + _steps(starts[of + 1] - starts[of])
+    while len(wave):
+        seen, times = np.unique(dest[out[spread(wave, ends)]], return_counts=True)
+        missing[seen] -= times
+        wave = seen[missing[seen] == 0]
+        if len(wave):
+            counts = heads[wave + 1] - heads[wave]
+            yield wave, np.cumsum(counts) - counts, src[into[spread(wave, heads)]]
+
+
+def _steps(counts: np.ndarray) -> np.ndarray:
+    """0..c-1 for every count in turn."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _pairs_of_slices(links: DataFrame, slice_sources: int) -> DataFrame:
+    """(repo, rev, across) for graphs of one block: node pairs between different components with a path, slice by slice of sources.
+
+    ``links`` names components by numbers and carries their sizes n_src and n_dest. A task holds one bit per component and source of its slice; each
+    link ors the bits of its source into its target, in an order in which every source is complete. Pairs are counted, never listed.
+    """
+    sources = links.groupBy(*GRAPH).agg(F.ceil(F.count_distinct("src") / slice_sources).cast("int").alias("slices"))
+    spread = links.join(sources, GRAPH).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    types = dict(links.dtypes)
+
+    def counted(block: pd.DataFrame) -> pd.DataFrame:
+        names, codes = np.unique(np.concatenate([block["src"], block["dest"]]), return_inverse=True)
+        m, n = len(block), len(names)
+        src, dest = codes[:m], codes[m:]
+        weight = np.ones(n, np.int64)
+        weight[src], weight[dest] = block["n_src"], block["n_dest"]
+        mine = np.unique(src)[int(block["slice"].iloc[0])::int(block["slices"].iloc[0])]
+        bits = np.zeros((n, -(-len(mine) // 64) * 8), np.uint8)
+        own = np.arange(len(mine))
+        bits[mine, own // 8] = 128 >> (own % 8)
+        words = bits.view(np.uint64)
+        for targets, firsts, origins in _waves(src, dest, n):
+            words[targets] |= np.bitwise_or.reduceat(words[origins], firsts, axis=0)
+        reached = np.zeros(bits.shape[1] * 8, np.int64)
+        for lo in range(0, n, 512):
+            # sums of node counts stay below 2**53
+            reached += (weight[lo:lo + 512].astype(float) @ np.unpackbits(bits[lo:lo + 512], axis=1).astype(float)).astype(np.int64)
+        across = int((weight[mine] * (reached[:len(mine)] - weight[mine])).sum())
+        return pd.DataFrame({"repo": [block["repo"].iloc[0]], "rev": [block["rev"].iloc[0]], "across": [across]})
+
+    counts = spread.groupBy(*GRAPH, "slice").applyInPandas(counted, f"repo {types['repo']}, rev {types['rev']}, across bigint")
+    return counts.groupBy(*GRAPH).agg(F.sum("across").alias("across"))
+
+
+def _pairs_by_rounds(links: DataFrame, slice_sources: int) -> DataFrame:
+    """``_pairs_of_slices`` for graphs of any size: 64 sources to a word, words passed along the links until no bit is new.
+
+    Slices of sources follow one another; a slice's words are counted and dropped before the next.
+    """
+    origins = numbered(links.select(*GRAPH, F.col("src").alias("node"), F.col("n_src").alias("n")).distinct(), GRAPH, [F.col("node")], "at")
+    origins = cut_lineage(origins.withColumn("slice", F.floor((F.col("at") - 1) / slice_sources)))
+    sizes = cut_lineage(links.select(*GRAPH, F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("n_src").alias("n")), F.struct(F.col("dest").alias("node"), F.col("n_dest").alias("n")))).alias("x")).select(*GRAPH, "x.*").distinct())
+    last = origins.agg(F.max("slice")).first()[0]
+    key, parts = [*GRAPH, "node", "word"], []
+    for nth in range(-1 if last is None else last + 1):
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), ((F.col("at") - 1) % 64).cast("int"))
+        starts = origins.filter(F.col("slice") == nth).withColumn("word", F.floor((F.col("at") - 1) / 64))
+        state = cut_lineage(starts.select(*key, bit.alias("bits"), bit.alias("fresh")))
+        while True:
+            moved = state.filter("fresh <> 0").alias("s").join(links.alias("e"), _on("s", "e", ("node", "src")))
+            offers = moved.groupBy("s.repo", "s.rev", F.col("e.dest").alias("node"), "s.word").agg(F.bit_or("s.fresh").alias("offer"))
+            known = F.coalesce("bits", F.lit(0).cast("bigint"))
+            offer = F.coalesce("offer", F.lit(0).cast("bigint"))
+            seen = Observation()
+            merged = state.select(*key, "bits").join(offers, key, "full").select(*key, known.bitwiseOR(offer).alias("bits"), offer.bitwiseAND(F.bitwise_not(known)).alias("fresh"))
+            after = cut_lineage(merged.observe(seen, F.count_if(F.col("fresh") != 0).alias("n")))
+            drop_scratch(state)
+            state = after
+            if not seen.get["n"]:
+                break
+        reach = state.join(sizes, [*GRAPH, "node"]).select(*GRAPH, "word", "n", F.explode(F.filter(
+            F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("bits", i) == 1)).alias("i"))
+        totals = reach.groupBy(*GRAPH, ((F.col("word") * 64 + F.col("i")) + 1).alias("at")).agg(F.sum("n").alias("total"))
+        parts.append(cut_lineage(
+            starts.join(totals, [*GRAPH, "at"]).groupBy(*GRAPH).agg(F.sum(F.col("n") * (F.col("total") - F.col("n"))).cast("bigint").alias("across"))
+        ))
+        drop_scratch(state)
+    if not parts:
+        return links.select(*GRAPH, F.lit(0).cast("bigint").alias("across")).limit(0)
+    return reduce(DataFrame.unionByName, parts).groupBy(*GRAPH).agg(F.sum("across").alias("across"))
+
+
 def reachability(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """All (src, dest) with a path of at least one edge; a node reaches itself only on a cycle."""
     home, reach = condensed(nodes, edges)
@@ -277,40 +481,48 @@ def reachability(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def propagation_cost(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Both propagation costs of every revision, counted from component sizes.
+def propagation_cost(nodes: DataFrame, edges: DataFrame, block_edges: int = BLOCK_EDGES, slice_sources: int = SLICE_SOURCES) -> DataFrame:
+    """Both propagation costs of every revision, counted from component sizes and bits of reach; no pair of nodes is listed.
 
     ``pc_matrix``: closure pairs over N², self pairs on cycles included. ``pc_reach``: mean share of the other
     nodes that a node reaches. ``edges`` of weight 0 stand for matrix cells without values: they count for the
-    matrix form only.
+    matrix form only. Graphs of up to ``block_edges`` links between components are counted in tasks of one slice of sources
+    each, larger ones by rounds over words of 64 sources.
     """
-    sizes_of = lambda home: home.groupBy(*GRAPH, "component").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    loops = edges.filter(F.col("src") == F.col("dest")).select(*GRAPH, F.col("src").alias("component")).distinct()
-
-    def counts(home: DataFrame, reach: DataFrame, out: str) -> DataFrame:
-        sizes = sizes_of(home).join(loops.withColumn("loop", F.lit(1.0)), [*GRAPH, "component"], "left")
-        across = (
-            reach.alias("r").join(sizes.alias("s"), _on("r", "s", ("src", "component")))
-            .join(sizes.alias("d"), _on("r", "d", ("dest", "component")))
-            .groupBy("r.repo", "r.rev").agg(F.sum(F.col("s.n") * F.col("d.n")).alias("across"))
-        )
-        self_pairs = F.when(F.col("n") > 1, F.col("n")).otherwise(F.coalesce("loop", F.lit(0.0)))
+    seen = Observation()
+    links = cut_lineage(
+        edges.groupBy(*GRAPH, "src", "dest").agg(F.max(F.col("weight") > 0).alias("valued")).observe(seen, F.count_if(~F.col("valued")).alias("bare"))
+    )
+    loops = links.filter(F.col("src") == F.col("dest")).select(*GRAPH, F.col("src").alias("component")).distinct()
+
+    def counts(chosen: DataFrame, out: str) -> DataFrame:
+        home, outer = _condensation(nodes, chosen, block_edges)
+        groups = cut_lineage(home.groupBy(*GRAPH, "component").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
+        at = lambda end: groups.select(*GRAPH, F.col("component").alias(end), F.col("id").alias(f"id_{end}"), F.col("n").alias(f"n_{end}"))
+        sized = outer.join(at("src"), [*GRAPH, "src"]).join(at("dest"), [*GRAPH, "dest"])
+        sized = sized.select(*GRAPH, F.col("id_src").alias("src"), F.col("id_dest").alias("dest"), "n_src", "n_dest")
+        placed, big = cut_lineage(sized), Observation()
+        large = placed.groupBy(*GRAPH).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_edges)
+        large = cut_lineage(large.observe(big, F.count(F.lit(1)).alias("n")).select(*GRAPH))
+        across = _pairs_of_slices(placed.join(large, GRAPH, "left_anti"), slice_sources)
+        if big.get["n"]:
+            across = across.unionByName(_pairs_by_rounds(cut_lineage(placed.join(large, GRAPH, "left_semi")), slice_sources))
+        sizes = groups.join(loops.withColumn("loop", F.lit(1)), [*GRAPH, "component"], "left")
+        self_pairs = F.when(F.col("n") > 1, F.col("n")).otherwise(F.coalesce("loop", F.lit(0)))
         own = sizes.groupBy(*GRAPH).agg(
             F.sum("n").alias("total"), F.sum(F.col("n") * (F.col("n") - 1)).alias("inside"), F.sum(self_pairs).alias("selfs")
         )
-        base = own.join(across, GRAPH, "left").fillna(0.0)
+        base = own.join(across, GRAPH, "left").fillna(0, ["across"])
+        base = base.select(*GRAPH, *[F.col(c).cast("double").alias(c) for c in ("total", "inside", "selfs", "across")])
         others = F.col("across") + F.col("inside")
-        if out == "pc_matrix":
-            return base.select(*GRAPH, ((others + F.col("selfs")) / (F.col("total") * F.col("total"))).alias(out))
-        pairs = F.col("total") * (F.col("total") - 1)
-        return base.select(*GRAPH, F.when(F.col("total") > 1, others / pairs).otherwise(0.0).alias(out))
-
-    home, reach = condensed(nodes, edges)
-    matrix = counts(home, reach, "pc_matrix")
-    valued = edges.filter(F.col("weight") > 0)
-    if edges.filter(F.col("weight") <= 0).isEmpty():
-        return matrix.join(counts(home, reach, "pc_reach"), GRAPH)
-    return matrix.join(counts(*condensed(nodes, valued), "pc_reach"), GRAPH)
+        matrix = (others + F.col("selfs")) / (F.col("total") * F.col("total"))
+        reach = F.when(F.col("total") > 1, others / (F.col("total") * (F.col("total") - 1))).otherwise(0.0)
+        shown = {"pc_matrix": matrix, "pc_reach": reach}
+        return base.select(*GRAPH, *[v.alias(k) for k, v in shown.items() if out in (k, "both")])
+
+    if not seen.get["bare"]:
+        return counts(links, "both")
+    return counts(links, "pc_matrix").join(counts(links.filter("valued"), "pc_reach"), GRAPH)
 
 
 # --- composite -------------------------------------------------------------------

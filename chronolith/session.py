@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ _local_roots: dict[str, str] = {}
 def build_session(app: str = "chronolith", cpus: int | None = None) -> SparkSession:
     """A session for local runs; on a cluster the submitted configuration wins."""
     cores = cpus or os.cpu_count() or 4
+    # Python workers of a local session import the library from here, whatever the working folder
+    home = str(Path(__file__).resolve().parents[1])
+    os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([home, *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]))
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)

@@ -60,6 +60,28 @@ def test_components_and_reachability_match_brute_force(spark, rows, seed, sizes)
         assert r.pc_reach == pytest.approx(others / (n * (n - 1)) if n > 1 else 0.0)
 
 
+@pytest.mark.parametrize("block_edges, slice_sources", [(1, 9), (10, 70), (10_000, 1)])
+def test_blocks_and_rounds_give_the_same(spark, rows, block_edges, slice_sources):
+    """Graphs of one block, of several blocks and of one edge a block; slices of one source and of many."""
+    graphs = random_graphs(block_edges, [(10, 14), (2, 2), (12, 8)] if block_edges == 1 else [(12, 18), (9, 22), (15, 9), (2, 2), (80, 120)])
+    nodes, edges = build(spark, graphs)
+    assert rows(G.scc_members(edges, block_edges)) == rows(G.scc_members(edges))
+    want = []
+    for (r, v), (ns, es) in graphs.items():
+        reach = closure(ns, es)
+        others = sum(len(reach[a] - {a}) for a in ns)
+        want.append((r, v, sum(len(x) for x in reach.values()) / len(ns) ** 2, others / (len(ns) * (len(ns) - 1))))
+    got = G.propagation_cost(nodes, edges, block_edges, slice_sources).collect()
+    assert sorted((r.repo, r.rev, pytest.approx(r.pc_matrix), pytest.approx(r.pc_reach)) for r in got) == sorted(want)
+
+
+def test_chain_of_five_thousand(spark):
+    chain = [(f"d{i:05d}", f"d{i + 1:05d}") for i in range(4999)]
+    nodes, edges = build(spark, {("r", 1): (sorted({x for e in chain for x in e}), chain)})
+    row = G.propagation_cost(nodes, edges).collect()[0]
+    assert row.pc_matrix == pytest.approx(5000 * 4999 / 2 / 5000**2)
+
+
 def test_large_cycle_and_long_chain(spark):
     ring = [(f"c{i:03d}", f"c{(i + 1) % 40:03d}") for i in range(40)]
     chain = [(f"d{i:03d}", f"d{i + 1:03d}") for i in range(30)]
