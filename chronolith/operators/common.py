@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +21,14 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int | None,
     return ranked if n is None else ranked.filter(F.col(rank) <= n)
 
 
-def running_total(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
-    """Inclusive running sum of a whole-number ``value`` along ``order`` in every group.
+def running(
+    df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str, over: Callable[[str], Column] = F.sum,
+    plus: Callable[[Column, Column], Column] = lambda a, b: a + b,
+) -> DataFrame:
+    """Inclusive running aggregate (``over``, joined by ``plus``, 0 being neutral) of a whole-number ``value`` along ``order`` in every group.
 
     Rows are range-partitioned on (keys, order), so a group larger than a task spreads over many slices: each
-    slice sums locally and is shifted by the total of the slices before it. ``order`` has to be unique in a group.
+    slice is folded locally and joined with the result of the slices before it. ``order`` has to be unique in a group.
     """
     placed = cut_lineage(
         df.withColumn("_value", value.cast("bigint"))
@@ -31,12 +36,17 @@ def running_total(df: DataFrame, keys: list[str], order: list[Column], value: Co
         .withColumn("_slice", F.spark_partition_id())
     )
     slice_keys = ["_slice", *keys]
-    totals = placed.groupBy(*slice_keys).agg(F.sum("_value").alias("_sum"))
+    totals = placed.groupBy(*slice_keys).agg(over("_value").alias("_sum"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = totals.select(*slice_keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_shift"))
+    shifts = totals.select(*slice_keys, F.coalesce(over("_sum").over(earlier), F.lit(0).cast("bigint")).alias("_shift"))
     local = Window.partitionBy(*slice_keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = placed.withColumn("_local", F.sum("_value").over(local)).join(shifts, slice_keys)
-    return summed.withColumn(out, F.col("_local") + F.col("_shift")).drop("_slice", "_value", "_local", "_shift")
+    summed = placed.withColumn("_local", over("_value").over(local)).join(shifts, slice_keys)
+    return summed.withColumn(out, plus(F.col("_local"), F.col("_shift"))).drop("_slice", "_value", "_local", "_shift")
+
+
+def running_total(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
+    """Inclusive running sum of a whole-number ``value`` along a unique ``order`` in every group, for groups of any size."""
+    return running(df, keys, order, value, out)
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str = "rank") -> DataFrame:
