@@ -128,11 +128,11 @@ def _from(lines: Column, position: Column) -> Column:
     return F.slice(lines, position, F.greatest(F.size(lines) - position + 1, F.lit(0)))
 
 
-def strip_thinking(text: Column, scan_lines: int = 200) -> Column:
-    """Drop a leading block from a 'Thinking' line to the line that says 'done thinking'."""
+def strip_thinking(text: Column, scan_lines: int | None = None) -> Column:
+    """Drop a leading block from a 'Thinking' line to the line that says 'done thinking', looked for in all lines or the first ``scan_lines``."""
     lines = _lines(text)
     done = F.array_position(
-        F.transform(F.slice(lines, 1, scan_lines), lambda ln: F.contains(F.lower(ln), F.lit("done thinking"))), True
+        F.transform(lines if scan_lines is None else F.slice(lines, 1, scan_lines), lambda ln: F.contains(F.lower(ln), F.lit("done thinking"))), True
     )
     rest = F.regexp_replace(F.array_join(_from(lines, (done + 1).cast("int")), "\n"), f"^{SPACE}+", "")
     starts = F.startswith(F.lower(strip(F.get(lines, F.lit(0)))), F.lit("thinking"))
@@ -161,8 +161,8 @@ def section_body(text: Column, heading: str) -> Column:
     return strip(F.regexp_extract(text, rf"(?ms)^[^\S\n]*\Q{heading}\E[^\S\n]*$\n?(.*?)(?=^## |\z)", 1))
 
 
-def driver_bullets(text: Column, title: str = "## Likely Drivers", cap: int | None = 15) -> Column:
-    """One titled list of '-' bullets, the first ``cap`` (None: all): headings and blanks dropped, numbering and plain lines turned into bullets."""
+def driver_bullets(text: Column, title: str = "## Likely Drivers", cap: int | None = None) -> Column:
+    """One titled list of '-' bullets, all or the first ``cap``: headings and blanks dropped, numbering and plain lines turned into bullets."""
     body = F.transform(_from(_lines(text), F.lit(2)), strip)
     kept = F.filter(body, lambda s: (s != "") & ~s.rlike(r"^#{1,6}\s+"))
     bullets = F.transform(

@@ -25,8 +25,8 @@ SEEDS_PER_ROW = 50
 SLACK = 1e-7
 
 
-def chunked(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, shortest: int = SHORTEST_CHUNK) -> DataFrame:
-    """Overlapping windows over whole texts; short ones are dropped before numbering."""
+def chunked(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, shortest: int = 1) -> DataFrame:
+    """Overlapping windows over whole texts; empty ones, or those under ``shortest`` characters, are dropped before numbering."""
     starts = F.sequence(F.lit(0), F.length("text") - 1, F.lit(size - overlap))
     pieces = F.transform(starts, lambda i: strip(F.substring(F.col("text"), i + 1, F.lit(size))))
     kept = F.filter(pieces, lambda c: F.length(c) >= shortest)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from chronolith.functions.text import normalise_path
 from chronolith.operators.common import adjacent_pairs
 from chronolith.operators.history import assign_windows, revision_windows
-from chronolith.operators.retrieval import chunked
+from chronolith.operators.retrieval import SHORTEST_CHUNK, chunked
 from chronolith.session import cut_lineage
 
 COMMIT_HEAD = {"1": "Fix crash", "2": "Add feature", "3": "Refactor module", "4": "Update docs", "5": "Misc"}
@@ -214,7 +214,7 @@ class History:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        rows = chunked(self.documents).withColumn("chunk_id", F.concat("source_file", F.lit(":"), "ord"))
+        rows = chunked(self.documents, shortest=SHORTEST_CHUNK).withColumn("chunk_id", F.concat("source_file", F.lit(":"), "ord"))
         return rows.select("chunk_id", "layer", "subtype", "repo", "model", "source_file", F.col("ord").cast("bigint").alias("ord"), "text")
 
     @cached_property

@@ -120,7 +120,8 @@ def _(h):
 
 # --- metric series -------------------------------------------------------------
 
-DELTAS = """deltas AS (SELECT *, round(raw, 2) AS delta, CASE WHEN old_value <> 0 THEN round(round(raw, 2) / old_value * 100.0::DOUBLE, 2) END AS relative FROM mchanges)"""
+# format() rounds the exact value, as Spark does; round() multiplies first
+DELTAS = """deltas AS (SELECT *, CAST(format('{:.2f}', raw) AS DOUBLE) AS delta, CASE WHEN old_value <> 0 THEN CAST(format('{:.2f}', CAST(format('{:.2f}', raw) AS DOUBLE) / old_value * 100.0::DOUBLE) AS DOUBLE) END AS relative FROM mchanges)"""
 
 
 @query("metric_changes_w2_f20", sql("""

@@ -218,15 +218,15 @@ def _(h):
     return rows.select("repo", "a", "b", F.round("rho", 6).alias("rho"))
 
 
-# Student's t through its angle: the area under cos(x)^(n-3) beyond asin|r|, over twelve widths in 2000 steps
-STARS = f"""cells AS ({CELLS.replace(', 6) AS rho', ', 15) AS rho')}), size AS (SELECT repo, count(*) AS n FROM ranking GROUP BY repo),
-angles AS (SELECT *, asin(least(abs(rho), 1.0)) AS a0, (least(pi() / 2, asin(least(abs(rho), 1.0)) + 12 / sqrt(n - 2)) - asin(least(abs(rho), 1.0))) / 2000 AS step FROM cells JOIN size USING (repo)),
-tails AS (SELECT repo, a, b, sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp((n - 3) * ln(greatest(cos(a0 + i * step), 1e-300)))) * any_value(step) / 3 AS area FROM angles, range(0, 2001) t(i) GROUP BY 1, 2, 3),
+# Student's t through its angle: the area under cos(x)^(n-3) beyond asin|r|, over twelve widths in 200 steps
+STARS = f"""cells AS MATERIALIZED ({CELLS.replace(', 6) AS rho', ', 15) AS rho')}), size AS (SELECT repo, count(*) AS n FROM ranking GROUP BY repo),
+angles AS (SELECT *, asin(least(abs(rho), 1.0)) AS a0, (least(pi() / 2, asin(least(abs(rho), 1.0)) + 12 / sqrt(n - 2)) - asin(least(abs(rho), 1.0))) / 200 AS step FROM cells JOIN size USING (repo)),
+tails AS (SELECT repo, a, b, sum(CASE WHEN i IN (0, 200) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp((n - 3) * ln(greatest(cos(a0 + i * step), 1e-300)))) * any_value(step) / 3 AS area FROM angles, range(0, 201) t(i) GROUP BY 1, 2, 3),
 tested AS (SELECT repo, n, a, b, rho, CASE WHEN abs(rho) >= 1 THEN 0.0 ELSE 2 * area * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt(pi()) END::DOUBLE AS p FROM angles JOIN tails USING (repo, a, b))"""
 
 
 @query("rank_correlation_stars_a20", sql("""
-    SELECT repo, n, a, b, round(rho, 6) AS rho, round(p, 6) AS p, CASE WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars FROM tested""", *RISK, RANKS, STARS))
+    SELECT repo, n, a, b, round(rho, 6) AS rho, round(p, 6) AS p, CASE WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars FROM tested""", *[r.replace("ranking AS (", "ranking AS MATERIALIZED (") for r in RISK], RANKS.replace("ranks AS (", "ranks AS MATERIALIZED (", 1), STARS))
 def _(h):
     return S.rank_correlations(_ranked(h)).withColumn("rho", F.round("rho", 6)).withColumn("p", F.round("p", 6))
 

@@ -216,13 +216,13 @@ def _(h):
         lambda s: concat('- ', {strip_sql("regexp_replace(s, '^(?:[0-9]+[).:-]\\s+|- )', '')")})) AS b FROM documents)""")
 def _(h):
     text = F.concat(F.lit("## Likely Drivers\n"), "text")
-    return h.table("documents").select("doc_id", X.driver_bullets(text).alias("bullets"))
+    return h.table("documents").select("doc_id", X.driver_bullets(text, cap=15).alias("bullets"))
 
 
 @query("driver_bullets_all_f19", uncut("driver_bullets_f19", "[1:15]"))
 def _(h):
     text = F.concat(F.lit("## Likely Drivers\n"), "text")
-    return h.table("documents").select("doc_id", X.driver_bullets(text, cap=None).alias("bullets"))
+    return h.table("documents").select("doc_id", X.driver_bullets(text).alias("bullets"))
 
 
 @query("key_value_texts_f21_f22", """

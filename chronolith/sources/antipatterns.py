@@ -39,13 +39,15 @@ def clique_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _body(content: bytes) -> bytes:
-    """What the gzip members inside a file hold, one after the other; b'' if there is none or one is broken."""
+    """What the gzip members inside a file hold, one after the other; b'' if there is none or one is broken or cut off."""
     start = content.find(GZIP_MAGIC)
     parts, rest = [], content[start:] if start >= 0 else b""
     try:
         while rest.startswith(GZIP_MAGIC):
             member = zlib.decompressobj(zlib.MAX_WBITS | 16)
             parts.append(member.decompress(rest))
+            if not member.eof:
+                return b""
             rest = member.unused_data.lstrip(b"\0")
     except zlib.error:
         return b""

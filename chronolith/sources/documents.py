@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronolith.functions.classify import model_from_path, repo_from_path
 from chronolith.functions.text import basename, number_text, strip
 from chronolith.operators.common import listed, top_rows
-from chronolith.operators.retrieval import chunked
+from chronolith.operators.retrieval import SHORTEST_CHUNK, chunked
 
 KNOWLEDGE_SUFFIXES = ("txt", "md", "rst", "html")
 
@@ -21,8 +21,8 @@ REPORT_KINDS = {
 }
 
 
-def _chunks(docs: DataFrame, prefix: Column) -> DataFrame:
-    rows = chunked(docs.withColumn("text", strip(F.col("text"))).withColumn("_prefix", prefix))
+def _chunks(docs: DataFrame, prefix: Column, shortest: int = SHORTEST_CHUNK) -> DataFrame:
+    rows = chunked(docs.withColumn("text", strip(F.col("text"))).withColumn("_prefix", prefix), shortest=shortest)
     return rows.withColumn("chunk_id", F.concat_ws(":", "_prefix", "ord")).select(
         "chunk_id", "layer", "subtype", "repo", "model", "source_file", "ord", "text"
     )

@@ -84,7 +84,8 @@ def test_report_cleaning(spark):
 
 def test_driver_bullets(spark):
     text = "## Likely Drivers\n1. one\n\n# drop\n- two\nthree\n" + "\n".join(f"{i}) x" for i in range(20))
-    got = values(spark, [text, "## Likely Drivers\n", ""], X.driver_bullets(F.col("t")))
+    got = values(spark, [text, "## Likely Drivers\n", ""], X.driver_bullets(F.col("t"), cap=15))
+    assert len(values(spark, [text], X.driver_bullets(F.col("t")))[0].splitlines()) == 24
     assert got[0].splitlines()[:4] == ["## Likely Drivers", "- one", "- two", "- three"] and len(got[0].splitlines()) == 16
     assert got[1:] == ["## Likely Drivers\n- (missing)\n", ""]
 

@@ -14,9 +14,7 @@ from check import TABLES, check  # noqa: E402
 SMALL = "/root/testdata/sf0.001"
 SELECTED = [
     "normalise_path_f1_f2", "issue_keys_f7", "commit_windows_j9_p2", "sample_even_w10",
-    # one value here is -5.35499999999999954: Spark and Python round it to -5.35, the SQL engine multiplies first and gets -5.36
-    pytest.param("metric_changes_w2_f20", marks=pytest.mark.xfail(strict=True, reason="the SQL engine rounds -5.3549999… to -5.36")),
-    "typed_churn_totals_a6", "edge_changes_j2_u2",
+    "metric_changes_w2_f20", "typed_churn_totals_a6", "edge_changes_j2_u2",
     "strong_components_g4", "cochange_pairs_bulk_j5", "clustering_move_counts_j4", "mscore_g8", "file_risk_c1_c2", "quantiles_a16", "cosine_search_t4_j18_t10_p3",
     "typed_log_changes_s6", "report_findings_c12",
 ]

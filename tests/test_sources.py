@@ -123,6 +123,7 @@ def test_member_files(spark, rows, tmp_path):
         (folder / "m.clsx").write_bytes(member_blob("org/A.java", "readme.txt", "B.HPP", "org/A.java"))
     (a / "broken.clsx").write_bytes(b"no gzip here")
     (a / "torn.clsx").write_bytes(b"\x1f\x8btorn")
+    (a / "cut.clsx").write_bytes(member_blob("org/A.java", *[f"f{i}/C{i * i}.java" for i in range(400)])[:-20])
     decoded = A.decode_members(A.read_blobs(spark, str(tmp_path), "*.clsx"))
     assert rows(A.memberships(decoded), "rev", "type", "file") == [
         (3, "clique", "B.HPP"), (3, "clique", "org/A.java"), (4, "cycle", "B.HPP"), (4, "cycle", "org/A.java")]
