@@ -333,8 +333,17 @@ def top_commits(placed: DataFrame, changes: DataFrame, count: int = 5) -> DataFr
     )
 
 
+def commit_samples(placed: DataFrame, count: int = 10) -> DataFrame:
+    """The first commits of a window with all their fields; ``placed`` is ``window_commits``."""
+    first = placed.filter(F.col("rank") <= count)
+    return first.select(
+        *PAIR, "rank", "hash", "author", "email", F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("subject").alias("message"),
+        F.substring("subject", 1, 100).alias("message_short"),
+    )
+
+
 def period_summary(commits: DataFrame, changes: DataFrame, windows: DataFrame, limit: int | None = None) -> DataFrame:
-    """One row per revision pair: commit counts by class, top authors, first commits and hotspot files as text."""
+    """One row per revision pair: commit counts by class, top authors, first commits and hotspot files as text, ten commits with all fields."""
     placed = window_commits(commits, windows, limit)
     authors = top_authors(placed).withColumn("_t", F.concat("author", F.lit("="), "commits"))
     files = hotspot_files(placed, changes).withColumn("_t", F.concat("path", F.lit("="), "changes"))
@@ -344,7 +353,9 @@ def period_summary(commits: DataFrame, changes: DataFrame, windows: DataFrame, l
     out = category_counts(placed)
     for rows, name in ((authors, "top_authors"), (firsts, "top_commits"), (files, "hotspot_files")):
         out = out.join(rows.groupBy(*PAIR).agg(listed(["rank"], "_t", "; ").alias(name)), PAIR, "left")
-    return out
+    fields = F.struct("rank", "hash", "author", "email", "date", "message", "message_short")
+    samples = commit_samples(placed).groupBy(*PAIR).agg(F.array_sort(F.collect_list(fields)).alias("commit_samples"))
+    return out.join(samples, PAIR, "left")
 
 
 def bug_commits(commits: DataFrame, issues: DataFrame, limit: int | None = None) -> DataFrame:

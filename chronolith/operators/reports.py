@@ -206,12 +206,13 @@ def _sided(side: str, order: list[str], text: str, separator: str) -> Column:
 
 def transition_facts(
     changes: DataFrame, moves: DataFrame, diff: DataFrame, patterns: DataFrame, dangerous: DataFrame, penalties: DataFrame,
-    commits: DataFrame,
+    commits: DataFrame, typed: DataFrame | None = None,
 ) -> DataFrame:
     """One wide row per transition joining the deltas, movements, graph, patterns, dangerous files and commits.
 
     moves: ``move_counts``; diff: ``graph_diff``; patterns: ``anti_pattern_changes``; dangerous: ``top_dangerous``;
-    penalties: ``top_penalties`` with ``files``, the first names of each module; commits: ``period_summary``.
+    penalties: ``top_penalties`` with ``files``, the first names of each module; commits: ``period_summary``; typed: ``typed_totals`` of the
+    pairs, null columns without.
     """
     wide = changes.groupBy(*PAIR).agg(
         *[F.max(F.when(F.col("metric") == m, F.col(v))).alias(f"{m.replace('-', '_')}_{v}")
@@ -245,8 +246,13 @@ def transition_facts(
     hot_text = on_new(hot).select(*PAIR, F.concat(
         F.format_string("Layer %s / %s files, cross_penalty=%.3f | files: ", "layer_no", "module_size", "cross_penalty"),
         F.coalesce("files_text", F.lit(""))).alias("refactoring_hotspot"))
+    by_type = lambda c: listed(["type"], c).alias(f"typed_{c.removeprefix('_')}")
+    if typed is None:
+        typed = wide.select(*PAIR, F.lit(None).cast("string").alias("type"), *[F.lit(None).cast("bigint").alias(c) for c in ("commit_count", "churn_total")])
+    typed_text = typed.select(*PAIR, "type", *[F.concat("type", F.lit("="), c).alias(f"_{c.split('_')[0]}") for c in ("commit_count", "churn_total")])
+    typed_text = typed_text.groupBy(*PAIR).agg(by_type("_commit"), by_type("_churn"))
     out = wide
-    for part in (moves, diff, pattern_text, danger_text, danger_lines, cross_text, hot_text, commits):
+    for part in (moves, diff, pattern_text, danger_text, danger_lines, cross_text, hot_text, commits, typed_text):
         out = out.join(part, PAIR, "left")
     return out
 
@@ -290,6 +296,7 @@ def summary_text(facts: DataFrame) -> DataFrame:
         line("- Metric deltas (new-old, relative %): ", deltas("relative")),
         line("- Anti-pattern counts (newer): ", F.col("anti_patterns")),
         line("- Most dangerous files (newer, DV8): ", F.col("dangerous_files")),
+        F.concat(F.lit("- Issue-typed churn (newer): commit_count=("), F.nullif("typed_commit", F.lit("")), F.lit("), churn_total=("), "typed_churn", F.lit(")")),
         F.concat(F.lit("- DRH file count: old="), "files_old", F.lit(" → new="), "files_new", F.lit(" (Δ="),
                  signed(F.col("files_new") - F.col("files_old")), F.lit(")")),
         F.concat(F.lit("- DRH movement (old→new): "), key_values(

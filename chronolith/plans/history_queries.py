@@ -299,6 +299,14 @@ def _(h):
     return rows.select("repo", F.col("new_rev").cast("bigint").alias("new_rev"), "total_commits", *C.COMMIT_CLASSES, "top_authors", "hotspot_files")
 
 
+@query("commit_samples_a9", sql("""
+    SELECT repo, CAST(new_rev AS BIGINT) AS new_rev, rank, hash, author, email, strftime(ts, '%Y-%m-%d') AS date, subject AS message, substring(subject, 1, 100) AS message_short FROM (
+      SELECT *, row_number() OVER (PARTITION BY repo, new_rev ORDER BY ts DESC, hash DESC) AS rank FROM placed) WHERE rank <= 10"""))
+def _(h):
+    rows = H.period_summary(h.commits, h.file_changes, h.windows).select("repo", F.col("new_rev").cast("bigint").alias("new_rev"), F.explode("commit_samples").alias("c"))
+    return rows.select("repo", "new_rev", "c.*")
+
+
 @query("metric_explanations_c7", sql("""
     SELECT m.repo, CAST(m.new_rev AS BIGINT) AS new_rev, metric, round(raw, 6) AS delta, total_commits, refactoring, bugfix, feature
     FROM mchanges m LEFT JOIN summary s ON m.repo = s.repo AND m.new_rev = s.new_rev WHERE raw IS NOT NULL AND raw <> 0""", RECENT, PERIOD, SUMMARY_SQL))

@@ -150,7 +150,8 @@ def _facts(h):
     return R.transition_facts(
         H.metric_changes(h.metrics), _move_counts(h), _diff(h)[0], _patterns(h), _dangerous(h),
         R.top_penalties(M.module_scores(h.locations, h.edges)).join(M.sample_files(h.locations, 6), R.MODULE),
-        H.period_summary(h.commits, h.file_changes, h.windows))
+        H.period_summary(h.commits, h.file_changes, h.windows),
+        H.typed_totals(h.placed, h.file_changes, h.issues, PAIR))
 
 
 TEXTS = """danger AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, rev ORDER BY coalesce(churn, 0) * 10 + CAST(trunc(fan_in) AS BIGINT) + CAST(trunc(fan_out) AS BIGINT) DESC, ord) AS k FROM (
@@ -182,6 +183,8 @@ wt AS (SELECT repo, rev, sum(w) AS total, string_agg(concat(kind, '=', w), ', '
 nc AS (SELECT repo, rev, count(*) AS n FROM (SELECT DISTINCT repo, rev, node FROM nodes) GROUP BY 1, 2),
 firstcommits AS (SELECT r.repo, r.new_rev, string_agg(concat(substring(r.hash, 1, 8), ' ', strftime(ts, '%Y-%m-%d'), ' ', substring(subject, 1, 80), ' ', coalesce(files, 0), ' files'), '; ' ORDER BY r.rank) AS t
   FROM recentw r LEFT JOIN (SELECT repo, hash, count(*) AS files FROM file_changes GROUP BY 1, 2) f ON r.repo = f.repo AND r.hash = f.hash WHERE r.rank <= 5 GROUP BY 1, 2)"""
+TYPED_TEXT = """ttext AS (SELECT repo, new_rev, string_agg(concat(type, '=', commit_count), ', ' ORDER BY type) AS tc, string_agg(concat(type, '=', churn_total), ', ' ORDER BY type) AS tl
+  FROM totals GROUP BY 1, 2)"""
 TEXT_TABLES = (*HINT_TABLES, FAN, HOT, HOT10, CHURN10, *SCORE, PENALTIES, RECENT, PERIOD, SUMMARY_SQL, TEXTS)
 MOVED = "concat('moved_layers{c}=', ml, ', moved_modules{c}=', mm, ', added_files{c}=', ad, ', removed_files{c}=', re, ' (note: renames/moves often show up as add+remove)')"
 COUNTED = "fo, ' → new=', fn, ' (Δ=', format('{:+d}', fn - fo), ')'"
@@ -190,15 +193,15 @@ COUNTED = "fo, ' → new=', fn, ' (Δ=', format('{:+d}', fn - fo), ')'"
 @query("transition_texts_c4", sql(f"""
     SELECT p.repo, CAST(p.new_rev AS BIGINT) AS new_rev, CAST(p.old_rev AS BIGINT) AS old_rev,
       concat(concat_ws(chr(10), '## Comprehensive Summary', '- Metric deltas (new-old, absolute points): ' || d.d, '- Metric deltas (new-old, relative %): ' || d.r, '- Anti-pattern counts (newer): ' || a.a,
-        '- Most dangerous files (newer, DV8): ' || d3, concat('- DRH file count: old=', {COUNTED}), concat('- DRH movement (old→new): ', {MOVED.format(c='')}),
+        '- Most dangerous files (newer, DV8): ' || d3, '- Issue-typed churn (newer): commit_count=(' || tc || '), churn_total=(' || tl || ')', concat('- DRH file count: old=', {COUNTED}), concat('- DRH movement (old→new): ', {MOVED.format(c='')}),
         '- Highest cross-layer penalty modules (newer): ' || c4, '- Refactoring hotspot (top module by cross_penalty×size): ' || h), chr(10)) AS summary,
       concat(concat_ws(chr(10), '## DRH Differences', '### Structural Summary', concat('- DRH file count: old=', {COUNTED}), '- Layer file counts (old): ' || lo.t, '- Layer file counts (new): ' || ln.t,
         '- Largest modules by file count (old): ' || bo.t, '- Largest modules by file count (new): ' || bn.t, '### Movement Summary', concat('- DRH movement (old→new): ', {MOVED.format(c='_count')}),
         '### Notable Layer Moves (sample)', coalesce(v.l, '- (none)'), '### Notable Module Moves (sample)' || chr(10) || v.m), chr(10)) AS structure
     FROM pairs p JOIN mc ON mc.repo = p.repo AND mc.new_rev = p.new_rev LEFT JOIN dwide d ON d.repo = p.repo AND d.new_rev = p.new_rev LEFT JOIN apt a ON a.repo = p.repo AND a.new_rev = p.new_rev
     LEFT JOIN dtext t ON t.repo = p.repo AND t.rev = p.new_rev LEFT JOIN ctext c ON c.repo = p.repo AND c.rev = p.new_rev LEFT JOIN htext x ON x.repo = p.repo AND x.rev = p.new_rev
-    LEFT JOIN lay lo ON lo.repo = p.repo AND lo.rev = p.old_rev LEFT JOIN lay ln ON ln.repo = p.repo AND ln.rev = p.new_rev LEFT JOIN big bo ON bo.repo = p.repo AND bo.rev = p.old_rev
-    LEFT JOIN big bn ON bn.repo = p.repo AND bn.rev = p.new_rev LEFT JOIN moved v ON v.repo = p.repo AND v.new_rev = p.new_rev""", *TEXT_TABLES))
+    LEFT JOIN ttext y ON y.repo = p.repo AND y.new_rev = p.new_rev LEFT JOIN lay lo ON lo.repo = p.repo AND lo.rev = p.old_rev LEFT JOIN lay ln ON ln.repo = p.repo AND ln.rev = p.new_rev LEFT JOIN big bo ON bo.repo = p.repo AND bo.rev = p.old_rev
+    LEFT JOIN big bn ON bn.repo = p.repo AND bn.rev = p.new_rev LEFT JOIN moved v ON v.repo = p.repo AND v.new_rev = p.new_rev""", *TEXT_TABLES, KEYROWS, TYPED, PTYPED, f"totals AS ({TOTALS})", TYPED_TEXT))
 def _(h):
     h = h.stored("commits", "lines", "file_changes", "nodes", "edges", "locations")
     moves = L.file_moves(h.locations, h.pairs)
