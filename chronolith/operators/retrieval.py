@@ -45,8 +45,13 @@ def term_counts(rows: DataFrame, keys: list[str], text: str = "text") -> DataFra
     return terms.groupBy(*keys, "total", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def distinct_terms(rows: DataFrame, text: str = "text") -> DataFrame:
+    """(term): the different terms of every text, one row each; counting them by term needs no shuffle by text."""
+    return rows.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+
+
 def inverse_frequency(counts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(term, df, idf) over all chunks: ln((N+1)/(df+1)) + 1."""
+    """(term, df, idf) over all chunks: ln((N+1)/(df+1)) + 1. ``counts`` has one row per chunk and term."""
     total = chunks.agg(F.count(F.lit(1))).scalar()
     per_term = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return per_term.select("term", "df", (F.log((total + 1) / (F.col("df") + 1)) + 1.0).alias("idf"))
