@@ -481,6 +481,72 @@ def reachability(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def reaches(asked: DataFrame, nodes: DataFrame, edges: DataFrame, block_edges: int = BLOCK_EDGES, slice_sources: int = SLICE_SOURCES) -> DataFrame:
+    """``asked`` (repo, rev, src, dest; distinct) plus ``reached``: whether a path of at least one edge leads from src to dest.
+
+    Answers a table of pairs without the closure: only asked sources are followed, as bits along the links between components, slice by slice;
+    a pair within one component needs no search. Pairs with an unknown node are not reached.
+    """
+    links = cut_lineage(edges.select(*GRAPH, "src", "dest").distinct())
+    home, outer = _condensation(nodes, links, block_edges)
+    outer = cut_lineage(outer)
+    loops = links.filter(F.col("src") == F.col("dest")).select(*GRAPH, "src").withColumn("loop", F.lit(True))
+    at = lambda end: home.select(*GRAPH, F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+    placed = asked.select(*GRAPH, "src", "dest").join(at("src"), [*GRAPH, "src"], "left").join(at("dest"), [*GRAPH, "dest"], "left").join(loops, [*GRAPH, "src"], "left")
+    within = F.col("c_src") == F.col("c_dest")
+    placed = cut_lineage(placed.withColumn("inside", F.coalesce(within & ((F.col("src") != F.col("dest")) | F.coalesce("loop", F.lit(False))), F.lit(False))))
+    # a node in a component of several reaches itself, too
+    several = home.groupBy(*GRAPH, F.col("component").alias("c_src")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    searched = placed.filter(~within).select(*GRAPH, "c_src", "c_dest").distinct()
+    sizes = outer.groupBy(*GRAPH).agg(F.count(F.lit(1)).alias("edges"))
+    wanted = searched.join(sizes, GRAPH)
+    # every asked source falls into a slice by its hash
+    counts = wanted.groupBy(*GRAPH).agg(F.ceil(F.count_distinct("c_src") / slice_sources).cast("int").alias("slices"))
+    wanted = cut_lineage(wanted.join(counts, GRAPH).withColumn("slice", F.pmod(F.xxhash64("c_src"), "slices").cast("int")))
+    small = wanted.filter(F.col("edges") <= block_edges)
+    parts = outer.join(small.select(*[F.col(g).alias(g) for g in GRAPH], F.col("slice").alias("part")).distinct(), GRAPH)
+    types = dict(links.dtypes)
+
+    def search(block: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        names, codes = np.unique(np.concatenate([block["src"], block["dest"], pairs["c_src"], pairs["c_dest"]]).astype(str), return_inverse=True)
+        m, k = len(block), len(pairs)
+        src, dest, froms, tos = np.split(codes, [m, 2 * m, 2 * m + k])
+        mine, place = np.unique(froms, return_inverse=True)
+        bits = np.zeros((len(names), -(-max(1, len(mine)) // 64) * 8), np.uint8)
+        own = np.arange(len(mine))
+        bits[mine, own // 8] = 128 >> (own % 8)
+        words = bits.view(np.uint64)
+        for targets, firsts, origins in _waves(src, dest, len(names)):
+            words[targets] |= np.bitwise_or.reduceat(words[origins], firsts, axis=0)
+        hit = bits[tos, place // 8] & (128 >> (place % 8)).astype(np.uint8) != 0
+        return pairs[["repo", "rev", "c_src", "c_dest"]].assign(found=hit)
+
+    shape = f"repo {types['repo']}, rev {types['rev']}, c_src string, c_dest string, found boolean"
+    told = parts.groupBy(*GRAPH, "part").cogroup(small.groupBy(*GRAPH, "slice")).applyInPandas(search, shape)
+    large = wanted.filter(F.col("edges") > block_edges)
+    told = told.unionByName(_searched_by_rounds(large, outer))
+    out = placed.join(told.filter("found"), [*GRAPH, "c_src", "c_dest"], "left").join(several, [*GRAPH, "c_src"], "left")
+    itself = (F.col("src") == F.col("dest")) & F.col("_n").isNotNull()
+    return out.select(*GRAPH, "src", "dest", (F.col("inside") | F.coalesce(itself, F.lit(False)) | F.coalesce("found", F.lit(False))).alias("reached"))
+
+
+def _searched_by_rounds(wanted: DataFrame, links: DataFrame) -> DataFrame:
+    """(repo, rev, c_src, c_dest, found) for graphs of any size: (source, node) pairs of asked sources spread along the links until none is new.
+
+    Components reached by a source are rows here, so memory of a task is bounded by its share of them.
+    """
+    start = wanted.select(*GRAPH, "c_src", F.col("c_src").alias("node")).distinct()
+    fresh, n = cut_and_count(start)
+    parts = [fresh]
+    while n:
+        known = reduce(DataFrame.unionByName, parts)
+        onward = fresh.alias("f").join(links.alias("e"), _on("f", "e", ("node", "src"))).select("f.repo", "f.rev", "f.c_src", F.col("e.dest").alias("node")).distinct()
+        fresh, n = cut_and_count(onward.join(known, [*GRAPH, "c_src", "node"], "left_anti"))
+        parts.append(fresh)
+    known = reduce(DataFrame.unionByName, parts).withColumnRenamed("node", "c_dest")
+    return wanted.select(*GRAPH, "c_src", "c_dest").distinct().join(known, [*GRAPH, "c_src", "c_dest"], "left_semi").withColumn("found", F.lit(True))
+
+
 def propagation_cost(nodes: DataFrame, edges: DataFrame, block_edges: int = BLOCK_EDGES, slice_sources: int = SLICE_SOURCES) -> DataFrame:
     """Both propagation costs of every revision, counted from component sizes and bits of reach; no pair of nodes is listed.
 

@@ -116,6 +116,19 @@ PC = """pcost AS (SELECT n.repo, n.rev, round(coalesce(k, 0) / (n.n * n.n), 9) A
   LEFT JOIN (SELECT repo, rev, count(*) AS k, count(*) FILTER (src <> dest) AS others FROM reach GROUP BY ALL) r ON n.repo = r.repo AND n.rev = r.rev)"""
 
 
+ASKED = """asked AS (SELECT DISTINCT e.repo, e.rev, e.src, e.dest FROM (SELECT p.repo, p.new_rev AS rev, e.src, e.dest FROM pairs p JOIN edges e ON e.repo = p.repo AND e.rev = p.old_rev) e)"""
+
+
+@query("asked_reachability_g1", sql("""
+    SELECT a.repo, CAST(a.rev AS BIGINT) AS rev, a.src, a.dest, r.src IS NOT NULL AS reached FROM asked a LEFT JOIN reach r ON r.repo = a.repo AND r.rev = a.rev AND r.src = a.src AND r.dest = a.dest""", LINKS, REACH, ASKED))
+def _(h):
+    """Whether the edges of the older revision still have a path in the newer one."""
+    h = h.stored("nodes", "edges")
+    older = h.edges.withColumnRenamed("rev", "old_rev").join(h.pairs, ["repo", "old_rev"])
+    asked = older.select("repo", F.col("new_rev").alias("rev"), "src", "dest").distinct()
+    return _big(G.reaches(asked, h.nodes, h.edges), "rev")
+
+
 @query("propagation_cost_g2_g3", sql("SELECT repo, CAST(rev AS BIGINT) AS rev, pc_matrix, pc_reach FROM pcost", LINKS, REACH, PC))
 def _(h):
     h = h.stored("lines", "nodes", "edges")

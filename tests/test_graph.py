@@ -75,6 +75,20 @@ def test_blocks_and_rounds_give_the_same(spark, rows, block_edges, slice_sources
     assert sorted((r.repo, r.rev, pytest.approx(r.pc_matrix), pytest.approx(r.pc_reach)) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("block_edges, slice_sources", [(1, 9), (10_000, 3), (10_000, 4096)])
+def test_asked_pairs(spark, block_edges, slice_sources):
+    graphs = random_graphs(3, [(10, 14), (2, 2), (14, 12)])
+    nodes, edges = build(spark, graphs)
+    want = {}
+    for (r, v), (ns, es) in graphs.items():
+        reach = closure(ns, es)
+        want |= {(r, v, a, b): b in reach[a] for a in ns for b in ns}
+    want[("r0", 0, "n00", "unknown")] = False
+    asked = spark.createDataFrame(list(want), "repo string, rev int, src string, dest string")
+    got = G.reaches(asked, nodes, edges, block_edges, slice_sources).collect()
+    assert len(got) == len(want) and {tuple(r)[:4]: r.reached for r in got} == want
+
+
 def test_chain_of_five_thousand(spark):
     chain = [(f"d{i:05d}", f"d{i + 1:05d}") for i in range(4999)]
     nodes, edges = build(spark, {("r", 1): (sorted({x for e in chain for x in e}), chain)})
