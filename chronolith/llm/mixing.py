@@ -57,7 +57,8 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, target: float, most: in
     What whole passes leave of the target is spread over all lengths in proportion, then filled from the longest
     length down until the rest fits the table, then met by a bounded-knapsack table over the remaining counts. While that
     misses the target by a multiple of the lengths' common divisor, the table grows fourfold, at last over all that whole
-    passes leave and without shares, so the sum is the largest there is.
+    passes leave and without shares, or over exchanges around the greedy filling where those need less; so the sum is the largest there
+    is, and memory is bounded by the square of the longest length, whatever the number of documents.
     """
     total = int((lengths * counts).sum())
     extra = np.zeros(len(lengths), dtype=np.int64)
@@ -69,7 +70,7 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, target: float, most: in
         return whole + 1, extra
     share = np.minimum(counts, np.floor(counts * (rest / total)).astype(np.int64))
     order = np.argsort(-lengths, kind="stable")
-    step = int(np.gcd.reduce(lengths))
+    step, longest = int(np.gcd.reduce(lengths)), int(lengths.max())
     words, missed = TABLE_WORDS, rest + 1
     while missed >= step:
         trial = share.copy()
@@ -90,11 +91,67 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, target: float, most: in
         if not share.any() and words >= rest:
             break
         words *= 4
+        if words >= 4 * longest * longest and words < rest:
+            trial = exchanged(lengths, counts, rest, order)
+            return whole, trial if rest - int((lengths * trial).sum()) < missed else extra
         if words >= rest:
             share, words = np.zeros_like(share), max(words, rest)
     return whole, extra
 
 
+def exchanged(lengths: np.ndarray, counts: np.ndarray, target: int, order: np.ndarray) -> np.ndarray:
+    """Counts whose lengths sum to the largest reachable value up to ``target``, by exchanges around a greedy filling.
+
+    The filling takes the longest documents whole until one length is used in part. Some best choice differs from it in at most twice as many
+    documents as the longest length has words (proximity of integer and fractional optima with one constraint), so the table covers sums within
+    twice the square of the longest length around it, for documents put in and taken out.
+    """
+    taken, left = np.zeros(len(lengths), dtype=np.int64), target
+    for i in order:
+        size = int(lengths[i])
+        if size > 0:
+            k = min(int(counts[i]), left // size)
+            taken[i] = k
+            left -= k * size
+            if k < counts[i]:
+                break
+    longest = int(lengths.max())
+    parts: list[tuple[int, int]] = []
+    for i in order:
+        if lengths[i] > 0:
+            for sign, free in ((1, int(counts[i] - taken[i])), (-1, int(taken[i]))):
+                copies, part = min(free, 2 * longest), 1
+                while copies > 0:
+                    parts.append((int(i), sign * min(part, copies)))
+                    copies -= min(part, copies)
+                    part *= 2
+    unit = math.gcd(*[int(lengths[i]) for i, _ in parts])
+    span = 2 * longest * longest // unit
+    sizes = [k * int(lengths[i]) // unit for i, k in parts]
+    best, came_to = _signed_sums(sizes, span, left // unit)
+    while best:
+        p = came_to(best)
+        taken[parts[p][0]] += parts[p][1]
+        best -= sizes[p]
+    return taken
+
+
+def _signed_sums(sizes: list[int], span: int, most: int) -> tuple[int, Callable[[int], int]]:
+    """(largest sum from 0 up to ``most``, place of the size that first reached a sum), over sums within ``span`` of 0."""
+    mask, reach = (1 << (2 * span + 1)) - 1, 1 << span
+    came = np.zeros(2 * span + 1, np.min_scalar_type(len(sizes)))
+    for p, size in enumerate(sizes):
+        fresh = (reach << size if size > 0 else reach >> -size) & mask & ~reach
+        if fresh:
+            reach |= fresh
+            bits = np.frombuffer(fresh.to_bytes((2 * span) // 8 + 1, "little"), np.uint8)
+            for lo in range(0, len(bits), 1 << 20):
+                came[lo * 8 + np.flatnonzero(np.unpackbits(bits[lo:lo + (1 << 20)], bitorder="little"))] = p
+        if reach >> (span + most) & 1:
+            break
+    return ((reach >> span) & ((1 << (most + 1)) - 1)).bit_length() - 1, lambda s: int(came[s + span])
+
+
 def bounded_knapsack(lengths: np.ndarray, free: np.ndarray, left: int, order: np.ndarray) -> list[tuple[int, int]]:
     """(index, copies) whose lengths sum to the largest reachable value up to ``left``.
 
