@@ -242,3 +242,17 @@ def _(h):
 def _(h):
     text = F.concat(F.lit("See `"), "path", F.lit("`, 63.08 and 1.5."))
     return h.file_changes.groupBy("repo").agg(F.count(F.lit(1)).alias("commits"), F.sum(F.size(X.file_mentions(text))).cast("bigint").alias("mentions"))
+
+
+@query("clean_reports_f18", f"""
+    SELECT doc_id, CASE WHEN {strip_sql('text')} = '' OR contains(text, '```') THEN NULL ELSE {strip_sql('text')} END AS unfenced,
+      regexp_replace(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), '^{SPACE_SQL}+', '') AS said
+    FROM documents WHERE text IS NOT NULL AND {strip_sql('text')} <> ''""")
+def _(h):
+    """Reports in a fence, and behind 300 lines of thinking."""
+    docs = h.table("documents").filter(X.strip(F.col("text")) != "")
+    fenced = F.concat(F.lit("Here it is:\n```md\n"), "text", F.lit("\n```\nbye"))
+    thought = F.concat(F.lit("Thinking...\n"), F.repeat(F.lit("one more line\n"), F.lit(300)), F.lit("...done thinking.\n\n"), "text")
+    return docs.select(
+        "doc_id", F.when(~F.contains("text", F.lit("```")), X.strip_fences(fenced)).alias("unfenced"), X.strip_thinking(thought).alias("said")
+    )
