@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chronolith.functions import classify as C
 from chronolith.functions.text import basename, strip
-from chronolith.operators.common import listed, top_rows
+from chronolith.operators.common import listed, numbered, running_total, top_rows
 from chronolith.session import cut_lineage
 
 CHUNK_SIZE, CHUNK_OVERLAP, SHORTEST_CHUNK = 1200, 200, 80
@@ -34,6 +34,23 @@ def chunked(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLA
     return docs.filter(F.length("text") > 0).select(*rest, F.posexplode(kept).alias("ord", "text"))
 
 
+def chunked_lines(lines: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, shortest: int = 1) -> DataFrame:
+    """(repo, ord, text): the windows that ``chunked`` cuts from the text of a repository's ``lines`` (repo, nth, line), joined by line breaks.
+
+    The text is never built: lines find their place by running lengths over slices, go to the windows they touch, and a window is
+    built from its own lines. So a repository may have any number of lines.
+    """
+    step = size - overlap
+    placed = running_total(lines.select("repo", "nth", "line"), ["repo"], [F.col("nth")], F.length("line") + 1, "upto")
+    start = F.col("upto") - F.length("line") - 1
+    touched = F.sequence(F.greatest(F.floor((start - size) / step) + 1, F.lit(0)), F.floor((F.col("upto") - 1) / step))
+    spread = placed.select("repo", "line", start.alias("start"), F.explode(touched).alias("window"))
+    joined = spread.groupBy("repo", "window").agg(listed(["start"], "line", "\n").alias("text"), F.min("start").alias("start"))
+    cut = strip(F.substring(F.col("text"), (F.col("window") * step - F.col("start") + 1).cast("int"), F.lit(size)))
+    kept = joined.select("repo", "window", cut.alias("text")).filter(F.length("text") >= shortest)
+    return numbered(kept, ["repo"], [F.col("window")], "ord").select("repo", (F.col("ord") - 1).alias("ord"), "text")
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-zA-Z0-9_.-]+"), 0)
 

@@ -458,18 +458,29 @@ def _module_texts(h, shown):
     return _big(texts.select("repo", "rev", F.size(lines).alias("modules"), joined.alias("text")), "rev", "modules")
 
 
-FACTS = f"""facts AS (SELECT layer, {strip_sql("substring(text, i + 1, 1200)")} AS text FROM (SELECT layer, text, unnest(range(0, length(text), 1000)) AS i FROM (
-  SELECT 'L3' AS layer, concat('TIMESERIES for ', repo, ':', chr(10), string_agg(concat('  rev', rev, ' (', strftime(commit_ts, '%Y-%m-%d'), '): mscore=', a, ', propagation_cost=', b,
+FACTS = f"""facts AS (SELECT layer, repo, i, {strip_sql("substring(text, i + 1, 1200)")} AS text FROM (SELECT layer, repo, text, unnest(range(0, length(text), 1000)) AS i FROM (
+  SELECT 'L3' AS layer, repo, concat('TIMESERIES for ', repo, ':', chr(10), string_agg(concat('  rev', rev, ' (', strftime(commit_ts, '%Y-%m-%d'), '): mscore=', a, ', propagation_cost=', b,
     ', decoupling_level=', c, ', independence_level=', d), chr(10) ORDER BY rev)) AS text FROM mtext GROUP BY repo
-  UNION ALL SELECT 'L4', concat('GIT REVISION HISTORY for ', repo, ':', chr(10), string_agg(concat('  rev', rev, ' | ', strftime(commit_ts, '%Y-%m-%d'), ' | ', substring(commit_hash, 1, 8),
+  UNION ALL SELECT 'L4', repo, concat('GIT REVISION HISTORY for ', repo, ':', chr(10), string_agg(concat('  rev', rev, ' | ', strftime(commit_ts, '%Y-%m-%d'), ' | ', substring(commit_hash, 1, 8),
     ' | mscore=', a, ' | ', message), chr(10) ORDER BY rev)) FROM mtext GROUP BY repo)))"""
 
 
+def _fact_chunks(h):
+    source = F.concat("repo", F.lit("/timeseries.json"))
+    return D.fact_line_chunks(D.series_lines(h.revisions, h.metrics), "L3", "ts", source), D.fact_line_chunks(D.history_lines(h.revisions, h.metrics), "L4", None, source)
+
+
+@query("fact_chunks_s21_s22", sql("""
+    SELECT concat(layer, CASE WHEN layer = 'L3' THEN ':ts' ELSE '' END, ':', repo, ':', row_number() OVER (PARTITION BY layer, repo ORDER BY i) - 1) AS chunk_id, text FROM facts WHERE length(text) >= 80""", VALUES, FACTS))
+def _(h):
+    three, four = _fact_chunks(h)
+    return three.unionByName(four).select("chunk_id", "text")
+
+
 @query("all_layers_u3", sql("""
     SELECT layer, count(*) AS n, sum(length(text))::BIGINT AS chars FROM (SELECT layer, text FROM chunks WHERE layer IN ('L1', 'L2') UNION ALL SELECT layer, text FROM facts WHERE length(text) >= 80) GROUP BY 1""", VALUES, FACTS))
 def _(h):
-    three = D.fact_chunks(D.series_texts(h.revisions, h.metrics), "L3", "ts", F.concat("repo", F.lit("/timeseries.json")))
-    four = D.fact_chunks(D.history_texts(h.revisions, h.metrics), "L4", None, F.concat("repo", F.lit("/timeseries.json")))
+    three, four = _fact_chunks(h)
     rows = D.all_chunks(h.chunks.filter(F.col("layer").isin("L1", "L2")), three, four)
     return rows.groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronolith.functions.classify import model_from_path, repo_from_path
 from chronolith.functions.text import basename, number_text, strip
 from chronolith.operators.common import listed, top_rows
-from chronolith.operators.retrieval import SHORTEST_CHUNK, chunked
+from chronolith.operators.retrieval import SHORTEST_CHUNK, chunked, chunked_lines
 
 KNOWLEDGE_SUFFIXES = ("txt", "md", "rst", "html")
 
@@ -65,26 +65,44 @@ def _metric_texts(metrics: DataFrame) -> DataFrame:
     )
 
 
+def _headed(lines: DataFrame, head: str) -> DataFrame:
+    """(repo, nth, line): the lines of a generated text with its first line, ``nth`` 0."""
+    first = lines.select("repo").distinct().select("repo", F.lit(0).cast("bigint").alias("nth"), F.concat(F.lit(head), "repo", F.lit(":")).alias("line"))
+    return first.unionByName(lines)
+
+
+def _joined(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("repo").agg(listed(["nth"], "line", "\n").alias("text"))
+
+
 def series_texts(revisions: DataFrame, metrics: DataFrame) -> DataFrame:
-    """(repo, text): metric values of every revision, one line each."""
+    """(repo, text): metric values of every revision, one line each; ``fact_line_chunks`` of ``series_lines`` cuts such texts without building them."""
+    return _joined(series_lines(revisions, metrics))
+
+
+def history_texts(revisions: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(repo, text): date, short hash, score and message of every revision, one line each."""
+    return _joined(history_lines(revisions, metrics))
+
+
+def series_lines(revisions: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(repo, nth, line): metric values of every revision below a heading."""
     rows = revisions.join(_metric_texts(metrics), ["repo", "rev"])
     line = F.concat(
         F.lit("  rev"), "rev", F.lit(" ("), F.date_format("commit_ts", "yyyy-MM-dd"), F.lit("): mscore="), "mscore", F.lit(", propagation_cost="),
         "pc", F.lit(", decoupling_level="), "dl", F.lit(", independence_level="), "il",
     )
-    text = rows.withColumn("_t", line).groupBy("repo").agg(listed(["rev"], "_t", "\n").alias("lines"))
-    return text.select("repo", F.concat(F.lit("TIMESERIES for "), "repo", F.lit(":\n"), "lines").alias("text"))
+    return _headed(rows.select("repo", F.col("rev").cast("bigint").alias("nth"), line.alias("line")), "TIMESERIES for ")
 
 
-def history_texts(revisions: DataFrame, metrics: DataFrame) -> DataFrame:
-    """(repo, text): date, short hash, score and message of every revision, one line each."""
+def history_lines(revisions: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(repo, nth, line): date, short hash, score and message of every revision below a heading."""
     rows = revisions.join(_metric_texts(metrics), ["repo", "rev"])
     line = F.concat(
         F.lit("  rev"), "rev", F.lit(" | "), F.date_format("commit_ts", "yyyy-MM-dd"), F.lit(" | "), F.substring("commit_hash", 1, 8),
         F.lit(" | mscore="), "mscore", F.lit(" | "), F.substring(F.trim(F.coalesce("message", F.lit(""))), 1, 200),
     )
-    text = rows.withColumn("_t", line).groupBy("repo").agg(listed(["rev"], "_t", "\n").alias("lines"))
-    return text.select("repo", F.concat(F.lit("GIT REVISION HISTORY for "), "repo", F.lit(":\n"), "lines").alias("text"))
+    return _headed(rows.select("repo", F.col("rev").cast("bigint").alias("nth"), line.alias("line")), "GIT REVISION HISTORY for ")
 
 
 def module_texts(scores: DataFrame, files: DataFrame, totals: DataFrame, label: Column, shown: int | None = None) -> DataFrame:
@@ -114,6 +132,16 @@ def fact_chunks(texts: DataFrame, layer: str, kind: str | None, source: Column)
     return _chunks(docs, prefix)
 
 
+def fact_line_chunks(lines: DataFrame, layer: str, kind: str | None, source: Column) -> DataFrame:
+    """``fact_chunks`` of the texts that ``lines`` (repo, nth, line) make, cut without building them."""
+    rows = chunked_lines(lines, shortest=SHORTEST_CHUNK)
+    prefix = F.concat_ws(":", F.lit(layer), F.lit(kind), "repo") if kind else F.concat_ws(":", F.lit(layer), "repo")
+    return rows.select(
+        F.concat_ws(":", prefix, "ord").alias("chunk_id"), F.lit(layer).alias("layer"), F.lit(None).cast("string").alias("subtype"), "repo", F.lit("").alias("model"),
+        source.alias("source_file"), "ord", "text",
+    )
+
+
 def all_chunks(*parts: DataFrame) -> DataFrame:
     """Chunks of all layers in one table."""
     out = parts[0]
