@@ -23,6 +23,10 @@ BITRATES = {
     (False, 2): [8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160],
     (False, 3): [8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160],
 }
+# bits of an allocation per subband, layer II: of version 1 by rate and bitrate a channel, and of the lower rates
+ALLOCATIONS = {
+    "a": [4] * 11 + [3] * 12 + [2] * 4, "b": [4] * 11 + [3] * 12 + [2] * 7, "c": [4] * 2 + [3] * 6, "d": [4] * 2 + [3] * 10, "low": [4] * 4 + [3] * 7 + [2] * 19,
+}
 SAMPLE_RATES = {3: [44100, 48000, 32000], 2: [22050, 24000, 16000], 0: [11025, 12000, 8000]}
 
 
@@ -35,6 +39,9 @@ class Header:
     length: int
     samples: int
     side: int
+    kbit: int
+    channels: int
+    shared_from: int
 
 
 @lru_cache(maxsize=4096)
@@ -51,7 +58,9 @@ def header_of(four: bytes) -> Header | None:
     length = (12 * bits // rate + padding) * 4 if layer == 1 else samples // 8 * bits // rate + padding
     mono = four[3] >> 6 == 3
     side = ((17 if mono else 32) if version == 3 else (9 if mono else 17)) if layer == 3 else 0
-    return Header(version, layer, not four[1] & 1, rate, length, samples, side)
+    # joint stereo shares the allocations of the subbands from here on
+    shared = 4 * ((four[3] >> 4 & 3) + 1) if four[3] >> 6 == 1 else 32
+    return Header(version, layer, not four[1] & 1, rate, length, samples, side, bits // 1000, 1 if mono else 2, shared)
 
 
 @lru_cache(maxsize=65_536)
@@ -104,6 +113,45 @@ def _id3(data: bytes) -> tuple[int, dict[str, str]]:
     return min(10 + size, len(data)), tags
 
 
+def _allocations(head: Header) -> list[int]:
+    """Bits of the allocation of every subband of a layer I or II frame."""
+    if head.layer == 1:
+        return [4] * 32
+    if head.version != 3:
+        return ALLOCATIONS["low"]
+    each = head.kbit // head.channels
+    if head.rate == 48000 and each >= 56 or 56 <= each <= 80:
+        return ALLOCATIONS["a"]
+    if head.rate != 48000 and each >= 96:
+        return ALLOCATIONS["b"]
+    return ALLOCATIONS["c" if head.rate != 32000 and each <= 48 else "d"]
+
+
+def frame_checksum(data: bytes, at: int, head: Header) -> int:
+    """The checksum that a protected frame at ``at`` should carry.
+
+    It covers the last two bytes of the header and what follows the checksum: the side information in layer III, the allocations in layer I, the
+    allocations and two selection bits for every allocated subband and channel in layer II.
+    """
+    begin = at + 6
+    if head.layer == 3:
+        return crc16(data[at + 2:at + 4] + data[begin:begin + head.side])
+    body = data[begin:min(at + head.length, begin + 64)]
+    held, place, used = int.from_bytes(body.ljust(64, b"\0"), "big"), 0, 0
+    for band, bits in enumerate(_allocations(head)):
+        together = band >= head.shared_from and head.channels == 2
+        for _ in range(1 if together else head.channels):
+            place += bits
+            if held >> (512 - place) & ((1 << bits) - 1):
+                used += head.channels if together else 1
+    covered = place + (2 * used if head.layer == 2 else 0)
+    value = crc16(data[at + 2:at + 4] + body[:covered // 8])
+    for i in range(covered // 8 * 8, covered):
+        top = (value >> 15) ^ (held >> (511 - i) & 1)
+        value = (value << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return value
+
+
 def _table(data: bytes, at: int, head: Header, audio: Audio) -> bool:
     """Reads a Xing, Info or VBRI table; True if the frame holds one and so no sound."""
     for place in (at + 4 + head.side, at + 6 + head.side):
@@ -152,9 +200,8 @@ def read_audio(data: bytes) -> Audio:
         begin = at + 4
         if head.protected:
             begin += 2
-            if head.layer == 3:
-                audio.checked += 1
-                audio.failed += crc16(data[at + 2:at + 4] + data[begin:begin + head.side]) != int.from_bytes(data[at + 4:at + 6], "big")
+            audio.checked += 1
+            audio.failed += frame_checksum(data, at, head) != int.from_bytes(data[at + 4:at + 6], "big")
         if not (first and _table(data, at, head, audio)):
             audio.offsets.append(at)
             audio.samples += head.samples

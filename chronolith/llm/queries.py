@@ -58,7 +58,7 @@ def mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "n_bytes", F.octet_length(payload).cast("bigint").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"),
         F.crc32(F.substring(payload, -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("bigint").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), F.col("audio.seconds").alias("seconds"),
+        F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), F.col("audio.seconds").alias("seconds"), F.col("audio.seek_offsets").alias("seek_offsets"),
     )
 
 
