@@ -9,6 +9,13 @@ from chronolith.functions import classify as C
 from chronolith.functions.text import normalise_path
 from chronolith.operators.common import PAIR, adjacent_pairs, listed, numbered, top_rows
 
+# Keys of issue trackers, references to hosted issues, addresses of the code host, and the share or number of keys that names a tracker.
+TRACKER_KEYS = r"\b([A-Z][A-Z0-9]{1,10})-[0-9]+\b"
+HOSTED_REFERENCE = r"(?i)(?:fixes?|closes?|refs?)\s+#[0-9]+"
+HOSTED_SLUG = r"github\.com[:/]([^/]+/[^/.]+?)(?:\.git)?$"
+LEAST_TRACKER_SHARE, LEAST_TRACKER_KEYS = 0.02, 5
+
+
 def newest_first() -> list[Column]:
     return [F.col("ts").desc(), F.col("hash").desc()]
 
@@ -389,8 +396,8 @@ def detect_tracker(commits: DataFrame, remotes: DataFrame | None = None, last: i
     Every key occurrence counts; ``remotes`` holds (repo, url).
     """
     recent = commits if last is None else top_rows(commits, ["repo"], newest_first(), last)
-    projects = F.regexp_extract_all("subject", F.lit(r"\b([A-Z][A-Z0-9]{1,10})-[0-9]+\b"), 1)
-    refs = F.col("subject").rlike(r"(?i)(?:fixes?|closes?|refs?)\s+#[0-9]+")
+    projects = F.regexp_extract_all("subject", F.lit(TRACKER_KEYS), 1)
+    refs = F.col("subject").rlike(HOSTED_REFERENCE)
     heads = recent.groupBy("repo").agg(F.count(F.lit(1)).alias("total"), F.count_if(refs).alias("github_refs"))
     hits = recent.select("repo", F.explode(projects).alias("project")).groupBy("repo", "project").agg(F.count(F.lit(1)).alias("n"))
     totals = hits.groupBy("repo").agg(F.sum("n").cast("bigint").alias("jira_hits"))
@@ -399,8 +406,8 @@ def detect_tracker(commits: DataFrame, remotes: DataFrame | None = None, last: i
     slug = F.lit(None).cast("string")
     if remotes is not None:
         out = out.join(remotes, "repo", "left")
-        slug = F.nullif(F.regexp_extract("url", r"github\.com[:/]([^/]+/[^/.]+?)(?:\.git)?$", 1), F.lit(""))
-    jira = (F.col("jira_hits") > 0) & ((F.col("jira_hits") / F.col("total") >= 0.02) | (F.col("jira_hits") >= 5))
+        slug = F.nullif(F.regexp_extract("url", HOSTED_SLUG, 1), F.lit(""))
+    jira = (F.col("jira_hits") > 0) & ((F.col("jira_hits") / F.col("total") >= LEAST_TRACKER_SHARE) | (F.col("jira_hits") >= LEAST_TRACKER_KEYS))
     source = F.when(jira, "jira").when(slug.isNotNull(), "github").otherwise("none")
     return out.select(
         "repo", "total", "jira_hits", "github_refs", source.alias("source"),

@@ -257,6 +257,9 @@ def transition_facts(
     return out
 
 
+# The headings and line beginnings in the texts below are fixed values of the report format.
+
+
 def evidence_text(facts: DataFrame) -> DataFrame:
     """The section of metrics, graph, risk signals and commits of a transition, from ``transition_facts``."""
     filled = lambda c: F.nullif(F.col(c), F.lit(""))
