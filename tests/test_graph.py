@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -96,6 +97,46 @@ def test_chain_of_five_thousand(spark):
     assert row.pc_matrix == pytest.approx(5000 * 4999 / 2 / 5000**2)
 
 
+def test_graph_beyond_a_hundred_thousand_edges_takes_no_rounds(spark, monkeypatch):
+    """20,000 rings of five, every other one linked to the next: a task of numbers, no rounds over tables."""
+    def rounds(*_):
+        raise AssertionError("rounds over tables")
+
+    monkeypatch.setattr(G, "_by_rounds", rounds)
+    monkeypatch.setattr(G, "_pairs_by_rounds", rounds)
+    monkeypatch.setattr(G, "_searched_by_rounds", lambda wanted, links: wanted.limit(0).selectExpr("repo", "rev", "c_src", "c_dest", "true AS found"))
+    rings = spark.range(100_000).selectExpr("'r' AS repo", "1 AS rev", "id", "floor(id / 5) * 5 + (id + 1) % 5 AS next")
+    name = "concat('n', lpad(cast({} as string), 6, '0')) AS {}"
+    edges = rings.selectExpr("repo", "rev", name.format("id", "src"), name.format("next", "dest"), "'Call' AS kind", "1D AS weight")
+    bridges = rings.filter("id % 10 = 0").selectExpr("repo", "rev", name.format("id", "src"), name.format("id + 5", "dest"), "'Call' AS kind", "1D AS weight")
+    edges, nodes = edges.unionByName(bridges), edges.selectExpr("repo", "rev", "src AS node")
+    members = G.scc_members(edges)
+    assert members.count() == 100_000 and members.select("component").distinct().count() == 20_000
+    assert members.filter("component > node").count() == 0
+    row = G.propagation_cost(nodes, edges).collect()[0]
+    assert row.pc_matrix == pytest.approx((20_000 + 10_000) * 25 / 100_000**2)
+    asked = spark.createDataFrame([("r", 1, "n000013", "n000017"), ("r", 1, "n000017", "n000013"), ("r", 1, "n000003", "n000010")], "repo string, rev int, src string, dest string")
+    assert {(r.src, r.dest): r.reached for r in G.reaches(asked, nodes, edges).collect()} == {
+        ("n000013", "n000017"): True, ("n000017", "n000013"): False, ("n000003", "n000010"): False
+    }
+
+
+@pytest.mark.parametrize("step", [1, 64, 200])
+def test_reach_of_slices(step):
+    rnd = random.Random(step)
+    links = sorted({tuple(sorted(rnd.sample(range(300), 2))) for _ in range(500)})
+    src, dest = np.array(links).T
+    want = closure(range(300), links)
+    sources = np.array(rnd.sample(range(300), 250))
+    got = {}
+    for own, nodes, words in G._reached(src, dest, 300, sources, step):
+        for i, s in enumerate(own):
+            got[int(s)] = {int(n) for n in nodes[(words[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1) != 0]} - {int(s)}
+    assert got == {int(s): want[s] for s in sources}
+    least = G._least_sinks(src, dest, 300)
+    assert [int(x) for x in least] == [min([t for t in want[n] | {n} if not want[t]]) for n in range(300)]
+
+
 def test_large_cycle_and_long_chain(spark):
     ring = [(f"c{i:03d}", f"c{(i + 1) % 40:03d}") for i in range(40)]
     chain = [(f"d{i:03d}", f"d{i + 1:03d}") for i in range(30)]
