@@ -1,5 +1,6 @@
 import gzip
 import json
+from functools import cached_property
 
 from pyspark.sql import functions as F
 
@@ -172,3 +173,26 @@ def test_report_files(spark, rows):
         ("L2:drh:io:drh_diff_report_x.md:0", "drh_diff", "qwen2.5:32b"), ("L2:payload:io:01_io_1:0", "payload", "")]
     assert rows(D.knowledge_chunks(files).select(F.col("chunk_id"))) == [
         ("L1:drh_diff_report_x.md:0",), ("L1:drh_diff_report_x.prompt.txt:0",), ("L1:interpretation_payload.md:0",)]
+
+
+def test_graph_diff_files_read_written_tables(spark, rows, monkeypatch, tmp_path):
+    """Nodes and edges have many readers, so they are written once instead of being built for each."""
+    from chronolith.plans import source_queries as Q
+    from chronolith.plans.registry import QUERIES
+    from chronolith.plans.bindings import History
+
+    tables = {
+        "lines": spark.createDataFrame([("r", 1)], "repo string, yr int"),
+        "nodes": spark.createDataFrame([("r", v, n) for v in (1, 2) for n in "abc"[:v + 1]], "repo string, rev int, node string"),
+        "edges": spark.createDataFrame([("r", v, "a", "b", "N", 1.0) for v in (1, 2)], "repo string, rev int, src string, dest string, kind string, weight double"),
+        "revisions": spark.createDataFrame([("r", 1), ("r", 2)], "repo string, rev int"),
+    }
+    for name, table in tables.items():
+        given = cached_property(lambda h, table=table: table)
+        given.__set_name__(History, name)
+        monkeypatch.setattr(History, name, given)
+    seen, diff = [], Q.G.graph_diff
+    monkeypatch.setattr(Q.G, "graph_diff", lambda nodes, edges, pairs: seen.extend([nodes, edges]) or diff(nodes, edges, pairs))
+    got = rows(QUERIES["graph_diff_files_k5"](spark, str(tmp_path)), "repo", "new_rev", "nodes_new")
+    assert got == [("r", 1, 2)]
+    assert all(hasattr(t, "scratch") for t in seen)
