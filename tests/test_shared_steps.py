@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chronolith.operators import graph as G
 from chronolith.operators import history as H
+from chronolith.operators import modularity as M
 from chronolith.operators import risk as K
 from chronolith.plans.bindings import LINE, History
 
@@ -61,3 +62,20 @@ def test_heaviest_of_all_hotspots(spark, rows):
     edges = spark.createDataFrame([("r", 1, "a", "b", "k", 2.0), ("r", 1, "c", "b", "k", 1.0)], "repo string, rev int, src string, dest string, kind string, weight double")
     assert rows(G.heaviest(G.hotspots(nodes, edges, None), 2)) == rows(G.hotspots(nodes, edges, 2))
     assert rows(G.hotspots(nodes, edges, 2), "rev", "node", "rank") == [(1, "a", 2), (1, "b", 1), (2, "a", 1)]
+
+
+def test_approximate_modules_read_groups_three_times_at_most(spark, rows):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    groups = [("r", 1, n, f) for f, n in [("a", "L0"), ("a", "L0/M0"), ("b", "L0"), ("b", "L0/M0"), ("c", "L1"), ("c", "L1/M0")]]
+    schema = "repo string, rev int, name string, file string"
+    nodes = spark.createDataFrame([("r", 1, f) for f in "abc"], "repo string, rev int, node string")
+    edges = spark.createDataFrame([("r", 1, "a", "b", "k", 1.0), ("r", 1, "a", "c", "k", 1.0)], "repo string, rev int, src string, dest string, kind string, weight double")
+    got = rows(M.approximate_modules(spark.createDataFrame(groups, schema).mapInPandas(counted, schema), nodes, edges), "name", "module_files", "clddp", "imcp")
+    assert got == [("L0/M0", 2, 0.5, 0.0), ("L1/M0", 1, 0.0, 0.0)]
+    assert seen.value <= 3 * len(groups)
