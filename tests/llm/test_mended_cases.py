@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronolith.llm import ctw, extract, langid, packing, secret_scan
+from chronolith.llm import ctw, extract, langid, minhash, packing, secret_scan
 
 LARGE = [2**53 + 1, 2**53 + 3, None, 7, None, 2**62 + 1]
 BODY = [
@@ -120,3 +120,9 @@ def test_stages_of_an_empty_table(spark, tmp_path):
         docs = spark.read.parquet(path)
         assert docs.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 0
+
+
+def test_more_than_a_thousand_slices(spark):
+    ids = spark.range(1200).select((F.col("id") * 7).alias("id"))
+    slices = [r.slice for r in ids.withColumn("slice", minhash._slices(ids, 1)).orderBy("id").collect()]
+    assert slices == sorted(slices) and len(set(slices)) > 1000
